@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import ship_package
-from ledgerloom.llm.pieces import WORKER, PieceCache, Unsafe, cut_batch, read_ranks
+from ledgerloom.llm.pieces import WORKER, PieceCache, Unsafe, cut_batch, read_ranks, small_runs
 
 NONE = np.iinfo(np.int64).max
 #: Longer pre-tokens get a tree of their own; at most so many cells in the matrix of one batch of short ones.
@@ -174,15 +174,16 @@ def _bpe(path: str, pattern: str) -> tuple[SegmentTreeBpe, PieceCache]:
 def encode_texts(texts, path: str, pattern: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers."""
     bpe, cache = _bpe(path, pattern)
-    parts = cut_batch(texts)
-    cache.add([p for _, p in parts])
-    heads = bpe.encode_many([h for h, _ in parts])
     out = []
-    for (head, pieces), first in zip(parts, heads, strict=True):
-        try:
-            out.append(first + b"".join(map(cache.__getitem__, pieces)))
-        except Unsafe:
-            out.append(bpe.encode_many([" ".join([head, *pieces]).replace(" \n", "\n")])[0])
+    for run in small_runs(texts):
+        parts = cut_batch(run)
+        cache.add([p for _, p in parts])
+        heads = bpe.encode_many([h for h, _ in parts])
+        for text, (_, pieces), first in zip(run, parts, heads, strict=True):
+            try:
+                out.append(first + b"".join(map(cache.__getitem__, pieces)))
+            except Unsafe:
+                out += bpe.encode_many([text])
     return out
 
 
@@ -192,7 +193,7 @@ def bpe_encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([np.frombuffer(x, dtype="<u4").astype("int32") for x in encode_texts(texts, rank_path, pattern)])
+            yield pd.Series([np.frombuffer(x, dtype="<u4").astype("int32") for x in encode_texts(texts, rank_path, pattern)], dtype=object)
 
     return docs.select(F.col(id_col).alias("doc_id"), F.pandas_udf(run, "array<int>")(F.coalesce(F.col(text_col), F.lit(""))).alias("ids"))
 

@@ -9,7 +9,10 @@ from __future__ import annotations
 
 import base64
 import os
+from collections.abc import Iterator
 
+#: Characters of texts that a worker cuts at a time.
+RUN = 1 << 20
 #: Entries after which a worker's cache starts anew.
 CACHE_ENTRIES = 600_000
 
@@ -53,8 +56,22 @@ class PieceCache(dict):
         self.update(zip(new, self.encode_many([whole_piece(p) for p in new]), strict=True))
 
 
+def small_runs(texts) -> Iterator[list[str]]:
+    """The texts in runs of about RUN characters, so that what a worker holds doesn't depend on a batch's size."""
+    run, size = [], 0
+    for t in texts:
+        t = t if isinstance(t, str) else ""
+        run.append(t)
+        size += len(t)
+        if size >= RUN:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
 def cut_batch(texts) -> list[tuple[str, list[str]]]:
-    return [cut_text(t if isinstance(t, str) else "") for t in texts]
+    return [cut_text(t) for t in texts]
 
 
 def hf_tokenizer(path: str):

@@ -11,6 +11,7 @@ from ledgerloom.llm.byte_bpe import bpe_round_trip
 from ledgerloom.llm.embed_dedup import embedding_near_dedup
 from ledgerloom.llm.exact_dedup import exact_dedup
 from ledgerloom.llm.ngram_join import ngram_jaccard_join
+from ledgerloom.llm.packing import best_fit_packing
 from ledgerloom.llm.token_counts import token_counts
 
 
@@ -46,6 +47,10 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_dedup(_table(spark, sf_dir, "embeddings"))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -54,7 +59,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op5_byte_bpe, op6_embedding_near_dedup, op9_exact_dedup, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op5_byte_bpe, op6_embedding_near_dedup, op7_best_fit_packing, op9_exact_dedup, op10_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {
     "op6_embedding_near_dedup": """
