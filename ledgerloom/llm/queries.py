@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerloom.llm.byte_bpe import bpe_round_trip
 from ledgerloom.llm.embed_dedup import embedding_near_dedup
 from ledgerloom.llm.exact_dedup import exact_dedup
+from ledgerloom.llm.line_dedup import line_run_dedup
 from ledgerloom.llm.ngram_join import ngram_jaccard_join
 from ledgerloom.llm.packing import best_fit_packing
 from ledgerloom.llm.token_counts import token_counts
@@ -39,6 +40,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_run_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), byte_pattern())
 
@@ -59,9 +64,26 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op5_byte_bpe, op6_embedding_near_dedup, op7_best_fit_packing, op9_exact_dedup, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op4_line_dedup, op5_byte_bpe, op6_embedding_near_dedup, op7_best_fit_packing, op9_exact_dedup, op10_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_line_dedup": r"""
+        WITH s AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS s FROM documents),
+        l AS (SELECT doc_id, unnest(s) AS line, unnest(range(len(s))) AS i FROM s),
+        w AS (SELECT *, len(regexp_extract_all(line, '[^ \t\n\x0B\f\r]+')) AS words FROM l),
+        p AS (
+            SELECT a.doc_id, a.i, a.words, b.doc_id AS other, a.i - b.i AS shift,
+                   a.i - row_number() OVER (PARTITION BY a.doc_id, b.doc_id, a.i - b.i ORDER BY a.i) AS island
+            FROM w a JOIN w b ON a.line = b.line AND (b.doc_id < a.doc_id OR (b.doc_id = a.doc_id AND b.i < a.i))
+        ), r AS (SELECT doc_id, min(i) AS i0, max(i) AS i1 FROM p GROUP BY doc_id, other, shift, island HAVING sum(words) >= 50),
+        g AS (SELECT DISTINCT doc_id, i FROM (SELECT doc_id, unnest(range(i0, i1 + 1)) AS i FROM r)),
+        k AS (
+            SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL) AS kept, count(*) AS n_lines, count(g.i) AS n_deleted
+            FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id
+        )
+        SELECT s.doc_id, CASE WHEN n_deleted = 0 THEN s.text ELSE coalesce(kept, '') END AS text, n_lines, n_deleted
+        FROM s JOIN k ON s.doc_id = k.doc_id
+    """,
     "op6_embedding_near_dedup": """
         WITH RECURSIVE v AS (
             SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
