@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import ship_package
-from ledgerloom.llm.pieces import WORKER, PieceCache, Unsafe, cut_batch, cut_text, hf_tokenizer, is_unsafe, whole_piece
+from ledgerloom.llm.pieces import WORKER, PieceCache, Unsafe, cut_batch, cut_text, hf_tokenizer, is_unsafe, small_runs, whole_piece
 
 #: Pieces that each task hands on, pieces in the broadcast table, and distinct pieces a task holds at once.
 TASK_HEAD, TABLE, TASK_HELD = 2_000, 16_384, 200_000
@@ -62,19 +62,16 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
             tok = hf_tokenizer(tokenizer_path)
             WORKER[key] = (tok, PieceCache(lambda texts: _lengths(tok, texts), table.value))
         tok, cache = WORKER[key]
-        for texts in batches:
-            out, rest, parts = [], [], cut_batch(texts)
-            cache.add([p for _, p in parts])
-            heads = _lengths(tok, [h for h, _ in parts])
-            for i, ((_, pieces), n) in enumerate(zip(parts, heads, strict=True)):
-                try:
-                    out.append(n + sum(map(cache.__getitem__, pieces)))
-                except Unsafe:
-                    out.append(0)
-                    rest.append(i)
-            # by position: a batch need not be labelled from 0
-            for i, n in zip(rest, _lengths(tok, [texts.iloc[i] for i in rest]), strict=True):
-                out[i] = n
+        for batch in batches:
+            out: list[int] = []
+            for texts in small_runs(batch):
+                parts = cut_batch(texts)
+                cache.add([p for _, p in parts])
+                for text, (_, pieces), n in zip(texts, parts, _lengths(tok, [h for h, _ in parts]), strict=True):
+                    try:
+                        out.append(n + sum(map(cache.__getitem__, pieces)))
+                    except Unsafe:
+                        out += _lengths(tok, [text])
             yield pd.Series(out, dtype="int64")
 
     counter = F.pandas_udf(count, "long")
