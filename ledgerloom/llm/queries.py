@@ -13,7 +13,10 @@ from ledgerloom.llm.exact_dedup import exact_dedup
 from ledgerloom.llm.line_dedup import line_run_dedup
 from ledgerloom.llm.ngram_join import ngram_jaccard_join
 from ledgerloom.llm.packing import best_fit_packing
+from ledgerloom.llm.quality import quality_scores
 from ledgerloom.llm.token_counts import token_counts
+from ledgerloom.llm.toxicity import toxicity_scores
+from ledgerloom.llm.url_filter import url_filter
 
 
 def tokenizer_file(name: str) -> str:
@@ -40,6 +43,14 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_run_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -56,6 +67,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(_table(spark, sf_dir, "pages"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -64,7 +79,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op4_line_dedup, op5_byte_bpe, op6_embedding_near_dedup, op7_best_fit_packing, op9_exact_dedup, op10_token_counts)}
+_OPERATORS = (
+    op1_ngram_jaccard_join,
+    op2_quality_classifier,
+    op3_toxicity,
+    op4_line_dedup,
+    op5_byte_bpe,
+    op6_embedding_near_dedup,
+    op7_best_fit_packing,
+    op8_url_filter,
+    op9_exact_dedup,
+    op10_token_counts,
+)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _OPERATORS}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": r"""
