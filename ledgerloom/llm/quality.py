@@ -99,12 +99,13 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (5, 0)
     return Space(np.array([np.frombuffer(r.v, dtype="<f4") for r in sample], dtype=np.float64), np.array([r.y for r in sample]))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, held_out: tuple[int, int] = (5, 0), train_docs: DataFrame | None = None) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, held_out: tuple[int, int] = (5, 0), train_docs: DataFrame | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """doc_id, held_out, score (0 to 1, higher: better) and predicted (1 if score >= threshold) for every row.
 
     Labels are learned from ``train_docs`` (or ``docs``) outside the fold ``held_out``; scores read the text only.
     Null texts count as empty, and empty texts are scored like others; a null id isn't held out; repeated ids are rows
-    like others; without any label every score is 1.  An empty table gives no rows; other columns are not read.
+    like others; without any label every score is 1.  An empty table gives no rows.  Of the other columns, those in
+    ``keep`` are returned too, and the rest are not read.
     """
     space = learn(train_docs if train_docs is not None else docs, labels, held_out)
     shared = docs.sparkSession.sparkContext.broadcast(space)
@@ -119,5 +120,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, h
             yield pd.Series(np.concatenate(out) if out else np.empty(0))
 
     score = F.pandas_udf(run, "double")(F.coalesce("text", F.lit("")))
-    out = docs.select("doc_id", F.coalesce(crc_bucket("doc_id", held_out[0]) == held_out[1], F.lit(False)).alias("held_out"), score.alias("score"))
+    out = docs.select(*keep, F.coalesce(crc_bucket("doc_id", held_out[0]) == held_out[1], F.lit(False)).alias("held_out"), score.alias("score"))
     return out.select("*", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))

@@ -92,7 +92,15 @@ _OPERATORS = (
     op10_token_counts,
 )
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _OPERATORS}
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (*_OPERATORS, pipeline)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": r"""

@@ -11,6 +11,7 @@ from labelled documents.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -36,7 +37,10 @@ THREAT, TARGETED, NEGATED, REPORTED = 0.8, 1.1, 0.5, 0.6
 NEGATION_SPAN, THREAT_SPAN = 3, 4
 #: Lengths of word beginnings that are learned, documents that must hold one, its least weight, and how many rows of
 #: the corpus's own share of toxic documents each weight is shrunk by.
-STEMS, SUPPORT, LEAST, SHRINK = (4, 5, 6, 7, 8), 5, 0.6, 4.0
+STEMS, SUPPORT, LEAST, SHRINK = (4, 5, 6, 7, 8), 5, 0.3, 2.0
+#: A weight is the third power of the share of toxic documents among a word's, so that words that clean documents hold
+#: too count little alone; what clauses add up to is put to the power at which 0.7 becomes 0.3, the usual threshold.
+SHARE_POWER, SCORE_POWER = 3, math.log(0.3) / math.log(0.7)
 #: Labelled rows to learn from, and learned entries, at most.
 TRAINING_ROWS, ENTRIES = 20_000, 20_000
 #: Rows of weight of the grammar's own insults before any label is seen, and their weight.
@@ -84,8 +88,8 @@ class Grammar:
         return 1 - clean
 
     def clauses(self, text: str) -> list[tuple[str, float]]:
-        """The clauses that match, with their scores."""
-        out, stream, begin = [], [], 0
+        """The clauses that match, with their scores; an insult counts where the text has it first."""
+        out, stream, begin, met = [], [], 0, set()
         for m in TOKEN.finditer(text + "\n"):
             t = m.group().lower()
             if t in ".!?;:\n":
@@ -93,7 +97,10 @@ class Grammar:
                     out.append((text[begin : m.start()].strip(), score))
                 stream, begin = [], m.end()
             else:
-                stream.append(self.lexical(t))
+                symbol, weight = self.lexical(t)
+                stream.append((symbol, 0.0 if t in met else weight))
+                if symbol == "I":
+                    met.add(t)
         return out
 
     def score(self, text: str | None) -> float:
@@ -104,7 +111,7 @@ class Grammar:
         clean = 1.0
         for _, s in self.clauses(text):
             clean *= 1 - s
-        return 1 - clean
+        return (1 - clean) ** SCORE_POWER
 
 
 def threat(stream):
@@ -165,20 +172,21 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (4, 2)
     weight = (F.col("toxic") + SHRINK * share) / (F.col("toxic") + F.col("clean") + SHRINK)
     kept = counts.filter(F.col("toxic") >= SUPPORT).withColumn("weight", weight).filter(F.col("weight") >= LEAST).orderBy(F.desc("toxic"), "feature").limit(ENTRIES)
     own = counts.filter(F.col("feature").isin([f"{w}$" for w in INSULTS]))
-    weights = {r.feature: float(r.weight) for r in kept.collect()}
+    weights = {r.feature: float(r.weight) ** SHARE_POWER for r in kept.collect()}
     seen = {r.feature: (r.toxic, r.clean) for r in own.collect()}
     for w in INSULTS:
         t, c = seen.get(f"{w}$", (0, 0))
-        weights[f"{w}$"] = max(weights.get(f"{w}$", 0.0), (t + OWN_ROWS * OWN) / (t + c + OWN_ROWS))
+        weights[f"{w}$"] = max(weights.get(f"{w}$", 0.0), ((t + OWN_ROWS * OWN) / (t + c + OWN_ROWS)) ** SHARE_POWER)
     return Grammar(weights)
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, held_out: tuple[int, int] = (4, 2), train_docs: DataFrame | None = None) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, held_out: tuple[int, int] = (4, 2), train_docs: DataFrame | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted (1 if score >= threshold) for every row of ``docs``.
 
     Labels are learned from ``train_docs`` (or ``docs``) outside the fold ``held_out``; scores read the text only.
     Null and empty texts score 0; a null id isn't held out; repeated ids are rows like others; without any label the
-    grammar's own insults score.  An empty table gives no rows; other columns are not read.
+    grammar's own insults score.  An empty table gives no rows.  Of the other columns, those in
+    ``keep`` are returned too, and the rest are not read.
     """
     grammar = learn(train_docs if train_docs is not None else docs, labels, held_out)
     shared = docs.sparkSession.sparkContext.broadcast(grammar.weights)
@@ -189,5 +197,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
             yield pd.Series([own.score(t) for t in texts], dtype="float64")
 
     score = F.pandas_udf(run, "double")(F.coalesce("text", F.lit("")))
-    out = docs.select("doc_id", F.coalesce(crc_bucket("doc_id", held_out[0]) == held_out[1], F.lit(False)).alias("held_out"), score.alias("score"))
+    out = docs.select(*keep, F.coalesce(crc_bucket("doc_id", held_out[0]) == held_out[1], F.lit(False)).alias("held_out"), score.alias("score"))
     return out.select("*", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
