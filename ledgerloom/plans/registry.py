@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import market_queries
+from ledgerloom.plans import knowledge_queries, market_queries
 
-QUERIES = {**market_queries.QUERIES}
-ORACLE_SQL = {**market_queries.ORACLE_SQL}
+MODULES = (market_queries, knowledge_queries)
+QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
+ORACLE_SQL = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}
