@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BY_DATE = Window.partitionBy("code").orderBy("trade_date")
+
+def by_date():
+    return Window.partitionBy("code").orderBy("trade_date")
 
 
 def rows_back(n: int):
-    return BY_DATE.rowsBetween(-(n - 1), 0)
+    return by_date().rowsBetween(-(n - 1), 0)
 
 
 def with_pre_close(bars: DataFrame) -> DataFrame:
     """Previous close, change and percent change of each bar; null on an instrument's first bar."""
-    pre = F.lag("close").over(BY_DATE)
+    pre = F.lag("close").over(by_date())
     return bars.withColumn("pre_close", pre).withColumn("change", F.round(F.col("close") - pre, 3)).withColumn("pct_chg", F.when(pre != 0, (F.col("close") - pre) / pre * 100))
 
 
@@ -63,7 +65,7 @@ def bollinger(bars: DataFrame, n: int = 20, width: float = 2.0) -> DataFrame:
 
 def rsi_window(bars: DataFrame, period: int = 14) -> DataFrame:
     """RSI over the last period + 1 changes, each side divided by period; 100 without losses, null before."""
-    change = F.col("close") - F.lag("close").over(BY_DATE)
+    change = F.col("close") - F.lag("close").over(by_date())
     moves = bars.withColumn("change", change)
     over = rows_back(period + 1)
     gain = F.sum(F.when(F.col("change") > 0, F.col("change")).otherwise(0.0)).over(over) / period
@@ -94,7 +96,7 @@ def macd(bars: DataFrame, bars_back: int = 250) -> DataFrame:
 
 def rsi_smoothed(bars: DataFrame, period: int = 14, bars_back: int = 250) -> DataFrame:
     """RSI at the last bar with gains and losses smoothed as exponential averages of span ``period``."""
-    moves = bars.withColumn("change", F.col("close") - F.lag("close").over(BY_DATE)).filter("change is not null")
+    moves = bars.withColumn("change", F.col("close") - F.lag("close").over(by_date())).filter("change is not null")
     recent = moves.withColumn("rn", F.row_number().over(Window.partitionBy("code").orderBy(F.desc("trade_date")))).filter(F.col("rn") <= bars_back)
     series = recent.groupBy("code").agg(F.array_sort(F.collect_list(F.struct("trade_date", "change"))).alias("s"))
     gains = F.transform("s", lambda x: F.greatest(x["change"], F.lit(0.0)))
@@ -157,7 +159,7 @@ def forward_adjust(bars: DataFrame, factors: DataFrame) -> DataFrame:
 
 def tracking(bars: DataFrame) -> DataFrame:
     """5-day return, 5/20-day volume ratio and MA5 against MA20 of each instrument's latest bar, with labels."""
-    back5 = F.lag("close", 5).over(BY_DATE)
+    back5 = F.lag("close", 5).over(by_date())
     marked = bars.select(
         "code", "trade_date",
         F.when(back5 > 0, (F.col("close") - back5) / back5 * 100).alias("ret5"),
@@ -171,8 +173,8 @@ def tracking(bars: DataFrame) -> DataFrame:
 
 def stock_scores(bars: DataFrame, heat_by_code: DataFrame, facts: DataFrame, least_bars: int = 5) -> DataFrame:
     """Score of each instrument at its latest bar, at most 100: momentum 25, trend 30, capital 25, concept 15, valuation 5."""
-    back = F.lag("close", 5).over(BY_DATE)
-    n = F.row_number().over(BY_DATE)
+    back = F.lag("close", 5).over(by_date())
+    n = F.row_number().over(by_date())
     marked = bars.select("code", "trade_date", "close", n.alias("bars"), ((F.col("close") - back) / back * 100).alias("ret5"), sma("close", 5).alias("ma5"), sma("close", 10).alias("ma10"), sma("close", 20).alias("ma20"), (F.col("volume") / F.avg("volume").over(rows_back(20))).alias("vol_ratio"))
     last = latest(marked, "code", "trade_date").filter(F.col("bars") >= least_bars)
     known = as_of(facts, last, "code", "as_of", "trade_date", ["pe"]).join(heat_by_code, "code", "left")

@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-AS_OF = F.lit(dt.date(2000, 6, 30))
+AS_OF = dt.date(2000, 6, 30)
 STRIP = r"regexp_replace(coalesce({}, ''), '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g')"
 WORDS = r"len(regexp_extract_all({}, '[^ \t\n\x0B\f\r]+'))"
 
@@ -74,7 +74,7 @@ def fallback(spark, sf):
 def missing(spark, sf):
     have = t.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("code"), F.to_date("l_shipdate").alias("trade_date"))
     have = have.filter((F.col("code") % 4 != 0) & (F.col("trade_date") < F.date_add(F.lit("2000-07-01").cast("date"), (F.col("code") % 3 * 400).cast("int"))))
-    return u.missing_from(t.stocks(spark, sf), have, "code", "trade_date", AS_OF, 365)
+    return u.missing_from(t.stocks(spark, sf), have, "code", "trade_date", F.lit(AS_OF), 365)
 
 
 @query("src5_concept_roll_up", """WITH x AS (SELECT p_partkey, trim(unnest(string_split(p_brand || '|' || p_type || '| ' || p_brand, '|'))) AS concept, p_retailprice AS pct FROM part)
@@ -384,7 +384,7 @@ def concept_tags(spark, sf):
 
 @query("jn10_event_window", f"""{with_(HEAT)} SELECT concept, trade_date, ups, date_diff('day', DATE '2000-06-30', trade_date) AS lead_days FROM heat WHERE trade_date BETWEEN DATE '2000-06-30' AND DATE '2000-06-30' + 5""")
 def event_window(spark, sf):
-    lead = F.datediff("trade_date", AS_OF)
+    lead = F.datediff("trade_date", F.lit(AS_OF))
     return t.concept_heat(spark, sf).filter(lead.between(0, 5)).select("concept", "trade_date", "ups", lead.alias("lead_days"))
 
 
