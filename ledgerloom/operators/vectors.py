@@ -20,28 +20,41 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms > 0, dot(a, b) / norms)
 
 
-def top_k(corpus: DataFrame, queries: DataFrame, k: int, block: int = 1024) -> DataFrame:
-    """(query_id, vec_id, score): each query's k nearest vectors by cosine, exact.
+def _blocks(size: int):
+    """Rows (id, embedding) -> blocks of at most ``size`` unit vectors, packed; null vectors drop out."""
 
-    ``queries`` is a stated set: its vectors are packed in rows of ``block``, and every block meets every partition's
-    vectors once, as a matrix product; a task keeps only its own k best of each query, so what is shuffled is bounded by
-    tasks x queries x k, and a window takes the best of those.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch = batch[batch["embedding"].notna()]
+            for at in range(0, len(batch), size):
+                x = np.array(batch["embedding"].iloc[at : at + size].tolist(), dtype=np.float64)
+                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+                yield pd.DataFrame({"ids": [batch["id"].iloc[at : at + size].to_numpy(dtype=np.int64).tobytes()], "units": [x.tobytes()]})
+
+    return run
+
+
+def top_k(corpus: DataFrame, queries: DataFrame, k: int, block: int = 2048) -> DataFrame:
+    """(query_id, vec_id, score, rank): each query's k nearest vectors by cosine, exact.
+
+    ``queries`` is a stated set.  Both sides are packed in blocks, and each pair of blocks is one matrix product that
+    keeps its own k best of each query, so no vector passes the driver and what is shuffled is bounded by blocks x
+    queries x k; a window takes the best of those.
     """
-    packed = queries.select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(16)).alias("part")).groupBy("part").agg(F.collect_list(F.struct("query_id", "embedding")).alias("q"))
-    blocks = [(np.array([r.query_id for r in row.q]), np.array([r.embedding for r in row.q], dtype=np.float64)) for row in packed.toLocalIterator()]
-    shared = corpus.sparkSession.sparkContext.broadcast([(i, q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)) for i, q in blocks])
+    packed = "ids binary, units binary"
+    q = queries.select(F.col("query_id").alias("id"), "embedding").mapInPandas(_blocks(block), packed)
+    c = corpus.select(F.col("vec_id").alias("id"), "embedding").mapInPandas(_blocks(block), packed)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            x = np.array(batch["embedding"].tolist(), dtype=np.float64)
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            ids = batch["vec_id"].to_numpy()
-            for qids, q in shared.value:
-                s = q @ x.T
-                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            for r in batch.itertuples(index=False):
+                qids, ids = np.frombuffer(r.qids, dtype=np.int64), np.frombuffer(r.ids, dtype=np.int64)
+                s = np.frombuffer(r.qunits).reshape(len(qids), -1) @ np.frombuffer(r.units).reshape(len(ids), -1).T
+                best = np.lexsort((np.broadcast_to(ids, s.shape), -np.round(s, 9)), axis=1)[:, :k]
                 yield pd.DataFrame({"query_id": np.repeat(qids, best.shape[1]), "vec_id": ids[best].ravel(), "score": np.take_along_axis(s, best, axis=1).ravel()})
 
-    near = corpus.select("vec_id", "embedding").filter("embedding is not null").mapInPandas(run, "query_id long, vec_id long, score double")
+    pairs = c.crossJoin(q.select(F.col("ids").alias("qids"), F.col("units").alias("qunits")))
+    near = pairs.mapInPandas(run, "query_id long, vec_id long, score double")
     rn = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id"))
     return near.withColumn("rank", rn).filter(F.col("rank") <= k)
 
