@@ -51,8 +51,7 @@ class PieceCache(dict):
         if len(self) > CACHE_ENTRIES:
             self.clear()
             self.update(self.frequent)
-        new = set().union(*lists).difference(self.keys())
-        new = [p for p in new if not is_unsafe(p)]
+        new = [p for p in set().union(*lists) if p not in self and not is_unsafe(p)]
         self.update(zip(new, self.encode_many([whole_piece(p) for p in new]), strict=True))
 
 
