@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -85,3 +88,17 @@ def unit_weight(weight: Column, default: float = 0.5) -> Column:
     """A weight in 0..1: values over 1 are on a scale of 10; not a number gives the default."""
     bad = weight.isNull() | F.isnan(weight) | (F.abs(weight) == float("inf"))
     return F.when(bad, default).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(weight > 1, weight / 10).otherwise(weight))))
+
+
+def normalised_name(name: Column) -> Column:
+    """NFKC form without characters that don't print, runs of white space as one space, ends stripped.
+
+    Compatibility forms have no built-in, so this is an Arrow-batched function; plain ASCII skips it.
+    """
+    def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for names in batches:
+            yield names.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFKC", s) if c.isprintable() or c.isspace()))
+
+    wide = F.when(~name.rlike(r"^[ -~]*$"), name)
+    formed = F.coalesce(F.pandas_udf(nfkc, "string")(wide), name)
+    return F.trim(F.regexp_replace(formed, r"\s+", " "))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -267,3 +269,40 @@ def question_evidence(spark, sf):
     merged = d.merge_by_day(t.questions(spark, sf).withColumn("day", F.lit(0)), "conv_id", "day")
     rows = d.evidence(merged.select(F.col("conv_id").alias("doc_id"), F.lit(0).alias("idx"), F.col("merged").alias("chunk")), "qa", 0.85)
     return rows.select("evidence_id", "doc_id")
+
+
+@query("sc2_normalised_names", "SELECT s_suppkey, trim(s_name || ' ' || s_nationkey) AS name FROM supplier")
+def names(spark, sf):
+    raw = F.concat(F.lit(" "), "s_name", F.lit("　\t"), F.translate(F.col("s_nationkey").cast("string"), "0123456789", "０１２３４５６７８９"))
+    return t.table(spark, sf, "supplier").select("s_suppkey", rules.normalised_name(raw).alias("name"))
+
+
+@query("snk6_exported_logs", "SELECT event_id, event_type, round(value, 6) AS value FROM events WHERE event_type = 'error'")
+def exported(spark, sf):
+    folder = f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/export-{uuid.uuid4().hex}"
+    rows = t.table(spark, sf, "events").filter("event_type = 'error'").select("event_id", "event_type", F.round("value", 6).alias("value"))
+    rows.write.option("header", True).csv(folder)
+    return spark.read.schema(rows.schema).option("header", True).csv(folder)
+
+
+@query("st11_sample")
+def sample(spark, sf):
+    """A seeded sample of 25 finished documents: rows only, as no SQL draws the same numbers."""
+    return t.table(spark, sf, "documents").select("doc_id").orderBy(F.rand(42), "doc_id").limit(25)
+
+
+@query("dc3_chapters", f"""{with_(ANNOUNCEMENTS)}, l AS (SELECT doc_id, unnest(string_split(body, chr(10))) AS s, unnest(range(len(string_split(body, chr(10))))) AS i FROM announcements),
+    c AS (SELECT *, sum(CASE WHEN s LIKE 'Th%' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS chapter FROM l), g AS (SELECT doc_id, chapter::INTEGER AS chapter, string_agg(s, chr(10) ORDER BY i) AS body, arg_min(s, i) AS first FROM c GROUP BY 1, 2)
+    SELECT doc_id, chapter, CASE WHEN chapter > 0 THEN first ELSE '' END AS heading, length(regexp_replace(body, '\\n+$', '')) AS chars FROM g WHERE trim(body) <> ''""")
+def chapters(spark, sf):
+    out = d.chapters(t.announcements(spark, sf), heading="^Th")
+    return out.select("doc_id", "chapter", "heading", F.length(F.regexp_replace("body", "\n+$", "")).alias("chars"))
+
+
+@query("sg6_catalyst_upsert", """WITH o AS (SELECT o_orderkey AS id, o_totalprice AS importance, 'old' AS origin FROM orders WHERE o_orderkey % 3 = 0), n AS (SELECT o_orderkey AS id, o_totalprice * 2 AS importance, 'new' AS origin FROM orders WHERE o_orderkey % 2 = 0)
+    SELECT coalesce(o.id, n.id) AS id, coalesce(n.importance, o.importance) AS importance, coalesce(o.origin, n.origin) AS origin FROM o FULL JOIN n ON o.id = n.id""")
+def catalyst_upsert(spark, sf):
+    x = t.table(spark, sf, "orders")
+    old = x.filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("importance"), F.lit("old").alias("origin"))
+    new = x.filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("id"), (F.col("o_totalprice") * 2).alias("importance"), F.lit("new").alias("origin"))
+    return u.upsert(old, new, ["id"], {"origin": "keep_old"})
