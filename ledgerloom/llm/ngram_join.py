@@ -9,8 +9,8 @@ the sets themselves.
    fixed size).
 2. The root of the tree sends a set to the coordinates (finest groups: single shingles) at which it can meet a
    linked set first: taken in one common order, rarest group first, the first n - ceil(0.75 n) + 1 coordinates.  Two
-   sets that share none of these have too small a sum of minima, so no link is lost.  Within one coordinate, sets
-   are chained by size, and what chains together is a cell.
+   sets that share none of these have too small a sum of minima, so no link is lost.  At a coordinate, two sets are
+   connected if their sizes, and what is left of both in that order, allow the overlap; what connects is a cell.
 3. Cells are packed into leaves of bounded size.  Leaves meet in tasks of their own: nodes (runs of points, with the
    largest coordinates as their box) are compared first, then points, then sets.  A cell of many leaves first meets
    its first leaf; leaves of which all sets are already connected need no further meeting.
@@ -26,17 +26,27 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import Scratch, bitmaps, components, in_bitmaps, ship_package
 
 #: Fine groups of which the frequency is counted: 2**FINE, in segments of SEGMENT.
-FINE, SEGMENT = 20, 1 << 14
+FINE, SEGMENT = 24, 1 << 18
+#: Sets at one coordinate up to which every two are looked at; more are chained by size.
+SMALL = 64
 #: Coordinates of a point, sets and shingles in a leaf on average at most, and points in a node.
 DIMS, LEAF_SETS, LEAF_SHINGLES, NODE = 128, 96, 200_000, 16
 WORD_CACHE = 1_000_000
-_words: dict[bytes, int] = {}
+
+
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_words = _Hashes()
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
 
@@ -49,8 +59,6 @@ def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(tokens))], dtype=np.uint64)
     if len(_words) > WORD_CACHE:
         _words.clear()
-    for w in set(tokens).difference(_words.keys()):
-        _words[w] = xxhash.xxh3_64_intdigest(w)
     h = np.fromiter(map(_words.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
     n = len(h) - words + 1
     s = h[:n].copy()
@@ -80,7 +88,7 @@ def _sets_and_counts(words: int):
     """Tasks give one row for each document, and at their end the counts of fine groups, by segment."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(1 << FINE, dtype=np.uint32)
+        counts = np.zeros(1 << FINE, dtype=np.uint8)  # full at 255 in one task, which is common enough to come last
         columns = ["doc_id", "set_id", "n", "segment", "counts"]
         seen: set[int] = set()
         for batch in batches:
@@ -90,8 +98,8 @@ def _sets_and_counts(words: int):
                 key = set_key(s) if len(s) else 0
                 if len(s) and key not in seen:
                     seen.add(key)
-                    # sets hold a group more than once rarely; unbuffered adding keeps those
-                    np.add.at(counts, (s >> np.uint64(64 - FINE)).astype(np.int64), 1)
+                    at = (s >> np.uint64(64 - FINE)).astype(np.int64)
+                    counts[at] += counts[at] < 255
                 rows.append((doc_id, key if len(s) else None, len(s), -1, None))
             out = pd.DataFrame(rows, columns=columns, dtype=object)
             yield out
@@ -105,20 +113,21 @@ def _sets_and_counts(words: int):
 def _sum_counts(rows: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros(SEGMENT, dtype=np.uint64)
     for c in rows["counts"]:
-        total += np.frombuffer(zlib.decompress(c), dtype=np.uint32)
+        total += np.frombuffer(zlib.decompress(c), dtype=np.uint8)
     # quarter powers of two are fine enough to tell a common group from a rare one
     level = np.floor(4 * np.log2(total.astype(np.float64) + 1)).astype(np.uint8)
     return pd.DataFrame({"segment": [int(rows["segment"].iloc[0])], "level": [level.tobytes()]})
 
 
 def _coordinates(words: int, percent: int, levels):
-    """(key, set_id, n): the coordinates by which the root of the tree sends each set."""
+    """(key, size_at, set_id): the coordinates by which the root of the tree sends each set, with the set's size and the
+    coordinate's place in its order (size << 32 | place)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         level = np.frombuffer(zlib.decompress(levels.value), dtype=np.uint8)
         seen: set[int] = set()
         for batch in batches:
-            keys, ids, sizes = [], [], []
+            keys, ids, places = [], [], []
             for text in batch["text"]:
                 s = shingle_set(text, words)
                 n = len(s)
@@ -129,28 +138,56 @@ def _coordinates(words: int, percent: int, levels):
                 first = s[np.argsort(rank, kind="stable")[: n + (-percent * n // 100) + 1]]
                 keys.append(first)
                 ids.append(np.full(len(first), name, dtype=np.int64))
-                sizes.append(np.full(len(first), n, dtype=np.int32))
+                places.append(np.arange(len(first), dtype=np.int64) + (n << 32))
             if keys:
-                yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "set_id": np.concatenate(ids), "n": np.concatenate(sizes)})
+                yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "size_at": np.concatenate(places), "set_id": np.concatenate(ids)})
 
     return run
 
 
+def may_link(n: int, i: int, m: int, j: int, percent: int) -> bool:
+    """Whether sets of n and m shingles can link if the first coordinate they share has places i and j: what is left
+    of either set bounds the overlap."""
+    return min(n - i, m - j) >= needed_overlap(n, m, percent)
+
+
 def _chain(percent: int):
-    """Rows sorted by (key, n, set_id) -> (a, b): each set with the first set of its run of near sizes."""
+    """Rows sorted by (key, size_at) -> (a, b) that connect, at each coordinate, all sets that may link there."""
+
+    def connect(ids: np.ndarray, size_at: np.ndarray, out: list) -> None:
+        n, at = (size_at >> 32).tolist(), (size_at & 0xFFFFFFFF).tolist()
+        ids = ids.tolist()
+        if len(ids) > SMALL:  # by size, each with the first of its run
+            hub = 0
+            for k in range(1, len(ids)):
+                if 100 * n[k - 1] < percent * n[k]:
+                    hub = k
+                elif ids[k] != ids[hub]:
+                    out.append((ids[hub], ids[k]))
+            return
+        forest = Forest()
+        for k in range(1, len(ids)):
+            for h in range(k - 1, -1, -1):
+                if 100 * n[h] < percent * n[k]:
+                    break
+                if ids[h] != ids[k] and may_link(n[h], at[h], n[k], at[k], percent) and forest.join(ids[h], ids[k]):
+                    out.append((ids[h], ids[k]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last_key = last_n = last_id = hub = None
+        rest: list[np.ndarray] = [np.empty(0, dtype=np.int64)] * 3
         for batch in batches:
-            a, b = [], []
-            for key, name, n in zip(batch["key"].to_numpy(), batch["set_id"].to_numpy(), batch["n"].to_numpy(), strict=True):
-                if key != last_key or 100 * last_n < percent * n:
-                    hub = name
-                elif name != last_id:
-                    a.append(hub)
-                    b.append(name)
-                last_key, last_n, last_id = key, n, name
-            yield pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)}).drop_duplicates()
+            key, size_at, ids = (np.concatenate([r, batch[c].to_numpy()]) for r, c in zip(rest, ("key", "size_at", "set_id"), strict=True))
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            last, out = (starts[-1] if len(starts) else 0), []
+            lengths = np.diff(np.append(starts, len(key)))[:-1]
+            for a, c in zip(starts[:-1][lengths > 1].tolist(), lengths[lengths > 1].tolist(), strict=True):
+                connect(ids[a : a + c], size_at[a : a + c], out)
+            rest = [key[last:], size_at[last:], ids[last:]]
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64").drop_duplicates()
+        out = []
+        if len(rest[0]) > 1:
+            connect(rest[2], rest[1], out)
+        yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
 
@@ -237,29 +274,55 @@ def meet(x: Leaf, y: Leaf | None, percent: int, forest: Forest) -> list[tuple[in
     return links
 
 
+def _links(x: Leaf, y: Leaf | None, percent: int) -> list[tuple[int, int]]:
+    forest = Forest()
+    for leaf in (x, y) if y else (x,):
+        for u, v in zip(leaf.ids.tolist(), leaf.labels.tolist(), strict=True):
+            forest.join(u, v)
+    return meet(x, y, percent, forest)
+
+
 def _meet_leaves(percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
                 x = Leaf(r.ids, r.labels, r.sizes, r.sets)
-                y = None if r.leaf == r.other else Leaf(r.ids2, r.labels2, r.sizes2, r.sets2)
-                forest = Forest()
-                for leaf in (x, y) if y else (x,):
-                    for u, v in zip(leaf.ids.tolist(), leaf.labels.tolist(), strict=True):
-                        forest.join(u, v)
-                out += meet(x, y, percent, forest)
+                out += _links(x, None if r.leaf == r.other else Leaf(r.ids2, r.labels2, r.sizes2, r.sets2), percent)
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
 
 
-def _leaf_rows(sets: DataFrame) -> DataFrame:
-    """Deal the sets of each (cell, part) over as many leaves as they need: (.., leaf, number of leaves)."""
+def _meet_itself(percent: int):
+    """The links within one leaf, given as its sets."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        r = pack_leaf(rows.assign(label=rows["set_id"])).iloc[0]
+        return pd.DataFrame(_links(Leaf(r.ids, r.labels, r.sizes, r.sets), None, percent), columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _leaves(sets: DataFrame) -> DataFrame:
+    """(cell, part, leaves): over how many leaves the sets of a part of a cell are to be dealt."""
     size = sets.groupBy("cell", "part").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("sum_n"))
     return size.select("cell", "part", F.ceil(F.greatest(F.col("c") / LEAF_SETS, F.col("sum_n") / LEAF_SHINGLES)).cast("int").alias("leaves"))
 
 
+def _leaf_of(start, leaves) -> Column:
+    return start + F.pmod(F.xxhash64("set_id"), leaves).cast("int")
+
+
+PACKED = "cell long, leaf int, ids binary, labels binary, sizes binary, sets binary"
+
+
+def _pairs_met(packed: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Links between the leaves of each (cell, leaf, other)."""
+    second = packed.select("cell", F.col("leaf").alias("other"), *[F.col(c).alias(f"{c}2") for c in ("ids", "labels", "sizes", "sets")])
+    return pairs.join(packed, ["cell", "leaf"]).join(second, ["cell", "other"]).mapInPandas(_meet_leaves(percent), "a long, b long")
+
+
 def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest id that links lead to, itself included).
 
@@ -276,66 +339,68 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 75, id_co
     pass1 = scratch.cut(docs.mapInPandas(_sets_and_counts(words), "doc_id long, set_id long, n int, segment int, counts binary"), "pass1")
     members = pass1.filter("segment = -1").select("doc_id", "set_id", "n")
     level = pass1.filter("segment >= 0").select("segment", "counts").groupBy("segment").applyInPandas(_sum_counts, "segment int, level binary")
-    table = np.zeros(1 << FINE, dtype=np.uint8)  # fixed size: 1 MB
+    table = np.zeros(1 << FINE, dtype=np.uint8)  # fixed size: 16 MB
     for r in level.collect():
         table[r.segment * SEGMENT : (r.segment + 1) * SEGMENT] = np.frombuffer(r.level, dtype=np.uint8)
     levels = spark.sparkContext.broadcast(zlib.compress(table.tobytes()))
 
     # the root: sets meet at shared coordinates
-    sent = docs.select("text").mapInPandas(_coordinates(words, percent, levels), "key long, set_id long, n int")
+    sent = docs.select("text").mapInPandas(_coordinates(words, percent, levels), "key long, size_at long, set_id long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = sent.repartition(parts, "key").sortWithinPartitions("key", "n", "set_id")
+    sent = sent.repartition(parts, "key").sortWithinPartitions("key", "size_at", "set_id")
     chained = scratch.cut(sent.mapInPandas(_chain(percent), "a long, b long").distinct(), "chained")
     cells = scratch.cut(components(chained, scratch, "cells").select(F.col("id").alias("set_id"), F.col("label").alias("cell")), "cells")
     scratch.drop("chained")
 
-    # sets of the cells' members, hashed again from their texts; a bitmap keeps other texts out of the shuffle
+    # every cell's leaves, before any set travels
     first = members.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-    chosen = scratch.cut(cells.join(first, "set_id").select("set_id", "cell", "n", F.coalesce("doc_id", F.lit(0)).alias("doc_id")), "chosen")
+    chosen = scratch.cut(cells.join(first, "set_id").select("set_id", "cell", "n", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.lit(0).cast("long").alias("part")), "chosen")
+    leaves = scratch.cut(_leaves(chosen), "leaf-counts")
+    chosen = scratch.cut(chosen.join(leaves, ["cell", "part"]).select("set_id", "doc_id", "cell", "n", "leaves", _leaf_of(F.lit(0), F.col("leaves")).alias("leaf")), "dealt")
+
+    # the sets themselves, hashed again from their texts; a bitmap keeps other texts out of the shuffle
     bits = scratch.cut(bitmaps(chosen, F.xxhash64("doc_id")), "bits")
     wanted = docs.select(F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), "text")
     wanted = in_bitmaps(wanted, F.xxhash64("doc_id"), bits, "wanted").filter("wanted").select("doc_id", "text")
     sets = wanted.mapInPandas(_sets(words), "set_id long, doc_id long, shingles binary")
-    sets = scratch.cut(sets.join(chosen, ["set_id", "doc_id"]).select("set_id", "cell", "n", "shingles"), "sets")
-
-    def links(sets: DataFrame, name: str, labelled: bool) -> DataFrame:
-        """Links of the leaves that are to meet: (unlabelled) each with itself and its cell's first, or (labelled)
-        each with all others of its cell that may hold another class."""
-        leaves = _leaf_rows(sets)
-        starts = leaves.select("cell", "part", "leaves", F.coalesce(F.sum("leaves").over(_before()), F.lit(0)).cast("int").alias("start")) if labelled else leaves.withColumn("start", F.lit(0))
-        starts = scratch.cut(starts, f"{name}-starts")
-        dealt = sets.join(starts, ["cell", "part"]).withColumn("leaf", F.col("start") + F.pmod(F.xxhash64("set_id"), F.col("leaves")).cast("int"))
-        packed = dealt.select("cell", "leaf", "set_id", "label", "shingles").groupBy("cell", "leaf").applyInPandas(pack_leaf, "cell long, leaf int, ids binary, labels binary, sizes binary, sets binary")
-        packed = scratch.cut(packed, f"{name}-leaves")
-        if labelled:
-            # a part of one class needs no meeting among its own leaves; ``part`` 0 holds the small classes
-            ends = starts.groupBy("cell").agg(F.max(F.col("start") + F.col("leaves")).alias("total"))
-            each = starts.join(ends, "cell").select("cell", "part", F.col("start"), (F.col("start") + F.col("leaves")).alias("stop"), "total", F.explode(F.sequence("start", F.col("start") + F.col("leaves") - 1)).alias("leaf"))
-            low = F.when(F.col("part") == 0, F.col("leaf")).otherwise(F.col("stop"))
+    sets = scratch.cut(sets.join(chosen, ["set_id", "doc_id"]).select("set_id", "cell", "leaf", "leaves", "n", "shingles"), "sets")
+
+    # each leaf meets itself; a cell's other leaves meet its first
+    own = sets.select("cell", "leaf", "set_id", "shingles").groupBy("cell", "leaf").applyInPandas(_meet_itself(percent), "a long, b long")
+    found = scratch.cut(own, "links-0")
+    large = sets.filter("leaves > 1")
+    more = chosen.filter("leaves > 1")
+    labels = scratch.cut(components(found, scratch, "classes-0"), "labels-0")
+    if more.limit(1).count():
+        packed = large.select("cell", "leaf", "set_id", F.col("set_id").alias("label"), "shingles").groupBy("cell", "leaf").applyInPandas(pack_leaf, PACKED)
+        packed = scratch.cut(packed, "leaves-1")
+        pairs = packed.filter("leaf > 0").select("cell", "leaf", F.lit(0).alias("other"))
+        found = scratch.cut(found.union(_pairs_met(packed, pairs, percent)), "links-1")
+        scratch.drop("leaves-1")
+        labels = scratch.cut(components(found, scratch, "classes-1"), "labels-1")
+        # cells that are one class by now are done; in others, leaves are dealt anew, by class where it is large
+        marked = more.select("set_id", "cell", "n").join(labels.select(F.col("id").alias("set_id"), "label"), "set_id", "left").select("set_id", "cell", "n", F.coalesce("label", "set_id").alias("label"))
+        marked = scratch.cut(marked, "marked")
+        classes = marked.groupBy("cell", "label").agg(F.count(F.lit(1)).alias("c"))
+        mixed = classes.groupBy("cell").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("cell")
+        parts_of = classes.join(mixed, "cell").select("cell", "label", F.when(F.col("c") >= LEAF_SETS, F.col("label")).otherwise(F.lit(0)).alias("part"))
+        marked = scratch.cut(marked.join(scratch.cut(parts_of, "parts"), ["cell", "label"]), "mixed")
+        leaves = _leaves(marked)
+        before = Window.partitionBy("cell").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        leaves = scratch.cut(leaves.select("*", F.coalesce(F.sum("leaves").over(before), F.lit(0)).cast("int").alias("start")), "starts")
+        if leaves.limit(1).count():
+            marked = scratch.cut(marked.join(leaves, ["cell", "part"]).select("set_id", "label", _leaf_of(F.col("start"), F.col("leaves")).alias("leaf")), "assigned")
+            packed = large.select("cell", "set_id", "shingles").join(marked, "set_id").groupBy("cell", "leaf").applyInPandas(pack_leaf, PACKED)
+            packed = scratch.cut(packed, "leaves-2")
+            # a part of one class needs no meeting among its own leaves; part 0 holds the small classes
+            ends = leaves.groupBy("cell").agg(F.max(F.col("start") + F.col("leaves")).alias("total"))
+            each = leaves.join(ends, "cell").select("*", F.explode(F.sequence("start", F.col("start") + F.col("leaves") - 1)).alias("leaf"))
+            low = F.when(F.col("part") == 0, F.col("leaf")).otherwise(F.col("start") + F.col("leaves"))
             pairs = each.filter(low < F.col("total")).select("cell", "leaf", F.explode(F.sequence(low, F.col("total") - 1)).alias("other"))
-        else:
-            pairs = packed.select("cell", "leaf", F.explode(F.array_distinct(F.array("leaf", F.lit(0)))).alias("other"))
-        second = packed.select("cell", F.col("leaf").alias("other"), *[F.col(c).alias(f"{c}2") for c in ("ids", "labels", "sizes", "sets")])
-        met = pairs.join(packed, ["cell", "leaf"]).join(second, ["cell", "other"]).mapInPandas(_meet_leaves(percent), "a long, b long")
-        met = scratch.cut(met, f"{name}-links")
-        scratch.drop(f"{name}-leaves")
-        return met
-
-    own = sets.select("*", F.col("set_id").alias("label"), F.lit(0).cast("long").alias("part"))
-    found = links(own, "first", labelled=False)
-    labels = scratch.cut(components(found, scratch, "classes-1"), "labels-1")
-    marked = sets.join(labels.select(F.col("id").alias("set_id"), "label"), "set_id", "left").select("set_id", "cell", "n", "shingles", F.coalesce("label", "set_id").alias("label"))
-    marked = scratch.cut(marked, "marked")
-    # cells of one leaf have met in full; of the others, those of one class are done
-    many = _leaf_rows(marked.withColumn("part", F.lit(0).cast("long"))).filter("leaves > 1").select("cell")
-    classes = marked.join(many, "cell").groupBy("cell", "label").agg(F.count(F.lit(1)).alias("c"))
-    mixed = classes.groupBy("cell").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("cell")
-    parts_of = scratch.cut(classes.join(mixed, "cell").select("cell", "label", F.when(F.col("c") >= LEAF_SETS, F.col("label")).otherwise(F.lit(0)).alias("part")), "mixed")
-    if parts_of.limit(1).count():
-        rest = links(scratch.cut(marked.join(parts_of, ["cell", "label"]), "rest"), "second", labelled=True)
-        labels = scratch.cut(components(found.union(rest), scratch, "classes-2"), "labels-2")
+            found = scratch.cut(found.union(_pairs_met(packed, pairs, percent)), "links-2")
+            scratch.drop("leaves-2")
+            labels = scratch.cut(components(found, scratch, "classes-2"), "labels-2")
     scratch.drop("sets")
-    scratch.drop("marked")
 
     # back to documents: classes of sets first, then the rows of each set
     by_set = members.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"))
@@ -345,9 +410,3 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 75, id_co
     named = scratch.cut(by_set.join(least, "label").select("set_id", "component_id"), "named")
     blank = members.filter("set_id is null").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return members.filter("set_id is not null").join(named, "set_id").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id").unionByName(blank)
-
-
-def _before():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("cell").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
