@@ -8,7 +8,9 @@ pieces of bins that stay underfull are dealt again over fewer groups, until one
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -25,8 +27,52 @@ GROUP, CACHE_ENTRIES, END = 40_000, 600_000, 0
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def _ids(tok, texts: list[str]) -> list[bytes]:
-    return [np.array(e.ids, dtype="<u4").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
+#: Latin letters without marks of their own that lower-casing would split, and a run of ASCII punctuation (without
+#: the apostrophe, which contractions begin with) after them.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that a byte-level vocabulary writes for each byte: itself if it shows, else one from U+0100 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    return {b: chr(b if b in shown else next(hidden)) for b in range(256)}
+
+
+class WordIds(dict):
+    """word (bytes without ASCII white space) -> its ids as little-endian unsigned 32-bit integers."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        self.tok, self.letters, self.plain = hf_tokenizer(path), _byte_letters(), {}
+        self.marks = {"": b""}
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _letters(self, word: str) -> bytes:
+        """A run of plain letters is one pre-token, so only the merges are left to do."""
+        found = self.plain.get(word)
+        if found is None:
+            text = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+            found = self.plain[word] = array("I", [t.id for t in self.tok.model.tokenize(text)]).tobytes()
+        return found
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        m = PLAIN.fullmatch(text)
+        if m and m[2] not in self.marks:
+            self.marks[m[2]] = self._whole(m[2])
+        found = self[word] = self._letters(m[1].lower()) + self.marks[m[2]] if m else self._whole(text)
+        return found
+
+    def bound(self) -> None:
+        if len(self) > CACHE_ENTRIES:
+            self.clear()
+        if len(self.plain) > CACHE_ENTRIES:
+            self.plain.clear()
+        if len(self.marks) > CACHE_ENTRIES:
+            self.marks = {"": b""}
 
 
 def token_ids(texts, path: str) -> list[bytes]:
@@ -36,16 +82,11 @@ def token_ids(texts, path: str) -> list[bytes]:
     distinct word is encoded once in a worker.
     """
     if ("words", path) not in WORKER:
-        WORKER[("words", path)] = (hf_tokenizer(path), {})
-    tok, cache = WORKER[("words", path)]
-    if len(cache) > CACHE_ENTRIES:
-        cache.clear()
-    out = []
+        WORKER[("words", path)] = WordIds(path)
+    ids, out = WORKER[("words", path)], []
     for run in small_runs(texts):
-        split = [t.encode("utf-8", "surrogatepass").split() for t in run]
-        new = list(set().union(*split).difference(cache.keys()))
-        cache.update(zip(new, _ids(tok, [w.decode("utf-8", "replace") for w in new]), strict=True))
-        out += [b"".join(map(cache.__getitem__, words)) for words in split]
+        ids.bound()
+        out += [b"".join(map(ids.__getitem__, t.encode("utf-8", "surrogatepass").split())) for t in run]
     return out
 
 
