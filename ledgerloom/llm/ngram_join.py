@@ -10,7 +10,8 @@ the sets themselves.
 2. The root of the tree sends a set to the coordinates (finest groups: single shingles) at which it can meet a
    linked set first: taken in one common order, rarest group first, the first n - ceil(0.75 n) + 1 coordinates.  Two
    sets that share none of these have too small a sum of minima, so no link is lost.  At a coordinate, two sets are
-   connected if their sizes, and what is left of both in that order, allow the overlap; what connects is a cell.
+   connected if their sizes, what is left of both in that order, and the number of coordinates they share allow the
+   overlap; what connects is a cell.
 3. Cells are packed into leaves of bounded size.  Leaves meet in tasks of their own: nodes (runs of points, with the
    largest coordinates as their box) are compared first, then points, then sets.  A cell of many leaves first meets
    its first leaf; leaves of which all sets are already connected need no further meeting.
@@ -35,6 +36,7 @@ from ledgerloom.llm.common import Scratch, bitmaps, components, in_bitmaps, ship
 FINE, SEGMENT = 24, 1 << 18
 #: Sets at one coordinate up to which every two are looked at; more are chained by size.
 SMALL = 64
+ENOUGH = 1 << 31
 #: Coordinates of a point, sets and shingles in a leaf on average at most, and points in a node.
 DIMS, LEAF_SETS, LEAF_SHINGLES, NODE = 128, 96, 200_000, 16
 WORD_CACHE = 1_000_000
@@ -145,53 +147,74 @@ def _coordinates(words: int, percent: int, levels):
     return run
 
 
-def may_link(n: int, i: int, m: int, j: int, percent: int) -> bool:
-    """Whether sets of n and m shingles can link if the first coordinate they share has places i and j: what is left
-    of either set bounds the overlap."""
-    return min(n - i, m - j) >= needed_overlap(n, m, percent)
+def _meetings(percent: int):
+    """Rows sorted by (key, size_at) -> (a, b, sizes, place, shared): two sets that share coordinates, both sizes (of
+    a << 32 | of b), the first places at which they do (likewise), and how many they share in this task.
 
-
-def _chain(percent: int):
-    """Rows sorted by (key, size_at) -> (a, b) that connect, at each coordinate, all sets that may link there."""
+    Where more than SMALL sets share a coordinate, each meets the first of its run of near sizes only, with a count
+    that always suffices.
+    """
 
     def connect(ids: np.ndarray, size_at: np.ndarray, out: list) -> None:
         n, at = (size_at >> 32).tolist(), (size_at & 0xFFFFFFFF).tolist()
         ids = ids.tolist()
-        if len(ids) > SMALL:  # by size, each with the first of its run
+        if len(ids) > SMALL:
             hub = 0
             for k in range(1, len(ids)):
                 if 100 * n[k - 1] < percent * n[k]:
                     hub = k
                 elif ids[k] != ids[hub]:
-                    out.append((ids[hub], ids[k]))
+                    out.append((ids[hub], ids[k], n[k] << 32 | n[k], 0, ENOUGH))
             return
-        forest = Forest()
         for k in range(1, len(ids)):
             for h in range(k - 1, -1, -1):
                 if 100 * n[h] < percent * n[k]:
                     break
-                if ids[h] != ids[k] and may_link(n[h], at[h], n[k], at[k], percent) and forest.join(ids[h], ids[k]):
-                    out.append((ids[h], ids[k]))
+                if ids[h] != ids[k]:
+                    x, y = (h, k) if ids[h] < ids[k] else (k, h)
+                    out.append((ids[x], ids[y], n[x] << 32 | n[y], at[x] << 32 | at[y], 1))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def summed(out: list) -> pd.DataFrame:
+            rows = pd.DataFrame(out, columns=["a", "b", "sizes", "place", "shared"], dtype="int64")
+            return rows.groupby(["a", "b"], sort=False, as_index=False).agg({"sizes": "max", "place": "min", "shared": "sum"})
+
         rest: list[np.ndarray] = [np.empty(0, dtype=np.int64)] * 3
+        out: list = []
         for batch in batches:
             key, size_at, ids = (np.concatenate([r, batch[c].to_numpy()]) for r, c in zip(rest, ("key", "size_at", "set_id"), strict=True))
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            last, out = (starts[-1] if len(starts) else 0), []
+            last = starts[-1] if len(starts) else 0
             lengths = np.diff(np.append(starts, len(key)))[:-1]
             for a, c in zip(starts[:-1][lengths > 1].tolist(), lengths[lengths > 1].tolist(), strict=True):
                 connect(ids[a : a + c], size_at[a : a + c], out)
             rest = [key[last:], size_at[last:], ids[last:]]
-            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64").drop_duplicates()
-        out = []
+            if len(out) > 200_000:
+                yield summed(out)
+                out = []
         if len(rest[0]) > 1:
             connect(rest[2], rest[1], out)
-        yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        yield summed(out)
 
     return run
 
 
+def may_link(pairs: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the meetings that can be links, by two bounds on the overlap.
+
+    What is left of either set at the first shared place must hold the needed overlap.  And whichever set's
+    coordinates end first in the common order, the rest of that set is all that the overlap can have besides the
+    coordinates that both sent, so they must share the difference.
+    """
+    every = pairs.groupBy("a", "b").agg(F.max("sizes").alias("sizes"), F.min("place").alias("place"), F.sum("shared").alias("shared"))
+    low = (1 << 32) - 1
+    n, m = F.shiftright("sizes", 32), F.col("sizes").bitwiseAND(F.lit(low))
+    i, j = F.shiftright("place", 32), F.col("place").bitwiseAND(F.lit(low))
+    need = F.floor((percent * (n + m) + 99 + percent) / (100 + percent))
+    rest = F.greatest(*[F.floor((percent * x + 99) / 100) - 1 for x in (n, m)])
+    return every.filter((F.least(n - i, m - j) >= need) & (F.col("shared") >= need - rest)).select("a", "b")
+
+
 def _sets(words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -348,7 +371,8 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 75, id_co
     sent = docs.select("text").mapInPandas(_coordinates(words, percent, levels), "key long, size_at long, set_id long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sent = sent.repartition(parts, "key").sortWithinPartitions("key", "size_at", "set_id")
-    chained = scratch.cut(sent.mapInPandas(_chain(percent), "a long, b long").distinct(), "chained")
+    met = sent.mapInPandas(_meetings(percent), "a long, b long, sizes long, place long, shared long")
+    chained = scratch.cut(may_link(met, percent), "chained")
     cells = scratch.cut(components(chained, scratch, "cells").select(F.col("id").alias("set_id"), F.col("label").alias("cell")), "cells")
     scratch.drop("chained")
 

@@ -93,3 +93,25 @@ def test_bound_never_falls_below_the_overlap():
         import numpy as np
 
         assert np.minimum(nj.point(a), nj.point(b)).sum() >= len(np.intersect1d(a, b))
+
+
+def test_meetings_lose_no_link():
+    """Every linked pair shares enough coordinates, whatever the common order."""
+    r = random.Random(11)
+    for _ in range(400):
+        n = r.randint(1, 60)
+        a = r.sample(range(200), n)
+        b = [x for x in a if r.random() < 0.9] + r.sample(range(200, 300), r.randint(0, 10))
+        if not b:
+            continue
+        order = {x: r.random() for x in range(300)}
+        sa, sb = (sorted(x, key=order.get) for x in (a, b))
+        pa, pb = (s[: len(s) + (-75 * len(s) // 100) + 1] for s in (sa, sb))
+        overlap, need = len(set(a) & set(b)), nj.needed_overlap(len(a), len(b), 75)
+        assert (100 * overlap >= 75 * (len(a) + len(b) - overlap)) == (overlap >= need)
+        if overlap >= need:
+            shared = set(pa) & set(pb)
+            first = min(shared, key=order.get)
+            rest = max(len(a) - len(pa), len(b) - len(pb))
+            assert len(shared) >= need - rest and min(len(a) - sa.index(first), len(b) - sb.index(first)) >= need
+            assert rest == max(-(-75 * x // 100) - 1 for x in (len(a), len(b)))
