@@ -1,8 +1,8 @@
 """A temporal knowledge graph kept as node and edge tables.
 
 Edges are (src, dst, rel, weight, valid_from, ...).  Walks are loops of joins that keep the frontier small: visited
-ids are anti-joined, hubs are cut to their heaviest edges first, and each step is written out through ``checkpoint``
-so that the plan stays short.
+ids are anti-joined, and each step is written out through ``checkpoint`` so that the plan stays short.  All edges are
+walked unless a caller asks for each node's k heaviest (``k``).
 """
 
 from __future__ import annotations
@@ -59,17 +59,41 @@ def contradictions(edges: DataFrame) -> DataFrame:
     return pairs.groupBy("src", "dst", "evidence", "polarity").agg(F.max(F.struct("other_from", "other")).alias("x")).select("src", "dst", "evidence", "polarity", F.col("x.other").alias("other"))
 
 
-def two_hops(edges: DataFrame, k: int) -> DataFrame:
-    """(src, mid, dst, score): chains of two edges over each node's k heaviest, score the sum of weights."""
-    top = heaviest(edges.select("src", "dst", "weight"), k).drop("rn")
-    second = top.select(F.col("src").alias("mid"), F.col("dst").alias("end"), F.col("weight").alias("w2"))
-    return top.withColumnRenamed("dst", "mid").join(second, "mid").select("src", "mid", F.col("end").alias("dst"), F.round(F.col("weight") + F.col("w2"), 4).alias("score"))
+def walked(edges: DataFrame, k: int | None) -> DataFrame:
+    """(src, dst, weight): all edges, or each node's k heaviest."""
+    e = edges.select("src", "dst", "weight")
+    return e if k is None else heaviest(e, k).drop("rn")
 
 
-def paths_to_two(edges: DataFrame, k: int, top: int) -> DataFrame:
+def chains(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(src, mid, dst, score): an edge of ``first`` and one of ``second`` that goes on from it, score the sum of weights."""
+    after = second.select(F.col("src").alias("mid"), F.col("dst").alias("end"), F.col("weight").alias("w2"))
+    return first.withColumnRenamed("dst", "mid").join(after, "mid").select("src", "mid", F.col("end").alias("dst"), F.round(F.col("weight") + F.col("w2"), 4).alias("score"))
+
+
+def two_hops(edges: DataFrame, k: int | None = None) -> DataFrame:
+    """(src, mid, dst, score): chains of two edges, score the sum of weights."""
+    e = walked(edges, k)
+    return chains(e, e)
+
+
+def last_hops(edges: DataFrame, top: int) -> DataFrame:
+    """(src, dst, weight): edges that can end one of the ``top`` best chains through their source.
+
+    Scores round to 1e-4, so an edge within twice that of the node's ``top``-th weight may still tie with it; of edges
+    of one weight only the first ``top`` targets count.
+    """
+    e = edges.select("src", "dst", "weight")
+    least = heaviest(e, top).groupBy("src").agg((F.min("weight") - 2e-4).alias("least"))
+    rn = F.row_number().over(Window.partitionBy("src", "weight").orderBy("dst"))
+    return e.join(least, "src").filter("weight >= least").drop("least").withColumn("rn", rn).filter(F.col("rn") <= top).drop("rn")
+
+
+def paths_to_two(edges: DataFrame, k: int | None, top: int) -> DataFrame:
     """The ``top`` best paths of one or two edges from each node."""
-    one = heaviest(edges.select("src", "dst", "weight"), k).select("src", F.lit(None).cast("string").alias("mid"), "dst", F.col("weight").alias("score"), F.lit(1).alias("hops"))
-    both = one.unionByName(two_hops(edges, k).withColumn("hops", F.lit(2)))
+    e = walked(edges, k)
+    one = e.select("src", F.lit(None).cast("string").alias("mid"), "dst", F.col("weight").alias("score"), F.lit(1).alias("hops"))
+    both = one.unionByName(chains(e, last_hops(e, top)).withColumn("hops", F.lit(2)))
     rn = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("score"), "hops", "dst", "mid"))
     return both.withColumn("rn", rn).filter(F.col("rn") <= top)
 
@@ -81,9 +105,9 @@ def peers(edges: DataFrame, least: int) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least)
 
 
-def reach(edges: DataFrame, seeds: DataFrame, depth: int, k: int) -> DataFrame:
-    """(id, hops): nodes within ``depth`` hops of seeds (id) along each node's k heaviest edges, nearest hop."""
-    top = cut(heaviest(edges.select("src", "dst", "weight"), k).select("src", "dst"))
+def reach(edges: DataFrame, seeds: DataFrame, depth: int, k: int | None = None) -> DataFrame:
+    """(id, hops): nodes within ``depth`` hops of seeds (id) along the edges, nearest hop."""
+    top = cut(walked(edges, k).select("src", "dst"))
     seen = frontier = cut(seeds.select("id", F.lit(0).alias("hops")).distinct())
     for hop in range(1, depth + 1):
         step = frontier.join(top, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()

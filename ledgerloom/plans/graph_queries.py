@@ -95,6 +95,17 @@ def best_paths(spark, sf):
     return g.paths_to_two(t.edges(spark, sf), 10, 20)
 
 
+@query("kg9_two_hops_whole", f"{with_(EDGES)} SELECT a.src, a.dst AS mid, b.dst, round(a.weight + b.weight, 4) AS score FROM edges a JOIN edges b ON a.dst = b.src")
+def two_hops_whole(spark, sf):
+    return g.two_hops(t.edges(spark, sf))
+
+
+@query("kg10_best_paths_whole", f"""{with_(EDGES)}, p AS (SELECT src, NULL::VARCHAR AS mid, dst, weight AS score, 1 AS hops FROM edges UNION ALL SELECT a.src, a.dst, b.dst, round(a.weight + b.weight, 4), 2 FROM edges a JOIN edges b ON a.dst = b.src)
+    SELECT src, mid, dst, score, hops, row_number() OVER (PARTITION BY src ORDER BY score DESC, hops, dst, mid) AS rn FROM p QUALIFY rn <= 20""")
+def best_paths_whole(spark, sf):
+    return g.paths_to_two(t.edges(spark, sf), None, 20)
+
+
 @query("kg13_peers", f"""{with_(EDGES)}, e AS (SELECT src, dst FROM edges WHERE rel = 'SUPPLIES') SELECT a.src AS a, b.src AS b, count(*) AS shared FROM e a JOIN e b ON a.dst = b.dst AND a.src < b.src GROUP BY 1, 2 HAVING count(*) >= 8""")
 def peers(spark, sf):
     return g.peers(t.edges(spark, sf).filter("rel = 'SUPPLIES'"), 8)
@@ -114,6 +125,11 @@ def chain(spark, sf):
     return g.reach(t.edges(spark, sf), seeds, 4, 10)
 
 
+@query("kg11_chain_whole", f"""{with_(EDGES).replace('WITH', 'WITH RECURSIVE', 1)}, r AS (SELECT 'C:' || s_suppkey AS id, 0 AS hops FROM supplier UNION SELECT edges.dst, r.hops + 1 FROM r JOIN edges ON r.id = edges.src WHERE r.hops < 5) SELECT id, min(hops) AS hops FROM r GROUP BY id""")
+def chain_whole(spark, sf):
+    return g.reach(t.edges(spark, sf), t.table(spark, sf, "supplier").select(F.concat(F.lit("C:"), "s_suppkey").alias("id")), 5)
+
+
 @query("kg12_shortest_paths", f"""{with_(EDGES)}, n AS (SELECT src, dst FROM edges WHERE weight >= 0.6 UNION SELECT dst, src FROM edges WHERE weight >= 0.6), q AS (SELECT 'C:' || s_suppkey AS src, 'C:' || (s_suppkey + 1) AS dst FROM supplier WHERE s_suppkey % 10 = 0),
     h1 AS (SELECT q.src AS root, q.dst AS goal, n.dst AS id FROM q JOIN n ON q.src = n.src), h2 AS (SELECT DISTINCT root, goal, n.dst AS id FROM h1 JOIN n ON h1.id = n.src), h3 AS (SELECT DISTINCT root, goal, n.dst AS id FROM h2 JOIN n ON h2.id = n.src), h4 AS (SELECT DISTINCT root, goal, n.dst AS id FROM h3 JOIN n ON h3.id = n.src),
     a AS (SELECT root, goal, 1 AS hops FROM h1 WHERE id = goal UNION ALL SELECT root, goal, 2 FROM h2 WHERE id = goal UNION ALL SELECT root, goal, 3 FROM h3 WHERE id = goal UNION ALL SELECT root, goal, 4 FROM h4 WHERE id = goal)
@@ -222,6 +238,13 @@ def propagation(spark, sf):
     return out.select("signal_id", "target", "hops", F.round(F.col("confidence") * 1.000000000001, 3).alias("confidence"))
 
 
+@query("sg4_graph_propagation_whole", f"""{with_(EDGES)}, {_SIG}, p AS (SELECT src, dst, weight AS edge, 1 AS hops FROM edges UNION ALL SELECT a.src, b.dst, (a.weight + b.weight) / 2, 2 FROM edges a JOIN edges b ON a.dst = b.src), q AS (SELECT src, dst, max(edge) AS edge, min(hops) AS hops FROM p GROUP BY 1, 2)
+    SELECT signal_id, dst AS target, hops, round((0.3 * source_confidence + 0.3 * strength / 100 + 0.4 * edge - 0.04 * (hops - 1)) * 1.000000000001, 3) AS confidence FROM sig JOIN q ON sig.subject = q.src WHERE kind IN ('purchase', 'error')""")
+def propagation_whole(spark, sf):
+    out = s.graph_propagation(_signals(spark, sf).filter("kind in ('purchase', 'error')"), t.edges(spark, sf))
+    return out.select("signal_id", "target", "hops", F.round(F.col("confidence") * 1.000000000001, 3).alias("confidence"))
+
+
 @query("sg7_catalysts", f"""{with_(HEAT, MEMBERS)}, c AS (SELECT concept, trade_date, ups, date_diff('day', DATE '2000-06-30', trade_date) AS lead_days FROM heat WHERE trade_date BETWEEN DATE '2000-06-30' AND DATE '2000-06-30' + 7), h AS (SELECT concept, count(*) AS held FROM members WHERE code % 10 = 0 GROUP BY 1)
     SELECT c.concept, trade_date, lead_days, greatest(0, least(100, trunc((50 + ups * 10) * 0.45 + 0.72 * 25 + CASE WHEN held >= 3 THEN 20 WHEN held >= 1 THEN 12 ELSE 0 END + CASE WHEN lead_days <= 1 THEN 15 WHEN lead_days <= 3 THEN 12 WHEN lead_days <= 5 THEN 8 ELSE 0 END)))::INTEGER AS value,
     CASE WHEN held >= 3 THEN 'portfolio' WHEN held >= 1 THEN 'watch' ELSE 'market' END AS scope FROM c LEFT JOIN h ON c.concept = h.concept""")
