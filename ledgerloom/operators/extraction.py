@@ -69,10 +69,38 @@ def merge_aliases(existing: DataFrame, new: DataFrame, full: bool) -> DataFrame:
     return base.unionByName(new.join(base.select("alias"), "alias", "left_anti"))
 
 
+def _grams(name: str, size: int) -> Column:
+    """The distinct character n-grams of a column of at least ``size`` characters."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(name) - size + 1), lambda i: F.substring(F.col(name), i, F.lit(size))))
+
+
+def containments(outer: DataFrame, inner: DataFrame) -> DataFrame:
+    """(outer, inner): names of ``inner``, from two characters on, that lie in a name of ``outer``.
+
+    A name that lies in another has all its n-grams there, so each inner name meets the outer ones that hold its rarest
+    3-gram (of two characters: the name itself), and containment is tested there.
+    """
+    pairs = None
+    for size, these in ((2, F.length("inner") == 2), (3, F.length("inner") >= 3)):
+        held = outer.filter(F.length("outer") >= size).select("outer", F.explode(_grams("outer", size)).alias("gram"))
+        own = inner.filter(these).select("inner", F.explode(_grams("inner", size)).alias("gram"))
+        counted = own.join(held.groupBy("gram").agg(F.count(F.lit(1)).alias("c")), "gram", "left")
+        rarest = counted.groupBy("inner").agg(F.min(F.struct(F.coalesce("c", F.lit(0)), "gram")).alias("x")).select("inner", "x.gram")
+        met = held.join(rarest, "gram").filter(F.contains("outer", "inner")).select("outer", "inner")
+        pairs = met if pairs is None else pairs.unionByName(met)
+    return pairs
+
+
 def user_hits(signals: DataFrame, holdings: DataFrame) -> DataFrame:
     """(signal_id, user, names): users whose names a signal's names equal or, from two characters on, hold or lie in."""
-    pairs = signals.select("signal_id", F.explode("names").alias("n")).join(F.broadcast(holdings), (F.col("n") == F.col("name")) | ((F.length("n") >= 2) & (F.length("name") >= 2) & (F.contains("n", "name") | F.contains("name", "n"))))
-    return pairs.groupBy("signal_id", "user").agg(F.array_sort(F.collect_set("name")).alias("names"))
+    each = signals.select("signal_id", F.explode("names").alias("n")).filter("n is not null").distinct()
+    held = holdings.select("user", "name").filter("name is not null").distinct()
+    a, b = each.select("n").distinct(), held.select("name").distinct()
+    same = a.join(b, F.col("n") == F.col("name"))
+    holds = containments(a.withColumnRenamed("n", "outer"), b.withColumnRenamed("name", "inner")).select(F.col("outer").alias("n"), F.col("inner").alias("name"))
+    lies = containments(b.withColumnRenamed("name", "outer"), a.withColumnRenamed("n", "inner")).select(F.col("inner").alias("n"), F.col("outer").alias("name"))
+    met = same.unionByName(holds).unionByName(lies).distinct()
+    return each.join(met, "n").join(held, "name").groupBy("signal_id", "user").agg(F.array_sort(F.collect_set("name")).alias("names"))
 
 
 def newest_k(df: DataFrame, key: str, order: list, k: int) -> DataFrame:

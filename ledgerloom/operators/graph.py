@@ -117,16 +117,22 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int, k: int | None = None)
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
-    """(src, dst, hops) of pairs (src, dst) that at most ``most`` undirected hops connect: breadth first for all pairs."""
+    """(src, dst, hops) of pairs (src, dst) that at most ``most`` undirected hops connect: breadth first for all pairs,
+    from each source until its last pair is found or nothing new is met."""
     near = cut(undirected(edges).select("src", "dst").distinct())
-    seen = frontier = cut(pairs.select(F.col("src").alias("root"), F.col("src").alias("id")).distinct())
+    left = cut(pairs.select(F.col("src").alias("root"), F.col("dst").alias("id")).distinct())
+    seen = frontier = cut(left.select("root", F.col("root").alias("id")).distinct())
     found = None
     for hop in range(1, most + 1):
         step = frontier.join(near, F.col("id") == F.col("src")).select("root", F.col("dst").alias("id")).distinct()
         frontier = cut(step.join(seen, ["root", "id"], "left_anti"))
-        hits = frontier.join(pairs.select(F.col("src").alias("root"), F.col("dst").alias("id")), ["root", "id"]).select(F.col("root").alias("src"), F.col("id").alias("dst"), F.lit(hop).alias("hops"))
+        hits = frontier.join(left, ["root", "id"]).select(F.col("root").alias("src"), F.col("id").alias("dst"), F.lit(hop).alias("hops"))
         found = hits if found is None else found.unionByName(hits)
+        left = cut(left.join(frontier, ["root", "id"], "left_anti"))
         seen = cut(seen.unionByName(frontier))
+        frontier = frontier.join(left.select("root").distinct(), "root", "left_semi")
+        if not frontier.limit(1).count():
+            break
     return found
 
 

@@ -142,6 +142,16 @@ def user_hits(spark, sf):
     return x.user_hits(s, h)
 
 
+@query("jn14_user_hits_whole", f"""WITH s AS (SELECT event_id AS signal_id, unnest(['Supplier#' || lpad((user_id % 40)::VARCHAR, 9, '0'), event_type]) AS n FROM events WHERE event_type = 'error'),
+    h AS (SELECT DISTINCT c_custkey % 7 AS usr, CASE WHEN c_custkey % 2 = 0 THEN 'Supplier#' || lpad((c_custkey % 40)::VARCHAR, 9, '0') ELSE '#' || lpad((c_custkey % 40)::VARCHAR, 9, '0') END AS name FROM customer)
+    SELECT signal_id, usr AS "user", list_sort(list(DISTINCT name)) AS names FROM s JOIN h ON n = name OR (length(n) >= 2 AND length(name) >= 2 AND (contains(n, name) OR contains(name, n))) GROUP BY 1, 2""")
+def user_hits_whole(spark, sf):
+    s = t.table(spark, sf, "events").filter("event_type = 'error'").select(F.col("event_id").alias("signal_id"), F.array(F.concat(F.lit("Supplier#"), F.lpad((F.col("user_id") % 40).cast("string"), 9, "0")), "event_type").alias("names"))
+    number = F.lpad((F.col("c_custkey") % 40).cast("string"), 9, "0")
+    h = t.table(spark, sf, "customer").select((F.col("c_custkey") % 7).alias("user"), F.concat(F.when(F.col("c_custkey") % 2 == 0, "Supplier#").otherwise("#"), number).alias("name"))
+    return x.user_hits(s, h)
+
+
 @query("src6_membership_load", """WITH raw AS (SELECT p_brand AS concept, CASE WHEN p_partkey % 7 = 0 THEN 'bad' ELSE lpad((600000 + p_partkey % 300)::VARCHAR, 6, '0') END AS code FROM part)
     SELECT DISTINCT concept, code || '.SH' AS code FROM raw WHERE code <> 'bad' AND (code::VARCHAR) IN (SELECT (600000 + s_suppkey)::VARCHAR FROM supplier)""")
 def membership(spark, sf):

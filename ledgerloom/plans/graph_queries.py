@@ -139,6 +139,17 @@ def shortest(spark, sf):
     return g.shortest_paths(t.edges(spark, sf).filter("weight >= 0.6"), pairs, 4)
 
 
+_HOPS = ", ".join(f"h{i} AS (SELECT DISTINCT root, goal, n.dst AS id FROM h{i - 1} JOIN n ON h{i - 1}.id = n.src)" for i in range(1, 7))
+_GOALS = " UNION ALL ".join(f"SELECT root, goal, {i} AS hops FROM h{i} WHERE id = goal" for i in range(1, 7))
+
+
+@query("kg12_shortest_paths_whole", f"""{with_(EDGES)}, n AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), h0 AS (SELECT 'C:' || s_suppkey AS root, 'C:' || (s_suppkey + 1) AS goal, 'C:' || s_suppkey AS id FROM supplier WHERE s_suppkey % 100 = 0),
+    {_HOPS}, a AS ({_GOALS}) SELECT root AS src, goal AS dst, min(hops) AS hops FROM a GROUP BY 1, 2""")
+def shortest_whole(spark, sf):
+    pairs = t.table(spark, sf, "supplier").filter("s_suppkey % 100 = 0").select(F.concat(F.lit("C:"), "s_suppkey").alias("src"), F.concat(F.lit("C:"), F.col("s_suppkey") + 1).alias("dst"))
+    return g.shortest_paths(t.edges(spark, sf), pairs, 6)
+
+
 _NAMES = "names AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 10 = 1 THEN replace(c_name, 'Customer', 'Custmer') ELSE c_name END AS name FROM customer UNION ALL SELECT c_custkey + 10000000, c_name FROM customer WHERE c_custkey % 20 = 1)"
 
 

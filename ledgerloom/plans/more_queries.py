@@ -207,6 +207,11 @@ def expansion(spark, sf):
     return g.reach(t.edges(spark, sf), seeds, 3, 3)
 
 
+@query("kg16_pruned_expansion_whole", f"""{with_(EDGES).replace('WITH', 'WITH RECURSIVE', 1)}, top AS (SELECT src, dst FROM edges QUALIFY row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) <= 10), r AS (SELECT 'C:' || s_suppkey AS id, 0 AS hops FROM supplier UNION SELECT top.dst, r.hops + 1 FROM r JOIN top ON r.id = top.src WHERE r.hops < 3) SELECT id, min(hops) AS hops FROM r GROUP BY id""")
+def expansion_whole(spark, sf):
+    return g.reach(t.edges(spark, sf), t.table(spark, sf, "supplier").select(F.concat(F.lit("C:"), "s_suppkey").alias("id")), 3, 10)
+
+
 @query("kg25_company_stage", f"""{with_(EDGES)} SELECT src, CASE WHEN count(*) FILTER (stmt_type = 'Fact') * 2 >= count(*) THEN 'mass' ELSE 'trial' END AS stage, max(valid_from) AS since FROM edges WHERE rel = 'SUPPLIES' GROUP BY 1""")
 def company_stage(spark, sf):
     e = t.edges(spark, sf).filter("rel = 'SUPPLIES'").groupBy("src")
