@@ -7,6 +7,7 @@ walked unless a caller asks for each node's k heaviest (``k``).
 
 from __future__ import annotations
 
+import sys
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -158,19 +159,85 @@ def merge_nodes(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return moved.filter("src <> dst").groupBy("src", "dst").agg(F.max("weight").alias("weight"))
 
 
-def similar_names(names: DataFrame, gram: int = 3) -> DataFrame:
-    """(a, b) of names that may be one entity: a shared n-gram, equal digits, and an edit distance of a quarter at most.
+def _chars(name: Column) -> Column:
+    return F.when(F.length(name) > 0, F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.substring(name, i, F.lit(1)))).otherwise(F.array(F.lit("")))
 
-    Names meet only at shared n-grams, and n-grams that more than one name in a hundred holds don't count for meeting
-    unless nothing rarer is shared: two names within the distance differ in too few places to lose all their n-grams.
+
+def _numbered_chars(name: Column) -> Column:
+    """The characters of a name as a bag: each with the number of its occurrence."""
+    chars = _chars(name)
+    return F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda x: x == c)).cast("string")))
+
+
+def _digit_pairs(name: Column) -> Column:
+    """The distinct pairs of neighbouring characters that hold a digit, sorted."""
+    pairs = F.transform(F.sequence(F.lit(1), F.length(name) - 1), lambda i: F.substring(name, i, F.lit(2)))
+    digits = "[" + "".join(c for c in map(chr, range(sys.maxunicode)) if c.isdigit()) + "]"
+    return F.when(F.length(name) > 1, F.array_sort(F.array_distinct(F.filter(pairs, lambda x: x.rlike(digits))))).otherwise(F.array().cast("array<string>"))
+
+
+def _rarest(names: DataFrame, size: Column) -> DataFrame:
+    """``names`` (unique id, tokens, ...) once for each of its ``size`` rarest tokens, as tok."""
+    each = names.select("*", size.alias("size"), F.explode("tokens").alias("tok")).drop("tokens")
+    counts = each.groupBy("tok").agg(F.count(F.lit(1)).alias("n"))
+    rn = F.row_number().over(Window.partitionBy("id").orderBy("n", "tok"))
+    return each.join(counts, "tok").withColumn("rn", rn).filter(F.col("rn") <= F.col("size")).drop("rn", "n", "size")
+
+
+def _within_edits(names: DataFrame, key: list[str], part: int) -> DataFrame:
+    """(a, b) of names with equal ``key`` and an edit distance, in lower case, of 1/``part`` of the shorter at most.
+
+    An edit changes one character of the bag at most, so names of n characters and more that differ by n/part edits have
+    all but that many characters in common, and one of the n/part + 1 rarest of each in particular.
+    """
+    own = names.select("id", *key, F.lower("name").alias("low"), F.length("name").alias("len"), _numbered_chars(F.lower("name")).alias("tokens"))
+    met = _rarest(own, F.floor(F.col("len") / part) + 1)
+    a, b = met.alias("a"), met.alias("b")
+    most = F.floor(F.least("a.len", "b.len") / part)
+    near = (F.col("a.id") < F.col("b.id")) & (F.abs(F.length("a.low") - F.length("b.low")) <= most)
+    pairs = a.join(b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in ["tok", *key]]).filter(near)
+    pairs = pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.low").alias("x"), F.col("b.low").alias("y"), most.alias("most")).distinct()
+    return pairs.filter(F.levenshtein("x", "y") <= F.col("most")).select("a", "b")
+
+
+def similar_names(names: DataFrame) -> DataFrame:
+    """(a, b) of names that may be one entity: equal digits, and an edit distance of a quarter at most."""
+    return _within_edits(names.withColumn("digits", F.regexp_replace("name", "[^0-9]", "")), ["digits"], 4)
+
+
+def entity_candidates(names: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """(a, b) of names (unique id, name, kind, sectors array) that may be one company or one product.
+
+    Pairs of neighbouring characters with a digit must be the same in both.  ASCII names may differ by half of the
+    shorter in edits.  Others match by ``aliases`` (alias in lower case, company), or by the characters they share: 0.8
+    of the larger set, or two where both sets have under four.  Companies with known sectors must share one.
+
+    Meeting loses no pair: the shared part of two sets is so large that each one's rarest characters meet it.
     """
-    low = F.lower("name")
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - gram + 1, F.lit(1))), lambda i: F.substring(low, i, F.lit(gram))))
-    keyed = names.select("id", "name", F.regexp_replace("name", "[^0-9]", "").alias("digits"), F.explode(grams).alias("g"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    pairs = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.digits") == F.col("b.digits")) & (F.col("a.id") < F.col("b.id")))
-    pairs = pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.name").alias("x"), F.col("b.name").alias("y")).distinct()
-    return pairs.filter(F.levenshtein(F.lower("x"), F.lower("y")) <= F.floor(F.least(F.length("x"), F.length("y")) / 4)).select("a", "b")
+    kept = names.filter(F.col("kind").isin("Company", "Product") & (F.length("name") > 0))
+    kept = kept.select("id", "name", "kind", "sectors", _digit_pairs(F.col("name")).alias("digits"), (F.length("name") == F.octet_length("name")).alias("ascii"))
+    key = ["kind", "digits"]
+    found = _within_edits(kept.filter("ascii"), key, 2)
+
+    sets = kept.select("id", *key, "ascii", F.array_distinct(_chars(F.col("name"))).alias("tokens")).withColumn("chars", F.col("tokens")).withColumn("held", F.size("tokens"))
+    least = F.when(F.col("held") < 4, 2).otherwise(F.ceil(F.col("held") * 4 / 5))
+    met = _rarest(sets, F.col("held") - least + 1)
+    a, b = met.alias("a"), met.alias("b")
+    pairs = a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ["tok", *key]]).filter("a.id < b.id and not (a.ascii and b.ascii)")
+    pairs = pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.chars").alias("x"), F.col("b.chars").alias("y")).distinct()
+    shared, larger = F.size(F.array_intersect("x", "y")), F.greatest(F.size("x"), F.size("y"))
+    found = found.unionByName(pairs.filter(F.when(larger < 4, shared > 1).otherwise(shared * 5 >= larger * 4)).select("a", "b"))
+
+    if aliases is not None:
+        known = kept.join(aliases, F.lower("name") == F.col("alias")).select("id", *key, "ascii", "company")
+        a, b = known.alias("a"), known.alias("b")
+        same = a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ["company", *key]]).filter("a.id < b.id and not (a.ascii and b.ascii)")
+        found = found.unionByName(same.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")))
+
+    tags = kept.select("id", "kind", F.coalesce("sectors", F.array().cast("array<string>")).alias("s"))
+    both = found.distinct().join(tags.select(F.col("id").alias("a"), "kind", F.col("s").alias("x")), "a").join(tags.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+    apart = (F.col("kind") == "Company") & (F.size("x") > 0) & (F.size("y") > 0) & (F.size(F.array_intersect("x", "y")) == 0)
+    return both.filter(~apart).select("a", "b")
 
 
 def feedback(edges: DataFrame, votes: DataFrame) -> DataFrame:
