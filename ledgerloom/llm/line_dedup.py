@@ -18,21 +18,24 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import Scratch, bitmaps, in_bitmaps
 
-#: Lines of a document at most, as a power of two, where ids and lines share one 64-bit position.
+#: Bits for a line's number at least, where rows and lines share one 64-bit position; longer texts get more.
 LINE_BITS = 21
 
 
-def _with_rows(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """``docs`` with the columns _row (orders rows as their ids do, unique) and _id, _text.
+def _with_rows(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """``docs`` with the columns _row (orders rows as their ids do, unique) and _id, _text, and the bits for a line.
 
-    Unique, non-negative ids of at most 42 bits are their own row numbers; otherwise rows are numbered in the order
-    of id and text, rows that repeat both being one row for the search (its copies get the same result).
+    The bits hold twice the lines of the longest text.  Unique, non-negative ids that fit beside them are their own row
+    numbers; otherwise rows are numbered in the order of id and text, rows that repeat both being one row for the search
+    (its copies get the same result).
     """
     rows = docs.select("*", F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("_text"))
-    ids = rows.groupBy("_id").agg(F.count(F.lit(1)).alias("c"))
-    seen = ids.agg(F.max("c").alias("c"), F.min("_id").alias("low"), F.max("_id").alias("high"), F.count_if(F.col("_id").isNull()).alias("nulls")).first()
-    if seen.c is None or (seen.c == 1 and not seen.nulls and seen.low >= 0 and seen.high < 1 << (62 - LINE_BITS)):
-        return rows.withColumn("_row", F.col("_id"))
+    feeds = F.length("_text") - F.length(F.replace("_text", F.lit("\n"), F.lit("")))
+    ids = rows.groupBy("_id").agg(F.count(F.lit(1)).alias("c"), F.max(feeds + 1).alias("lines"))
+    seen = ids.agg(F.max("lines").alias("lines"), F.max("c").alias("c"), F.min("_id").alias("low"), F.max("_id").alias("high"), F.count_if(F.col("_id").isNull()).alias("nulls")).first()
+    bits = max(LINE_BITS, (2 * (seen.lines or 0)).bit_length())
+    if seen.c is None or (seen.c == 1 and not seen.nulls and seen.low >= 0 and seen.high < 1 << (62 - bits)):
+        return rows.withColumn("_row", F.col("_id")), bits
     keyed = rows.withColumn("_sha", F.sha2("_text", 256))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = keyed.select("_id", "_sha").distinct().repartitionByRange(parts, "_id", "_sha").sortWithinPartitions("_id", "_sha")
@@ -44,7 +47,7 @@ def _with_rows(docs: DataFrame, scratch: Scratch) -> DataFrame:
     order = scratch.cut(order.select("_id", "_sha", (F.col("start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias("_row")), "rows")
     order = order.withColumnRenamed("_id", "_id2").withColumnRenamed("_sha", "_sha2")
     numbered = keyed.join(order, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_sha") == F.col("_sha2")))
-    return scratch.cut(numbered.drop("_id2", "_sha2", "_sha"), "numbered")
+    return scratch.cut(numbered.drop("_id2", "_sha2", "_sha"), "numbered"), bits
 
 
 def _repeated(at: DataFrame, names: list[str], scratch: Scratch, name: str) -> DataFrame:
@@ -53,12 +56,12 @@ def _repeated(at: DataFrame, names: list[str], scratch: Scratch, name: str) -> D
     return scratch.cut(at.join(first, names).select("pos", F.col("least").alias("rank")), name)
 
 
-def deleted_lines(rows: DataFrame, scratch: Scratch, min_words: int) -> DataFrame:
+def deleted_lines(rows: DataFrame, scratch: Scratch, min_words: int, bits: int) -> DataFrame:
     """(_row, gone): for rows of which lines go, the runs to delete, as an array of (first, last) line numbers."""
     words = F.regexp_count("line", F.lit(r"[^ \t\n\x0B\f\r]+"))
     one = rows.select("_row", "_text").dropDuplicates(["_row"]) if "numbered" in scratch.paths else rows.select("_row", "_text")
     lines = one.select("_row", F.posexplode(F.split("_text", "\n")).alias("i", "line"))
-    position = F.shiftleft("_row", LINE_BITS) + F.col("i")
+    position = F.shiftleft("_row", bits) + F.col("i")
     lines = lines.select(position.alias("pos"), F.unhex(F.md5("line")).alias("id"), words.alias("words"))
     lines = scratch.cut(lines, "lines")
     ranks = [_repeated(lines.select("pos", "id"), ["id"], scratch, "rank-0")]
@@ -66,8 +69,8 @@ def deleted_lines(rows: DataFrame, scratch: Scratch, min_words: int) -> DataFram
         return rows.sparkSession.createDataFrame([], "_row long, gone array<struct<first:long,last:long>>")
 
     # only documents with a repeated line have runs: their line boundaries, by words before each
-    touched = ranks[0].select(F.shiftright("pos", LINE_BITS).alias("_row")).distinct()
-    rowed = lines.withColumn("_row", F.shiftright("pos", LINE_BITS)).join(touched, "_row")
+    touched = ranks[0].select(F.shiftright("pos", bits).alias("_row")).distinct()
+    rowed = lines.withColumn("_row", F.shiftright("pos", bits)).join(touched, "_row")
     by_row = Window.partitionBy("_row").orderBy("pos")
     starts = rowed.select("_row", "pos", "words", (F.sum("words").over(by_row) - F.col("words")).alias("before"), F.row_number().over(Window.partitionBy("_row").orderBy(F.desc("pos"))).alias("back"))
     starts = scratch.cut(starts, "starts")
@@ -99,8 +102,8 @@ def deleted_lines(rows: DataFrame, scratch: Scratch, min_words: int) -> DataFram
     named = scratch.cut(named, "named")
     first = scratch.cut(named.groupBy("length", "rank", "second").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1"), "first")
     later = named.join(first, ["length", "rank", "second"]).filter("pos > first")
-    line = F.col("pos").bitwiseAND(F.lit((1 << LINE_BITS) - 1))
-    gone = later.groupBy(F.shiftright("pos", LINE_BITS).alias("_row")).agg(F.array_sort(F.collect_set(F.struct(line.alias("first"), (line + F.col("length") - 1).alias("last")))).alias("gone"))
+    line = F.col("pos").bitwiseAND(F.lit((1 << bits) - 1))
+    gone = later.groupBy(F.shiftright("pos", bits).alias("_row")).agg(F.array_sort(F.collect_set(F.struct(line.alias("first"), (line + F.col("length") - 1).alias("last")))).alias("gone"))
     return scratch.cut(gone, "gone")
 
 
@@ -115,8 +118,8 @@ def line_run_dedup(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
     """
     scratch = Scratch(docs.sparkSession, "line-dedup")
     docs = docs.withColumnRenamed(id_col, "doc_id").withColumnRenamed(text_col, "text").drop("n_lines", "n_deleted", "_id", "_text", "_row")
-    rows = _with_rows(docs, scratch)
-    gone = deleted_lines(rows, scratch, min_words)
+    rows, line_bits = _with_rows(docs, scratch)
+    gone = deleted_lines(rows, scratch, min_words, line_bits)
     bits = scratch.cut(bitmaps(gone, F.xxhash64("_row")), "bits")
     # texts that lose nothing don't travel
     marked = in_bitmaps(rows, F.xxhash64("_row"), bits, "_hit")

@@ -1,6 +1,7 @@
 import random
 import re
 
+from ledgerloom.llm import line_dedup
 from ledgerloom.llm.line_dedup import line_run_dedup
 
 SCHEMA = "doc_id long, text string, n_lines string, tag string"
@@ -70,3 +71,10 @@ def test_repeated_and_odd_ids(spark):
 def test_empty_and_nothing_repeated(spark):
     assert line_run_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
     same(spark, [(1, "a b c", None, None), (2, "d e f", None, None)], 1)
+
+
+def test_texts_of_more_lines_than_the_least_bits(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "LINE_BITS", 2)
+    rows = corpus(4, 30) + [(900, "hot line\n" * 40, None, None), ((1 << 54) - 1, corpus(4, 9)[8][1], None, "v")]
+    same(spark, rows, 8)
+    same(spark, [*rows, (1 << 59, rows[7][1], None, "w")], 8)
