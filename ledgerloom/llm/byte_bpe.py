@@ -18,8 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import ship_package
-from ledgerloom.llm.pieces import WORKER, PieceCache, Unsafe, cut_batch, read_ranks, small_runs
+from ledgerloom.llm.common import ship_package, worker_state
+from ledgerloom.llm.pieces import PieceCache, Unsafe, cut_batch, read_ranks, ship_file, small_runs
 
 NONE = np.iinfo(np.int64).max
 #: Longer pre-tokens get a tree of their own; at most so many cells in the matrix of one batch of short ones.
@@ -163,17 +163,17 @@ class SegmentTreeBpe:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
-def _bpe(path: str, pattern: str) -> tuple[SegmentTreeBpe, PieceCache]:
-    key = ("bpe", path, pattern)
-    if key not in WORKER:
-        bpe = SegmentTreeBpe(read_ranks(path), pattern)
-        WORKER[key] = (bpe, PieceCache(bpe.encode_many))
-    return WORKER[key]
+def _bpe(data: bytes, pattern: str) -> tuple[SegmentTreeBpe, PieceCache]:
+    def make():
+        bpe = SegmentTreeBpe(read_ranks(data), pattern)
+        return bpe, PieceCache(bpe.encode_many)
 
+    return worker_state(("bpe", hash(data), pattern), make)
 
-def encode_texts(texts, path: str, pattern: str) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit integers."""
-    bpe, cache = _bpe(path, pattern)
+
+def encode_texts(texts, data: bytes, pattern: str) -> list[bytes]:
+    """Ids of each text as little-endian unsigned 32-bit integers, by the rank file whose bytes are ``data``."""
+    bpe, cache = _bpe(data, pattern)
     out = []
     for run in small_runs(texts):
         parts = cut_batch(run)
@@ -190,10 +190,11 @@ def encode_texts(texts, path: str, pattern: str) -> list[bytes]:
 def bpe_encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and ids (array of int) for every row; a null text is empty and has no ids."""
     ship_package(docs.sparkSession)
+    data = ship_file(docs.sparkSession, rank_path)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([np.frombuffer(x, dtype="<u4").astype("int32") for x in encode_texts(texts, rank_path, pattern)], dtype=object)
+            yield pd.Series([np.frombuffer(x, dtype="<u4").astype("int32") for x in encode_texts(texts, data.value, pattern)], dtype=object)
 
     return docs.select(F.col(id_col).alias("doc_id"), F.pandas_udf(run, "array<int>")(F.coalesce(F.col(text_col), F.lit(""))).alias("ids"))
 
@@ -201,10 +202,11 @@ def bpe_encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc
 def bpe_decode(encoded: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     """id and the decoded bytes of the column ids; null ids give empty bytes."""
     ship_package(encoded.sparkSession)
+    data = ship_file(encoded.sparkSession, rank_path)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for ids in batches:
-            yield pd.Series([_bpe(rank_path, pattern)[0].decode(np.asarray([] if x is None else x, dtype="int64")) for x in ids])
+            yield pd.Series([_bpe(data.value, pattern)[0].decode(np.asarray([] if x is None else x, dtype="int64")) for x in ids])
 
     return encoded.select("doc_id", F.pandas_udf(run, "binary")("ids").alias("decoded"))
 
@@ -216,11 +218,12 @@ def bpe_round_trip(docs: DataFrame, rank_path: str, pattern: str, id_col: str =
     digest of no bytes twice.  Repeated or null ids are rows like others; other columns are not read.
     """
     ship_package(docs.sparkSession)
+    data = ship_file(docs.sparkSession, rank_path)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            bpe, rows = _bpe(rank_path, pattern)[0], []
-            for ids in encode_texts(texts, rank_path, pattern):
+            bpe, rows = _bpe(data.value, pattern)[0], []
+            for ids in encode_texts(texts, data.value, pattern):
                 decoded = bpe.decode(np.frombuffer(ids, dtype="<u4"))
                 rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])

@@ -1,12 +1,13 @@
 """Shared pieces of the corpus operators: scratch tables, bounded bitmaps and connected components.
 
 Scratch tables live in the folder that ``spark.checkpoint.dir`` names, so every executor can read them again
-after another executor is lost; a folder of this process's own is used only where the setting is absent (tests).
+after another executor is lost.  Only a session on this machine alone may lack the setting and gets a folder of its own.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -35,14 +36,26 @@ def ship_package(spark: SparkSession) -> None:
     spark._ledgerloom_shipped = True
 
 
+_STATE: dict = {}
+
+
+def worker_state(key, make):
+    """What a worker process keeps between tasks of one operator (``make()`` the first time); any other's is let go."""
+    if key not in _STATE:
+        _STATE.clear()
+        _STATE[key] = make()
+    return _STATE[key]
+
+
 class Scratch:
     """Tables that cut a plan's lineage, written once to shared storage and read again."""
 
     def __init__(self, spark: SparkSession, name: str):
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="ledgerloom-scratch-")
-            spark.conf.set("spark.checkpoint.dir", base)
         self.spark, self.base, self.paths = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}", {}
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import Scratch, bitmaps, components, in_bitmaps, ship_package
+from ledgerloom.llm.common import Scratch, bitmaps, components, in_bitmaps, ship_package, worker_state
 
 #: Fine groups of which the frequency is counted: 2**FINE, in segments of SEGMENT.
 FINE, SEGMENT = 24, 1 << 18
@@ -39,16 +39,18 @@ SMALL = 64
 ENOUGH = 1 << 31
 #: Coordinates of a point, sets and shingles in a leaf on average at most, and points in a node.
 DIMS, LEAF_SETS, LEAF_SHINGLES, NODE = 128, 96, 200_000, 16
-WORD_CACHE = 1_000_000
+#: Words that a worker remembers the hashes of, and the longest of them.
+WORD_CACHE, WORD_LENGTH = 150_000, 64
 
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= WORD_LENGTH:
+            self[word] = h
         return h
 
 
-_words = _Hashes()
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
 
@@ -59,9 +61,10 @@ def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
         return np.empty(0, dtype=np.uint64)
     if len(tokens) < words:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(tokens))], dtype=np.uint64)
-    if len(_words) > WORD_CACHE:
-        _words.clear()
-    h = np.fromiter(map(_words.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
+    known = worker_state("words", _Hashes)
+    if len(known) > WORD_CACHE:
+        known.clear()
+    h = np.fromiter(map(known.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
     n = len(h) - words + 1
     s = h[:n].copy()
     for j in range(1, words):
@@ -179,21 +182,26 @@ def _meetings(percent: int):
             rows = pd.DataFrame(out, columns=["a", "b", "sizes", "place", "shared"], dtype="int64")
             return rows.groupby(["a", "b"], sort=False, as_index=False).agg({"sizes": "max", "place": "min", "shared": "sum"})
 
-        rest: list[np.ndarray] = [np.empty(0, dtype=np.int64)] * 3
+        held: list[list[np.ndarray]] = []  # rows of the key that may go on in the next batch
         out: list = []
         for batch in batches:
-            key, size_at, ids = (np.concatenate([r, batch[c].to_numpy()]) for r, c in zip(rest, ("key", "size_at", "set_id"), strict=True))
-            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            last = starts[-1] if len(starts) else 0
+            rows = [batch[c].to_numpy() for c in ("key", "size_at", "set_id")]
+            if held and len(rows[0]) and held[0][0][0] == rows[0][0] == rows[0][-1]:
+                held.append(rows)
+                continue
+            key, size_at, ids = (np.concatenate(c) for c in zip(*held, rows, strict=True))
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(1, dtype=np.int64)
+            last = starts[-1]
             lengths = np.diff(np.append(starts, len(key)))[:-1]
             for a, c in zip(starts[:-1][lengths > 1].tolist(), lengths[lengths > 1].tolist(), strict=True):
                 connect(ids[a : a + c], size_at[a : a + c], out)
-            rest = [key[last:], size_at[last:], ids[last:]]
+            held = [[key[last:], size_at[last:], ids[last:]]]
             if len(out) > 200_000:
                 yield summed(out)
                 out = []
-        if len(rest[0]) > 1:
-            connect(rest[2], rest[1], out)
+        if held and sum(len(h[0]) for h in held) > 1:
+            _, size_at, ids = (np.concatenate(c) for c in zip(*held, strict=True))
+            connect(ids, size_at, out)
         yield summed(out)
 
     return run

@@ -16,14 +16,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import Scratch, ship_package
-from ledgerloom.llm.pieces import WORKER, hf_tokenizer, small_runs
+from ledgerloom.llm.common import Scratch, ship_package, worker_state
+from ledgerloom.llm.pieces import CACHE_ENTRIES, CACHE_LENGTH, hf_tokenizer, ship_file, small_runs
 
-#: Pieces of a group on average, words after which a worker's cache starts anew, and the end-of-text id.
-GROUP, CACHE_ENTRIES, END = 40_000, 600_000, 0
+#: Pieces of a group on average, and the end-of-text id.
+GROUP, END = 40_000, 0
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -42,9 +43,9 @@ def _byte_letters() -> dict[int, str]:
 class WordIds(dict):
     """word (bytes without ASCII white space) -> its ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, data: bytes):
         super().__init__()
-        self.tok, self.letters, self.plain = hf_tokenizer(path), _byte_letters(), {}
+        self.tok, self.letters, self.plain = hf_tokenizer(data), _byte_letters(), {}
         self.marks = {"": b""}
 
     def _whole(self, text: str) -> bytes:
@@ -55,15 +56,21 @@ class WordIds(dict):
         found = self.plain.get(word)
         if found is None:
             text = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
-            found = self.plain[word] = array("I", [t.id for t in self.tok.model.tokenize(text)]).tobytes()
+            found = array("I", [t.id for t in self.tok.model.tokenize(text)]).tobytes()
+            if len(word) <= CACHE_LENGTH:
+                self.plain[word] = found
         return found
 
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
         m = PLAIN.fullmatch(text)
+        if m and len(m[2]) > CACHE_LENGTH:
+            m = None
         if m and m[2] not in self.marks:
             self.marks[m[2]] = self._whole(m[2])
-        found = self[word] = self._letters(m[1].lower()) + self.marks[m[2]] if m else self._whole(text)
+        found = self._letters(m[1].lower()) + self.marks[m[2]] if m else self._whole(text)
+        if len(word) <= CACHE_LENGTH:
+            self[word] = found
         return found
 
     def bound(self) -> None:
@@ -75,27 +82,25 @@ class WordIds(dict):
             self.marks = {"": b""}
 
 
-def token_ids(texts, path: str) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit integers, by the word-level tokenizer at ``path``.
+def token_ids(texts, data: bytes) -> list[bytes]:
+    """Ids of each text as little-endian unsigned 32-bit integers, by the word-level tokenizer whose file is ``data``.
 
     This tokenizer drops white space and never joins tokens across it, so ASCII white space cuts a text; each
     distinct word is encoded once in a worker.
     """
-    if ("words", path) not in WORKER:
-        WORKER[("words", path)] = WordIds(path)
-    ids, out = WORKER[("words", path)], []
+    ids, out = worker_state(("packing", hash(data)), lambda: WordIds(data)), []
     for run in small_runs(texts):
         ids.bound()
         out += [b"".join(map(ids.__getitem__, t.encode("utf-8", "surrogatepass").split())) for t in run]
     return out
 
 
-def _cut(path: str, capacity: int):
+def _cut(data: Broadcast, capacity: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         step = 4 * capacity
         for batch in batches:
             rows = []
-            for doc_id, ids in zip(batch["doc_id"], token_ids(batch["text"], path), strict=True):
+            for doc_id, ids in zip(batch["doc_id"], token_ids(batch["text"], data.value), strict=True):
                 ids += END.to_bytes(4, "little")
                 for k, at in enumerate(range(0, len(ids), step)):
                     one = ids[at : at + step]
@@ -110,7 +115,7 @@ def _cut(path: str, capacity: int):
 def document_pieces(docs: DataFrame, tokenizer_path: str, capacity: int) -> DataFrame:
     """The pieces of every row: its ids and the end id; only documents of more than ``capacity`` ids have several."""
     ship_package(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInPandas(_cut(tokenizer_path, capacity), PIECE)
+    return docs.select("doc_id", "text").mapInPandas(_cut(ship_file(docs.sparkSession, tokenizer_path), capacity), PIECE)
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:

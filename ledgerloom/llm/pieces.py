@@ -10,11 +10,15 @@ from __future__ import annotations
 import base64
 import os
 from collections.abc import Iterator
+from pathlib import Path
+
+from pyspark import Broadcast
+from pyspark.sql import SparkSession
 
 #: Characters of texts that a worker cuts at a time.
 RUN = 1 << 20
-#: Entries after which a worker's cache starts anew.
-CACHE_ENTRIES = 600_000
+#: Entries after which a worker's cache starts anew, and the longest piece that it remembers, so its bytes are bounded.
+CACHE_ENTRIES, CACHE_LENGTH = 150_000, 64
 
 
 class Unsafe(KeyError):
@@ -42,17 +46,20 @@ class PieceCache(dict):
 
     def __init__(self, encode_many, frequent: dict | None = None):
         super().__init__(frequent or {})
-        self.encode_many, self.frequent = encode_many, frequent or {}
+        self.encode_many, self.frequent, self.long = encode_many, frequent or {}, []
 
     def __missing__(self, key):
         raise Unsafe(key)
 
     def add(self, lists: list[list[str]]) -> None:
+        for p in self.long:
+            self.pop(p, None)
         if len(self) > CACHE_ENTRIES:
             self.clear()
             self.update(self.frequent)
         new = [p for p in set().union(*lists) if p not in self and not is_unsafe(p)]
         self.update(zip(new, self.encode_many([whole_piece(p) for p in new]), strict=True))
+        self.long = [p for p in new if len(p) > CACHE_LENGTH]
 
 
 def small_runs(texts) -> Iterator[list[str]]:
@@ -73,20 +80,20 @@ def cut_batch(texts) -> list[tuple[str, list[str]]]:
     return [cut_text(t) for t in texts]
 
 
-def hf_tokenizer(path: str):
+def ship_file(spark: SparkSession, path: str) -> Broadcast:
+    """The bytes of a tokenizer's file (a few MB, whatever the corpus), which only the driver needs to have."""
+    return spark.sparkContext.broadcast(Path(path).read_bytes())
+
+
+def hf_tokenizer(data: bytes):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(path)
+    tok = Tokenizer.from_buffer(data)
     tok.no_padding()
     tok.no_truncation()
     return tok
 
 
-def read_ranks(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-
-
-#: One cache for each tokenizer file and worker process.
-WORKER: dict = {}
+def read_ranks(data: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}

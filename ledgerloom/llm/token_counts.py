@@ -7,6 +7,7 @@ the tokenizer library and remembered by the worker.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -14,11 +15,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import ship_package
-from ledgerloom.llm.pieces import WORKER, PieceCache, Unsafe, cut_batch, cut_text, hf_tokenizer, is_unsafe, small_runs, whole_piece
+from ledgerloom.llm.common import ship_package, worker_state
+from ledgerloom.llm.pieces import PieceCache, Unsafe, cut_batch, cut_text, hf_tokenizer, is_unsafe, ship_file, small_runs, whole_piece
 
 #: Pieces that each task hands on, pieces in the broadcast table, and distinct pieces a task holds at once.
-TASK_HEAD, TABLE, TASK_HELD = 2_000, 16_384, 200_000
+TASK_HEAD, TABLE, TASK_HELD = 2_000, 16_384, 150_000
 
 
 def _lengths(tok, texts: list[str]) -> list[int]:
@@ -36,12 +37,12 @@ def _frequent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(head, columns=["piece", "n"])
 
 
-def frequent_lengths(docs: DataFrame, path: str) -> dict[str, int]:
+def frequent_lengths(docs: DataFrame, data: bytes) -> dict[str, int]:
     """piece -> tokens, of the corpus's most frequent pieces: TABLE entries of at most 64 characters."""
     heads = docs.select("text").mapInPandas(_frequent, "piece string, n long")
     top = heads.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(TABLE)
     pieces = [r.piece for r in top.collect()]
-    return dict(zip(pieces, _lengths(hf_tokenizer(path), [whole_piece(p) for p in pieces]), strict=True))
+    return dict(zip(pieces, _lengths(hf_tokenizer(data), [whole_piece(p) for p in pieces]), strict=True))
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -54,14 +55,15 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
     spark = docs.sparkSession
     ship_package(spark)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    table = spark.sparkContext.broadcast(frequent_lengths(docs, tokenizer_path))
+    data = ship_file(spark, tokenizer_path)
+    table, run_id = spark.sparkContext.broadcast(frequent_lengths(docs, data.value)), uuid.uuid4().hex
+
+    def make():
+        tok = hf_tokenizer(data.value)
+        return tok, PieceCache(lambda texts: _lengths(tok, texts), table.value)
 
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        key = ("counts", tokenizer_path)
-        if key not in WORKER:
-            tok = hf_tokenizer(tokenizer_path)
-            WORKER[key] = (tok, PieceCache(lambda texts: _lengths(tok, texts), table.value))
-        tok, cache = WORKER[key]
+        tok, cache = worker_state(("counts", run_id), make)
         for batch in batches:
             out: list[int] = []
             for texts in small_runs(batch):
