@@ -1,13 +1,16 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
-A text becomes the square roots of its character-class bigram and trigram shares with a few shares of repetition;
-the leading singular directions of a bounded, labelled sample span the latent space.  The sample's vectors are
-broadcast (their number is a parameter), and every document is compared with all of them by exact cosine products in
-blocks; its nearest neighbours vote, weighted by similarity.
+A text's terms are its words (hashed), and the bigrams and trigrams of its character classes, each by the square root
+of its share, with a few shares of repetition beside them; the leading singular directions of a bounded, labelled sample
+of them span the latent space.  The sample's vectors are broadcast (their number is a parameter), and every document is
+compared with all of them by exact cosine products in double precision, in blocks; its nearest neighbours vote, weighted
+by similarity.  Whoever is as near as the last neighbour (but for rounding) votes too, so ties need no order.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +26,10 @@ LABELLED, LATENT, NEIGHBOURS, POWER, BLOCK = 6_000, 64, 25, 4, 512
 CLASSES = 16
 TRIGRAMS = 251
 SHARES = 7
+#: Hashed words, and what their shares' roots are multiplied by.
+WORDS, WORD_SCALE = 512, 0.5
+#: Similarities that differ by less are equal, and decimals of a score.
+TIE, DECIMALS = 1e-9, 12
 
 
 def _class_table() -> np.ndarray:
@@ -36,7 +43,7 @@ def _class_table() -> np.ndarray:
 
 
 _TABLE = _class_table()
-WIDTH = CLASSES * CLASSES + TRIGRAMS + SHARES
+WIDTH = CLASSES * CLASSES + TRIGRAMS + WORDS + SHARES
 
 
 def features(text: str | None) -> np.ndarray:
@@ -47,8 +54,13 @@ def features(text: str | None) -> np.ndarray:
         pairs = k[:-1] * CLASSES + k[1:]
         out[: CLASSES * CLASSES] = np.sqrt(np.bincount(pairs, minlength=CLASSES * CLASSES) / len(k))
         if len(k) > 2:
-            out[CLASSES * CLASSES : -SHARES] = np.sqrt(np.bincount((pairs[:-1] * CLASSES + k[2:]) % TRIGRAMS, minlength=TRIGRAMS) / len(k))
+            out[CLASSES * CLASSES : CLASSES * CLASSES + TRIGRAMS] = np.sqrt(np.bincount((pairs[:-1] * CLASSES + k[2:]) % TRIGRAMS, minlength=TRIGRAMS) / len(k))
     words = text.lower().split()
+    if words:
+        counts = Counter(words)
+        at = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in counts), dtype=np.int64, count=len(counts)) % WORDS
+        shares = np.bincount(at, np.fromiter(counts.values(), dtype=np.float64, count=len(counts)), minlength=WORDS) / len(words)
+        out[-SHARES - WORDS : -SHARES] = WORD_SCALE * np.sqrt(shares)
     lines = [x for x in text.split("\n") if x]
     n, m = max(1, len(words)), max(1, len(lines))
     triples = max(1, len(words) - 2)
@@ -71,10 +83,11 @@ class Space:
 
     def __init__(self, x: np.ndarray, y: np.ndarray):
         self.centre = x.mean(axis=0)
-        _, _, axes = np.linalg.svd(x - self.centre, full_matrices=False)
-        self.axes = np.ascontiguousarray(axes[:LATENT].T)
-        self.vectors = self.project(x).astype(np.float32)
-        self.labels = y.astype(np.float32)
+        # the leading right singular vectors of the centred sample
+        _, axes = np.linalg.eigh((x - self.centre).T @ (x - self.centre))
+        self.axes = np.ascontiguousarray(axes[:, ::-1][:, :LATENT])
+        self.vectors = self.project(x)
+        self.labels = y.astype(np.float64)
 
     def project(self, x: np.ndarray) -> np.ndarray:
         z = (x - self.centre) @ self.axes
@@ -82,11 +95,13 @@ class Space:
 
     def vote(self, x: np.ndarray) -> np.ndarray:
         """Share of the nearest labelled vectors' weight that has label 1."""
-        sims = self.project(x).astype(np.float32) @ self.vectors.T
+        sims = self.project(x) @ self.vectors.T
         k = min(NEIGHBOURS, len(self.labels))
-        near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-        weights = np.maximum(np.take_along_axis(sims, near, axis=1).astype(np.float64), 1e-6) ** POWER
-        return np.clip((weights * self.labels[near]).sum(axis=1) / weights.sum(axis=1), 0, 1)
+        last = np.partition(sims, -k, axis=1)[:, -k]
+        row, near = np.nonzero(sims >= last[:, None] - TIE)
+        weights = np.maximum(sims[row, near], 1e-6) ** POWER
+        share = np.bincount(row, weights * self.labels[near], len(x)) / np.bincount(row, weights, len(x))
+        return np.round(np.clip(share, 0, 1), DECIMALS)
 
 
 def learn(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (5, 0)) -> Space | None:

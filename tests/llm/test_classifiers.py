@@ -1,27 +1,103 @@
 """Toxicity grammar and quality votes: machines on small cases, held-out accuracy on the given tables."""
 
+import math
+import random
 import zlib
 
+import numpy as np
 import pytest
 
 from ledgerloom.llm import quality, toxicity
 from ledgerloom.llm.toxicity import Grammar, toxicity_scores
 
-SF = "/root/testdata/sf0.1"
+SF = "/root/testdata/sf{}"
 DOCS, LABELS = "doc_id long, text string, score string, predicted string", "doc_id long, quality int, toxic int"
 
 
-def test_machines():
+def test_no_score_without_a_pattern():
     g = Grammar({"idiot$": 0.9, "lowei": 0.8})
-    assert g.score("") == 0 and g.score(None) == 0 and g.score("a kind word to you") == 0
-    plain, aimed = g.score("what an idiot"), g.score("you are an idiot")
-    assert aimed > plain > 0.3
-    assert g.score("he is not an idiot") < plain and g.score("not now. what an idiot") == plain
-    assert g.score("someone said idiot") < plain and g.score("idiot is what someone said") == plain
-    assert g.score("I will kill you") > 0.3 > g.score("kill the process")
-    assert g.score("Loweischaft") == g.score("loweiö") > 0
-    assert [c for c, _ in g.clauses("Fine. You idiot! Bye")] == ["You idiot"]
-    assert g.score("idiot. idiot. idiot") == g.score("idiot")
+    for t in ("", None, "a kind word to you", "idiot", "the word idiot", "what an idiot", "kill the process", "idiot" + ". so" * 12 + ". lowei1"):
+        assert g.score(t) == 0, t
+
+
+def test_patterns():
+    g = Grammar({"idiot$": 0.9, "lowei": 0.8})
+    aimed, again = g.score("you are an idiot"), g.score("an idiot. such an idiot")
+    assert aimed > again > 0.3
+    assert g.score("you are not an idiot") < aimed and g.score("not now. you are an idiot") == aimed
+    assert g.score("someone said you idiot") < aimed and g.score("you idiot is what someone said") == aimed
+    assert g.score("I will kill you") > 0.3 > g.score("I will not kill you") > 0
+    assert g.score("du Loweischaft") == g.score("du loweiö") > 0
+    assert [t[a:b].strip() for t in ["Fine. You idiot! Bye"] for a, b, _ in g.clauses(t)] == ["You idiot"]
+    assert g.score("you idiot. you idiot. you idiot") == aimed
+    # a word counts by the best of its clauses, whichever comes first
+    assert g.score("he never called you an idiot. you are an idiot") == aimed
+
+
+def paths(machines, symbols):
+    """Every path of the cascade, transducer after transducer: (written symbols, gain at each)."""
+    streams = [(tuple(symbols), (1.0,) * len(symbols))]
+    for m in machines:
+        after = []
+        for written, gains in streams:
+            now = [(s, (), ()) for s in m.start]
+            for x, g in zip(written, gains, strict=True):
+                now = [(s2, out + (y,), gs + (g * h,)) for s, out, gs in now for s2, y, h in m.arcs.get((s, x), ())]
+            after += [(out, gs) for _, out, gs in now]
+        streams = after
+    return streams
+
+
+def test_composition_equals_every_path_of_the_cascade():
+    r = random.Random(11)
+    g = Grammar({"ia$": 0.9, "ib$": 0.5, "ic$": 0.7})
+    kinds = {"ia": "I", "ib": "I", "ic": "I", "kill": "H", "hurt": "H", "you": "T", "him": "T", "not": "N", "said": "R", "so": "o", "and": "o", ".": "E"}
+    for _ in range(150):
+        words = [r.choice(list(kinds)) for _ in range(r.randint(1, 14))] + ["."]
+        weight = {"ia": 0.9, "ib": 0.5, "ic": 0.7, "you": toxicity.THREAT, "him": toxicity.THREAT}
+        best = max(sum(toxicity.cost(weight[w] * h) for w, y, h in zip(words, out, gains, strict=True) if y == "M") for out, gains in paths([m() for m in toxicity.CASCADE], [kinds[w] for w in words]))
+        # the search ends each clause by its best path, so sums per clause are enough
+        machine, states, total = toxicity.MACHINE, {s: 0.0 for s in toxicity.MACHINE.start}, 0.0
+        for w in words:
+            after = {}
+            for s, c in states.items():
+                for s2, y, h in machine.arcs.get((s, kinds[w]), ()):
+                    after[s2] = max(after.get(s2, -1.0), c + (toxicity.cost(weight[w] * h) if y == "M" else 0.0))
+            states = after
+        total = max(states.values())
+        assert math.isclose(total, best, abs_tol=1e-9), words
+        by_word = {}
+        for _, _, found in g.clauses(" ".join(words)):
+            for w, c in found.items():
+                by_word[w] = max(c, by_word.get(w, 0.0))
+        assert sum(by_word.values()) <= best + 1e-9
+        assert math.isclose(g.score(" ".join(words)), (1 - math.exp(-sum(by_word.values()))) ** toxicity.SCORE_POWER)
+        if len(set(w for w in words if kinds[w] in "IT")) == sum(kinds[w] in "IT" for w in words):
+            assert math.isclose(sum(by_word.values()), best, abs_tol=1e-9), words
+
+
+def test_vote_against_brute_force():
+    g = np.random.default_rng(5)
+    texts = [" ".join(g.choice(["alpha", "beta.", "Gamma", "delta\n", "12", "e|e", "zeta,"], size=int(n))) for n in g.integers(0, 60, 220)]
+    texts += texts[:30] + ["", ""]  # equal vectors tie
+    x, y = np.array([quality.features(t) for t in texts]), np.array([k % 3 == 0 for k in range(len(texts))])
+    space = quality.Space(x, y.astype(int))
+    got = space.vote(np.array([quality.features(t) for t in texts[:60] + ["new text", ""]]))
+    assert np.array_equal(got, np.concatenate([space.vote(np.array([quality.features(t)])) for t in texts[:60] + ["new text", ""]]))
+    axes = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)[2][: quality.LATENT]
+
+    def place(t):
+        z = [math.fsum((quality.features(t) - x.mean(axis=0)) * a) for a in axes]
+        n = math.sqrt(math.fsum(c * c for c in z)) or 1.0
+        return [c / n for c in z]
+
+    known = [place(t) for t in texts]
+    for t, score in zip(texts[:60] + ["new text", ""], got, strict=True):
+        p = place(t)
+        sims = sorted(((math.fsum(a * b for a, b in zip(p, q, strict=True)), k) for k, q in enumerate(known)), reverse=True)
+        near = [(s, k) for s, k in sims if s >= sims[quality.NEIGHBOURS - 1][0] - 1e-9]
+        w = [max(s, 1e-6) ** quality.POWER for s, _ in near]
+        assert math.isclose(score, sum(v for v, (_, k) in zip(w, near, strict=True) if y[k]) / sum(w), abs_tol=1e-6)
 
 
 def test_without_labels_and_odd_rows(spark):
@@ -36,9 +112,10 @@ def test_without_labels_and_odd_rows(spark):
     assert toxicity_scores(empty, labels).count() == 0 and quality.quality_scores(empty, labels).count() == 0
 
 
-@pytest.fixture(scope="module")
-def labelled(spark):
-    return spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+@pytest.fixture(scope="module", params=["0.01", "0.1"])
+def labelled(spark, request):
+    at = SF.format(request.param)
+    return spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet"), request.param
 
 
 def rates(scores, labels, col):
@@ -48,14 +125,18 @@ def rates(scores, labels, col):
 
 
 def test_toxicity_held_out(labelled):
-    recall, precision, rows = rates(toxicity_scores(*labelled), labelled[1], "toxic")
+    docs, labels, _ = labelled
+    recall, precision, rows = rates(toxicity_scores(docs, labels), labels, "toxic")
+    print("toxicity: recall, precision", recall, precision, sum(r.toxic for r in rows), len(rows))
     assert all(zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in rows)
     assert recall >= 0.85 and precision >= 0.9
 
 
 def test_quality_held_out(labelled):
-    scores = quality.quality_scores(*labelled)
-    recall, precision, rows = rates(scores, labelled[1], "quality")
+    docs, labels, size = labelled
+    scores = quality.quality_scores(docs, labels)
+    recall, precision, rows = rates(scores, labels, "quality")
     assert all(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in rows)
     bad = [r for r in rows if r.quality == 0]
-    assert recall >= 0.98 and sum(r.predicted == 0 for r in bad) >= 0.9 * len(bad)
+    print("quality: recall", recall, "bad rejected", sum(r.predicted == 0 for r in bad), len(bad), "of", len(rows))
+    assert recall >= 0.98 and sum(r.predicted == 0 for r in bad) >= (0.9 if size == "0.1" else 0.7) * len(bad)
