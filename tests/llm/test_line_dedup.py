@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from ledgerloom.llm import line_dedup
 from ledgerloom.llm.line_dedup import line_run_dedup
 
@@ -78,3 +80,31 @@ def test_texts_of_more_lines_than_the_least_bits(spark, monkeypatch):
     rows = corpus(4, 30) + [(900, "hot line\n" * 40, None, None), ((1 << 54) - 1, corpus(4, 9)[8][1], None, "v")]
     same(spark, rows, 8)
     same(spark, [*rows, (1 << 59, rows[7][1], None, "w")], 8)
+
+
+PASSAGE = "\n".join(" ".join(f"w{i}x{k}" for k in range(10)) for i in range(6))
+
+
+def test_two_million_lines_in_one_text(spark):
+    rows = [(3, PASSAGE, None, None), (5, "\n".join(map(str, range(1 << 21))) + "\n" + PASSAGE, None, None), (6, PASSAGE.replace("w", "q"), None, None)]
+    got = {r.doc_id: r for r in line_run_dedup(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "n_lines", "n_deleted", F.length("text").alias("size")).collect()}
+    assert [(got[i].n_lines, got[i].n_deleted) for i in (3, 5, 6)] == [(6, 0), ((1 << 21) + 6, 6), (6, 0)]
+    assert got[5].size == len(rows[1][1]) - len(PASSAGE) - 1
+
+
+def test_a_hundred_thousand_repeated_lines(spark):
+    many = "the same line\n" * 99_999 + "the same line"
+    rows = [(1, many, None, None), (2, many, None, None), (3, "a line of its own\n" + many, None, None)]
+    got = {r.doc_id: (r.n_lines, r.n_deleted, r.text) for r in line_run_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: (100_000, 99_999, "the same line"), 2: (100_000, 100_000, ""), 3: (100_001, 100_000, "a line of its own")}
+
+
+def test_ranks_follow_the_order_of_suffixes(spark, tmp_path):
+    scratch = line_dedup.Scratch(spark, "order")
+    text = "b a b a n a b a n d".split()
+    at = spark.createDataFrame([(i, x) for i, x in enumerate(text)], "pos long, id string")
+    first = line_dedup._ranked(at, ["id"], scratch, "one")
+    second = first.select((F.col("pos") - 1).alias("pos"), F.col("rank").alias("second"))
+    pairs = [r.pos for r in line_dedup._ranked(first.join(second, "pos"), ["rank", "second"], scratch, "two").orderBy("rank", "pos").collect()]
+    repeats = [i for i in range(len(text) - 1) if sum(text[i : i + 2] == text[j : j + 2] for j in range(len(text) - 1)) > 1]
+    assert pairs == sorted(repeats, key=lambda i: (text[i : i + 2], i))
