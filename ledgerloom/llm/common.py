@@ -77,24 +77,18 @@ def _bit_places(key: Column) -> list[Column]:
     return [F.pmod(F.shiftright(key, 12), F.lit(BITS)).cast("long"), F.pmod(F.shiftright(key, 33), F.lit(BITS)).cast("long")]
 
 
-def bitmaps(df: DataFrame, key: Column, repeated: bool = False) -> DataFrame:
+def bitmaps(df: DataFrame, key: Column) -> DataFrame:
     """(bucket, bits): a blocked Bloom filter over a 64-bit key, two bits a key, at most 16 MB in all.
 
-    ``repeated``: a bit is set only where two or more rows hit it, so a key of which both bits are set may occur
-    twice, and a key that occurs twice always has both.  Counting is a plain aggregation with map-side combine.
+    Setting bits is a plain aggregation with map-side combine.
     """
-    bit = df.select(F.pmod(key, F.lit(BITMAPS)).alias("bucket"), F.explode(F.array(*_bit_places(key))).alias("bit")) if not repeated else None
-    if repeated:
-        a, b = _bit_places(key)
-        # a key whose two places coincide hits that bit once, so a lone row never looks repeated
-        bit = df.select(F.pmod(key, F.lit(BITMAPS)).alias("bucket"), F.explode(F.array_distinct(F.array(a, b))).alias("bit"))
-        bit = bit.groupBy("bucket", "bit").agg(F.count(F.lit(1)).alias("hits")).filter("hits > 1")
+    bit = df.select(F.pmod(key, F.lit(BITMAPS)).alias("bucket"), F.explode(F.array(*_bit_places(key))).alias("bit"))
     return bit.groupBy("bucket").agg(F.bitmap_construct_agg(F.col("bit")).alias("bits"))
 
 
-def in_bitmaps(df: DataFrame, key: Column, bits: DataFrame, name: str) -> DataFrame:
-    """``df`` with a boolean column: whether the bitmaps may hold the key.  Broadcasts ``bits`` (16 MB at most)."""
-    bucket = F.pmod(key, F.lit(BITMAPS))
+def in_bitmaps(df: DataFrame, key: Column, bits: DataFrame, name: str, buckets: int = BITMAPS) -> DataFrame:
+    """``df`` with a boolean column: whether the bitmaps may hold the key.  Broadcasts ``bits`` (4 KB for each bucket)."""
+    bucket = F.pmod(key, F.lit(buckets))
     small = bits.select(F.col("bucket").alias("_bucket"), F.col("bits").alias("_bits"))
     joined = df.withColumn("_key", key).join(F.broadcast(small), bucket == F.col("_bucket"), "left")
 
