@@ -4,7 +4,9 @@ Unit vectors of cosine c or more lie within epsilon = sqrt(2 - 2 c) of each othe
 farther apart.  Vectors are projected on the leading principal dimensions (from a 64 x 64 covariance that tasks sum),
 put in the order of their grid cells of side epsilon, and cut into sequence intervals (blocks) of bounded size.
 Blocks meet only if no grid dimension holds their boxes more than epsilon apart; within a meeting, intervals are
-halved and halves that are provably distant are skipped, down to small squares that get exact double products.
+halved and halves that are provably distant are skipped, down to small squares that get exact double products.  What a
+meeting copies is two blocks, so large blocks keep the shuffle near the vectors' own size; vectors travel as they came
+(four bytes a component where that is exact) and become unit vectors in double precision where they meet.
 """
 
 from __future__ import annotations
@@ -21,40 +23,59 @@ from ledgerloom.llm.common import Scratch, components, ship_package
 from ledgerloom.llm.ngram_join import Forest
 
 #: Leading principal dimensions of the grid, vectors in a block at most, and the side of an exact square.
-GRID_DIMS, BLOCK, SQUARE = 6, 1024, 64
+GRID_DIMS, BLOCK, SQUARE = 6, 8_192, 64
 #: Rounding that projections and products may add.
 SLACK = 1e-9
 
 
-def _units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(unit bytes or null) for each row: null, zero, and non-finite vectors have none."""
+def _raw(v) -> tuple[int, bytes] | None:
+    """Number of components and their bytes (single precision where that is exact); None for null, zero and non-finite ones."""
+    if v is None:
+        return None
+    x = np.array([np.nan if c is None else c for c in v], dtype=np.float64)
+    if not len(x) or not np.isfinite(x).all() or not x.any():
+        return None
+    with np.errstate(over="ignore", under="ignore"):
+        single = x.astype("<f4")
+    return len(x), (single if (single.astype(np.float64) == x).all() else x).tobytes()
+
+
+def unit_rows(raw: bytes, d: int, width: int) -> np.ndarray:
+    """Unit vectors of ``d`` components, ``width`` bytes each, in double precision."""
+    x = np.frombuffer(raw, dtype=f"<f{width}").reshape(-1, d).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)  # so squares neither overflow nor vanish
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
+def _vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(vec_id, label, d, raw), d and raw null for vectors that link with nothing."""
     for batch in batches:
-        out = []
-        for v in batch["embedding"]:
-            u = None
-            if v is not None:
-                x = np.array([np.nan if c is None else c for c in v], dtype=np.float64)
-                if len(x) and np.isfinite(x).all() and (top := np.abs(x).max()) > 0:
-                    x = x / top  # so squares neither overflow nor vanish
-                    u = (x / math.sqrt(float(x @ x))).tobytes()
-            out.append(u)
-        yield pd.DataFrame({"row_id": batch["row_id"], "vec_id": batch["vec_id"], "label": batch["label"], "unit": out})
+        found = [_raw(v) for v in batch["embedding"]]
+        d = pd.array([None if f is None else f[0] for f in found], dtype="Int32")
+        yield pd.DataFrame({"vec_id": batch["vec_id"], "label": batch["label"], "d": d, "raw": [None if f is None else f[1] for f in found]})
+
+
+def _kinds(batch: pd.DataFrame) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(d, width, places, unit vectors) of the vectors of each shape."""
+    shape = list(zip(batch["d"].tolist(), (len(r) for r in batch["raw"]), strict=True))
+    for d, size in set(shape):
+        at = np.array([k for k, x in enumerate(shape) if x == (d, size)])
+        yield d, size // d, at, unit_rows(b"".join(batch["raw"].iloc[k] for k in at), d, size // d)
 
 
 def _moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     sums: dict[int, list] = {}
     for batch in batches:
-        for size, units in batch.groupby(batch["unit"].str.len())["unit"]:
-            x = np.frombuffer(b"".join(units), dtype=np.float64).reshape(len(units), -1)
-            n, s, ss = sums.get(size, (0, 0, 0))
-            sums[size] = [n + len(x), s + x.sum(axis=0), ss + x.T @ x]
-    yield pd.DataFrame([(k // 8, n, s.tobytes(), ss.tobytes()) for k, (n, s, ss) in sums.items()], columns=["d", "n", "s", "ss"])
+        for d, _, _, x in _kinds(batch):
+            n, s, ss = sums.get(d, (0, 0, 0))
+            sums[d] = [n + len(x), s + x.sum(axis=0), ss + x.T @ x]
+    yield pd.DataFrame([(d, n, s.tobytes(), ss.tobytes()) for d, (n, s, ss) in sums.items()], columns=["d", "n", "s", "ss"])
 
 
 def principal_axes(vectors: DataFrame) -> dict[int, np.ndarray]:
     """d -> (d, GRID_DIMS) leading axes of all vectors of d components; the driver sees d x d sums only."""
     sums: dict[int, list] = {}
-    parts = vectors.select("unit").mapInPandas(_moments, "d int, n long, s binary, ss binary")
+    parts = vectors.select("d", "raw").mapInPandas(_moments, "d int, n long, s binary, ss binary")
     for r in parts.toLocalIterator():
         n, s, ss = sums.get(r.d, (0, 0.0, 0.0))
         sums[r.d] = [n + r.n, s + np.frombuffer(r.s), ss + np.frombuffer(r.ss).reshape(r.d, r.d)]
@@ -68,35 +89,37 @@ def principal_axes(vectors: DataFrame) -> dict[int, np.ndarray]:
 def _place(axes, epsilon: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            units = [np.frombuffer(u, dtype=np.float64) for u in batch["unit"]]
-            at = [u @ axes.value[len(u)] for u in units]
-            cells = [np.floor(a / epsilon).astype(np.int32).tolist() for a in at]
-            yield pd.DataFrame({"class_id": batch["class_id"], "label": batch["label"], "copies": batch["copies"], "unit": batch["unit"], "d": [len(u) for u in units], "cells": cells})
+            widths, cells = np.zeros(len(batch), dtype=np.int32), np.empty(len(batch), dtype=object)
+            for d, width, at, x in _kinds(batch):
+                widths[at] = width
+                for k, c in zip(at, np.floor(x @ axes.value[d] / epsilon).astype(np.int32).tolist(), strict=True):
+                    cells[k] = c
+            yield batch.assign(width=widths, cells=cells)[["class_id", "label", "copies", "d", "width", "raw", "cells"]]
 
     return run
 
 
 def _blocks(axes):
-    """Rows sorted by (label, d, cells) -> blocks of one label and number of components, with boxes."""
+    """Rows sorted by (label, d, width, cells) -> blocks of one label and kind of vector, with boxes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         part, number, held = TaskContext.get().partitionId(), 0, []
-        columns = ["block", "label", "d", "low", "high", "ids", "copies", "units"]
+        columns = ["block", "label", "d", "width", "low", "high", "ids", "copies", "raws"]
 
         def block(rows: list) -> pd.DataFrame:
             nonlocal number
-            units = np.frombuffer(b"".join(r.unit for r in rows), dtype=np.float64).reshape(len(rows), -1)
-            at = units @ axes.value[units.shape[1]]
+            d, width, raws = rows[0].d, rows[0].width, b"".join(r.raw for r in rows)
+            at = unit_rows(raws, d, width) @ axes.value[d]
             number += 1
             ids, copies = (np.array([getattr(r, c) for r in rows], dtype=np.int64).tobytes() for c in ("class_id", "copies"))
-            one = [(part << 32) + number, rows[0].label, rows[0].d, at.min(axis=0).tolist(), at.max(axis=0).tolist(), ids, copies, units.tobytes()]
+            one = [(part << 32) + number, rows[0].label, d, width, at.min(axis=0).tolist(), at.max(axis=0).tolist(), ids, copies, raws]
             return pd.DataFrame([one], columns=columns)
 
         for batch in batches:
             for r in batch.itertuples(index=False):
-                if held and (held[0].label != r.label or held[0].d != r.d or len(held) >= BLOCK):
+                if held and ((held[0].label, held[0].d, held[0].width) != (r.label, r.d, r.width) or len(held) >= BLOCK):
                     yield block(held)
                     held = []
                 held.append(r)
@@ -139,10 +162,9 @@ def _meet_blocks(axes, cosine: float, epsilon: float):
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
-                own = r.block == r.other
-                a = np.frombuffer(r.units, dtype=np.float64).reshape(-1, r.d)
-                ia, ca = np.frombuffer(r.ids, dtype=np.int64), np.frombuffer(r.copies, dtype=np.int64)
-                b, ib, cb = (a, ia, ca) if own else (np.frombuffer(r.units2, dtype=np.float64).reshape(-1, r.d), np.frombuffer(r.ids2, dtype=np.int64), np.frombuffer(r.copies2, dtype=np.int64))
+                own = r.block == r.other  # then there is no second block in the row
+                a, ia, ca = unit_rows(r.raws, r.d, r.width), np.frombuffer(r.ids, dtype=np.int64), np.frombuffer(r.copies, dtype=np.int64)
+                b, ib, cb = (a, ia, ca) if own else (unit_rows(r.raws2, r.d, int(r.width2)), np.frombuffer(r.ids2, dtype=np.int64), np.frombuffer(r.copies2, dtype=np.int64))
                 i, j = join_blocks(a, b, a @ axes.value[r.d], b @ axes.value[r.d], cosine, epsilon, own)
                 na, nb = np.bincount(i, cb[j], len(a)).astype(np.int64), np.bincount(j, ca[i], len(b)).astype(np.int64)
                 out += [(x, x, n) for x, n in [*zip(ia[na > 0].tolist(), na[na > 0].tolist()), *zip(ib[nb > 0].tolist(), nb[nb > 0].tolist())]]
@@ -164,36 +186,45 @@ def embedding_near_dedup(vectors: DataFrame, cosine: float = 0.98, id_col: str =
     spark = vectors.sparkSession
     ship_package(spark)
     scratch, epsilon = Scratch(spark, "embed-dedup"), math.sqrt(2 - 2 * cosine)
-    raw = vectors.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).alias("embedding"))
-    rows = raw.mapInPandas(_units, "row_id long, vec_id long, label string, unit binary")
-    rows = scratch.cut(rows.withColumn("unit", F.when(F.col("label").isNotNull(), F.col("unit"))), "rows")
-    # one class for each label and direction; its id is the hash that names it
-    named = rows.filter("unit is not null").select("vec_id", "label", "unit", F.xxhash64("label", "unit").alias("class_id"))
-    classes = scratch.cut(named.groupBy("class_id").agg(F.first("label").alias("label"), F.first("unit").alias("unit"), F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies")), "classes")
+    raw = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).alias("embedding"))
+    rows = raw.mapInPandas(_vectors, "vec_id long, label string, d int, raw binary")
+    # equal vectors of one label are one class, named by 128 bits, and numbered where the table is written
+    usable = F.col("label").isNotNull() & F.col("raw").isNotNull()
+    names = ["name1", "name2"]
+    rows = scratch.cut(rows.withColumn("raw", F.when(usable, F.col("raw"))).withColumn("name1", F.when(usable, F.xxhash64("label", "raw"))).withColumn("name2", F.when(usable, F.xxhash64(F.lit("second"), "raw", "label"))), "rows")
+    named = rows.filter("raw is not null").select("vec_id", *names)
+    classes = rows.filter("raw is not null").groupBy(*names).agg(F.first("label").alias("label"), F.first("d").alias("d"), F.first("raw").alias("raw"), F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    classes = scratch.cut(classes.withColumn("class_id", F.monotonically_increasing_id()), "classes")
     axes = spark.sparkContext.broadcast(principal_axes(classes))
-    placed = classes.select("class_id", "label", "copies", "unit").mapInPandas(_place(axes, epsilon), "class_id long, label string, copies long, unit binary, d int, cells array<int>")
+    placed = classes.select("class_id", "label", "copies", "d", "raw").mapInPandas(_place(axes, epsilon), "class_id long, label string, copies long, d int, width int, raw binary, cells array<int>")
+    order = ["label", "d", "width", "cells", "class_id"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = scratch.cut(placed, "placed").repartitionByRange(parts, "label", "d", "cells", "class_id").sortWithinPartitions("label", "d", "cells", "class_id")
-    blocks = scratch.cut(ordered.mapInPandas(_blocks(axes), "block long, label string, d int, low array<double>, high array<double>, ids binary, copies binary, units binary"), "blocks")
+    ordered = scratch.cut(placed, "placed").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    blocks = scratch.cut(ordered.mapInPandas(_blocks(axes), "block long, label string, d int, width int, low array<double>, high array<double>, ids binary, copies binary, raws binary"), "blocks")
 
     # blocks meet by the cells of the first dimension, then by their boxes: 1/BLOCK of the rows, without vectors
     box = blocks.select("block", "label", "d", "low", "high", F.floor(F.element_at("low", 1) / epsilon).alias("from"), F.floor(F.element_at("high", 1) / epsilon).alias("to"))
     left = box.withColumn("cell", F.explode(F.sequence("from", "to")))
     right = box.select(F.col("block").alias("other"), "label", "d", F.col("low").alias("low2"), F.col("high").alias("high2"), F.explode(F.sequence(F.col("from") - 1, F.col("to") + 1)).alias("cell"))
     gap = F.zip_with(F.zip_with("low2", "high", lambda x, y: x - y), F.zip_with("low", "high2", lambda x, y: x - y), lambda p, q: F.pow(F.greatest(p, q, F.lit(0.0)), 2))
-    pairs = left.join(right, ["label", "d", "cell"]).filter("block <= other").withColumn("gap", F.aggregate(gap, F.lit(0.0), lambda s, x: s + x))
+    pairs = left.join(right, ["label", "d", "cell"]).filter("block < other").withColumn("gap", F.aggregate(gap, F.lit(0.0), lambda s, x: s + x))
     pairs = pairs.filter(F.col("gap") <= epsilon * epsilon + SLACK).select("block", "other").distinct()
-    second = blocks.select(F.col("block").alias("other"), *[F.col(c).alias(f"{c}2") for c in ("ids", "copies", "units")])
-    met = pairs.join(blocks.select("block", "d", "ids", "copies", "units"), "block").join(second, "other")
-    met = scratch.cut(met.repartition(parts).mapInPandas(_meet_blocks(axes, cosine, epsilon), "a long, b long, links long"), "met")
+    # a block meets itself as one copy; two blocks as one of each
+    pairs, vectors_of = scratch.cut(pairs, "pairs"), ("width", "ids", "copies", "raws")
+    first = blocks.select("block", "d", *vectors_of)
+    second = blocks.select(F.col("block").alias("other"), *[F.col(c).alias(f"{c}2") for c in vectors_of])
+    met = pairs.join(first, "block").join(second, "other")
+    alone = first.withColumn("other", F.col("block")).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in second.schema if f.name != "other"])
+    met = met.unionByName(alone)
+    met = scratch.cut(met.mapInPandas(_meet_blocks(axes, cosine, epsilon), "a long, b long, links long"), "met")
 
     links = met.filter("links > 0").groupBy(F.col("a").alias("class_id")).agg(F.sum("links").alias("links"))
     labels = components(met.filter("links = 0").select("a", "b"), scratch, "classes").select(F.col("id").alias("class_id"), F.col("label").alias("root"))
-    known = classes.select("class_id", "least", "copies").join(links, "class_id", "left").join(labels, "class_id", "left")
-    known = scratch.cut(known.select("class_id", "least", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "class_id").alias("root")), "known")
+    known = classes.select("class_id", *names, "least", "copies").join(links, "class_id", "left").join(labels, "class_id", "left")
+    known = scratch.cut(known.select(*names, "least", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "class_id").alias("root")), "known")
     least = scratch.cut(known.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    named_classes = scratch.cut(known.join(least, "root").select("class_id", "n_links", "component_id"), "named")
-    linked = named.select("vec_id", "class_id").join(named_classes, "class_id").select("vec_id", "n_links", "component_id")
-    alone = rows.filter("unit is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    found = scratch.cut(known.join(least, "root").select(*names, "n_links", "component_id"), "named")
+    linked = named.join(found, names).select("vec_id", "n_links", "component_id")
+    alone = rows.filter("raw is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     every = linked.unionByName(alone)
     return every.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
