@@ -12,9 +12,9 @@ the sets themselves.
    sets that share none of these have too small a sum of minima, so no link is lost.  At a coordinate, two sets are
    connected if their sizes, what is left of both in that order, and the number of coordinates they share allow the
    overlap; what connects is a cell.
-3. Cells are packed into leaves of bounded size.  Leaves meet in tasks of their own: nodes (runs of points, with the
-   largest coordinates as their box) are compared first, then points, then sets.  A cell of many leaves first meets
-   its first leaf; leaves of which all sets are already connected need no further meeting.
+3. Cells are packed into leaves of bounded size; only here do sets travel.  Leaves meet in tasks of their own: nodes
+   (runs of points, with the largest coordinates as their box) are compared first, then points, then sets.  A cell's
+   leaves meet themselves and its first leaf; leaves of which all sets are then connected need no further meeting.
 
 Links come out as forests, a task's links never exceed its rows, and the classes are connected components of them.
 """
@@ -38,7 +38,7 @@ FINE, SEGMENT = 24, 1 << 18
 SMALL = 64
 ENOUGH = 1 << 31
 #: Coordinates of a point, sets and shingles in a leaf on average at most, and points in a node.
-DIMS, LEAF_SETS, LEAF_SHINGLES, NODE = 128, 96, 200_000, 16
+DIMS, LEAF_SETS, LEAF_SHINGLES, NODE = 128, 384, 400_000, 16
 #: Words that a worker remembers the hashes of, and the longest of them.
 WORD_CACHE, WORD_LENGTH = 150_000, 64
 
@@ -224,14 +224,25 @@ def may_link(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(words: int):
+    """Chosen texts -> their sets; rows that repeat a chosen id with another text are left out."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingle_set(t, words) for t in batch["text"]]
-            yield pd.DataFrame({"set_id": [set_key(s) for s in sets], "doc_id": batch["doc_id"].to_numpy(), "shingles": [s.tobytes() for s in sets]})
+            out = batch[["set_id", "cell", "leaf"]].assign(shingles=[x.tobytes() for x in sets])
+            yield out[[k == set_key(x) for k, x in zip(batch["set_id"].tolist(), sets, strict=True)]]
 
     return run
 
 
+def _unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Leaves -> (set_id, cell, shingles)."""
+    for batch in batches:
+        for r in batch.itertuples(index=False):
+            ids, ends = np.frombuffer(r.ids, dtype=np.int64), np.cumsum(np.frombuffer(r.sizes, dtype=np.int32).astype(np.int64)) * 8
+            yield pd.DataFrame({"set_id": ids, "cell": r.cell, "shingles": [r.sets[i:j] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]})
+
+
 def pack_leaf(rows: pd.DataFrame) -> pd.DataFrame:
     """The sets of one leaf, in the order of their sizes and points, as one row."""
     rows = rows.drop_duplicates("set_id")
@@ -239,7 +250,8 @@ def pack_leaf(rows: pd.DataFrame) -> pd.DataFrame:
     points = np.array([point(s) for s in sets])
     order = np.lexsort((points[:, 1], points[:, 0], [len(s) for s in sets]))
     out = {"cell": int(rows["cell"].iloc[0]), "leaf": int(rows["leaf"].iloc[0])}
-    out |= {"ids": rows["set_id"].to_numpy(dtype=np.int64)[order].tobytes(), "labels": rows["label"].to_numpy(dtype=np.int64)[order].tobytes()}
+    labels = rows["label" if "label" in rows else "set_id"].to_numpy(dtype=np.int64)
+    out |= {"ids": rows["set_id"].to_numpy(dtype=np.int64)[order].tobytes(), "labels": labels[order].tobytes()}
     out |= {"sizes": np.array([len(sets[i]) for i in order], dtype=np.int32).tobytes(), "sets": b"".join(sets[i].tobytes() for i in order)}
     return pd.DataFrame([out])
 
@@ -280,9 +292,20 @@ class Forest:
         return a != b
 
 
+def overlaps(s: np.ndarray, others: list[np.ndarray]) -> list[int]:
+    """The number of shingles that a sorted set shares with each of others."""
+    if not others:
+        return []
+    every = np.concatenate(others)
+    at = np.searchsorted(s, every)
+    same = s[np.minimum(at, len(s) - 1)] == every
+    return np.add.reduceat(same, np.cumsum([0, *map(len, others[:-1])]), dtype=np.int64).tolist()
+
+
 def meet(x: Leaf, y: Leaf | None, percent: int, forest: Forest) -> list[tuple[int, int]]:
     """Links that connect what ``forest`` doesn't connect yet, between two leaves or (y None) within one."""
     own, y, links = y is None, x if y is None else y, []
+    x_ids, y_ids = x.ids.tolist(), y.ids.tolist()
     bound = np.minimum(x.high[:, None, :], y.high[None, :, :]).sum(axis=2)
     near = (bound >= needed_overlap(x.least[:, None], y.least[None, :], percent)) & (100 * x.most[:, None] >= percent * y.least[None, :]) & (100 * y.most[None, :] >= percent * x.least[:, None])
     for i, j in np.argwhere(near):
@@ -291,17 +314,20 @@ def meet(x: Leaf, y: Leaf | None, percent: int, forest: Forest) -> list[tuple[in
         a, b = x.nodes[i], y.nodes[j]
         sums = np.minimum(x.points[a][:, None, :], y.points[b][None, :, :]).sum(axis=2)
         need = needed_overlap(x.n[a][:, None], y.n[b][None, :], percent)
-        for p, q in np.argwhere(sums >= need):
-            p, q = p + a.start, q + b.start
-            if own and q <= p:
-                continue
-            u, v = int(x.ids[p]), int(y.ids[q])
-            if u == v or forest.find(u) == forest.find(v):
-                continue
-            s, t = x.sets[p], y.sets[q]
-            if len(np.intersect1d(s, t, assume_unique=True)) >= needed_overlap(len(s), len(t), percent):
-                forest.join(u, v)
-                links.append((u, v))
+        for p, close in enumerate(sums >= need):
+            p += a.start
+            left = (np.flatnonzero(close) + b.start).tolist()
+            if own:
+                left = [q for q in left if q > p]
+            # in growing runs, as one link may spare the others
+            u, width = x_ids[p], 1
+            while left:
+                root = forest.find(u)
+                left = [q for q in left if forest.find(y_ids[q]) != root]
+                some, left, width = left[:width], left[width:], 2 * width
+                for q, n in zip(some, overlaps(x.sets[p], [y.sets[q] for q in some]), strict=True):
+                    if n >= needed_overlap(int(x.n[p]), int(y.n[q]), percent) and forest.join(u, y_ids[q]):
+                        links.append((u, y_ids[q]))
     return links
 
 
@@ -313,28 +339,20 @@ def _links(x: Leaf, y: Leaf | None, percent: int) -> list[tuple[int, int]]:
     return meet(x, y, percent, forest)
 
 
-def _meet_leaves(percent: int):
+def _meet_leaves(percent: int, two: bool):
+    """Links between the two leaves of each row, or within its one."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
                 x = Leaf(r.ids, r.labels, r.sizes, r.sets)
-                out += _links(x, None if r.leaf == r.other else Leaf(r.ids2, r.labels2, r.sizes2, r.sets2), percent)
+                out += _links(x, Leaf(r.ids2, r.labels2, r.sizes2, r.sets2) if two else None, percent)
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
 
 
-def _meet_itself(percent: int):
-    """The links within one leaf, given as its sets."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        r = pack_leaf(rows.assign(label=rows["set_id"])).iloc[0]
-        return pd.DataFrame(_links(Leaf(r.ids, r.labels, r.sizes, r.sets), None, percent), columns=["a", "b"], dtype="int64")
-
-    return run
-
-
 def _leaves(sets: DataFrame) -> DataFrame:
     """(cell, part, leaves): over how many leaves the sets of a part of a cell are to be dealt."""
     size = sets.groupBy("cell", "part").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("sum_n"))
@@ -348,10 +366,11 @@ def _leaf_of(start, leaves) -> Column:
 PACKED = "cell long, leaf int, ids binary, labels binary, sizes binary, sets binary"
 
 
-def _pairs_met(packed: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Links between the leaves of each (cell, leaf, other)."""
-    second = packed.select("cell", F.col("leaf").alias("other"), *[F.col(c).alias(f"{c}2") for c in ("ids", "labels", "sizes", "sets")])
-    return pairs.join(packed, ["cell", "leaf"]).join(second, ["cell", "other"]).mapInPandas(_meet_leaves(percent), "a long, b long")
+LINK = "a long, b long"
+
+
+def _second(packed: DataFrame) -> DataFrame:
+    return packed.select("cell", F.col("leaf").alias("other"), *[F.col(c).alias(f"{c}2") for c in ("ids", "labels", "sizes", "sets")])
 
 
 def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -369,6 +388,15 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 75, id_co
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     pass1 = scratch.cut(docs.mapInPandas(_sets_and_counts(words), "doc_id long, set_id long, n int, segment int, counts binary"), "pass1")
     members = pass1.filter("segment = -1").select("doc_id", "set_id", "n")
+    # of equal sets one document stands for all; a bitmap keeps (nearly) all others from being sent
+    first = members.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"))
+    first = scratch.cut(first.withColumn("doc_id", F.coalesce("least", F.lit(0).cast("long"))), "first")
+    keyed = docs.select(F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), "text")
+
+    def among(chosen: DataFrame, name: str) -> DataFrame:
+        bits = scratch.cut(bitmaps(chosen, F.xxhash64("doc_id")), name)
+        return in_bitmaps(keyed, F.xxhash64("doc_id"), bits, "wanted").filter("wanted").select("doc_id", "text")
+
     level = pass1.filter("segment >= 0").select("segment", "counts").groupBy("segment").applyInPandas(_sum_counts, "segment int, level binary")
     table = np.zeros(1 << FINE, dtype=np.uint8)  # fixed size: 16 MB
     for r in level.collect():
@@ -376,7 +404,7 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 75, id_co
     levels = spark.sparkContext.broadcast(zlib.compress(table.tobytes()))
 
     # the root: sets meet at shared coordinates
-    sent = docs.select("text").mapInPandas(_coordinates(words, percent, levels), "key long, size_at long, set_id long")
+    sent = among(first, "first-bits").select("text").mapInPandas(_coordinates(words, percent, levels), "key long, size_at long, set_id long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sent = sent.repartition(parts, "key").sortWithinPartitions("key", "size_at", "set_id")
     met = sent.mapInPandas(_meetings(percent), "a long, b long, sizes long, place long, shared long")
@@ -385,31 +413,24 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 75, id_co
     scratch.drop("chained")
 
     # every cell's leaves, before any set travels
-    first = members.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-    chosen = scratch.cut(cells.join(first, "set_id").select("set_id", "cell", "n", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.lit(0).cast("long").alias("part")), "chosen")
+    chosen = scratch.cut(cells.join(first, "set_id").select("set_id", "cell", "n", "doc_id", F.lit(0).cast("long").alias("part")), "chosen")
     leaves = scratch.cut(_leaves(chosen), "leaf-counts")
     chosen = scratch.cut(chosen.join(leaves, ["cell", "part"]).select("set_id", "doc_id", "cell", "n", "leaves", _leaf_of(F.lit(0), F.col("leaves")).alias("leaf")), "dealt")
 
-    # the sets themselves, hashed again from their texts; a bitmap keeps other texts out of the shuffle
-    bits = scratch.cut(bitmaps(chosen, F.xxhash64("doc_id")), "bits")
-    wanted = docs.select(F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), "text")
-    wanted = in_bitmaps(wanted, F.xxhash64("doc_id"), bits, "wanted").filter("wanted").select("doc_id", "text")
-    sets = wanted.mapInPandas(_sets(words), "set_id long, doc_id long, shingles binary")
-    sets = scratch.cut(sets.join(chosen, ["set_id", "doc_id"]).select("set_id", "cell", "leaf", "leaves", "n", "shingles"), "sets")
+    # the texts of cells travel once, their sets once more, into leaves
+    texts = among(chosen, "bits").join(chosen.select("doc_id", "set_id", "cell", "leaf"), "doc_id")
+    sets = texts.select("set_id", "cell", "leaf", "text").mapInPandas(_sets(words), "set_id long, cell long, leaf int, shingles binary")
+    packed = scratch.cut(sets.groupBy("cell", "leaf").applyInPandas(pack_leaf, PACKED), "leaves-1")
 
     # each leaf meets itself; a cell's other leaves meet its first
-    own = sets.select("cell", "leaf", "set_id", "shingles").groupBy("cell", "leaf").applyInPandas(_meet_itself(percent), "a long, b long")
-    found = scratch.cut(own, "links-0")
-    large = sets.filter("leaves > 1")
+    found = scratch.cut(packed.mapInPandas(_meet_leaves(percent, False), LINK), "links-0")
     more = chosen.filter("leaves > 1")
-    labels = scratch.cut(components(found, scratch, "classes-0"), "labels-0")
-    if more.limit(1).count():
-        packed = large.select("cell", "leaf", "set_id", F.col("set_id").alias("label"), "shingles").groupBy("cell", "leaf").applyInPandas(pack_leaf, PACKED)
-        packed = scratch.cut(packed, "leaves-1")
-        pairs = packed.filter("leaf > 0").select("cell", "leaf", F.lit(0).alias("other"))
-        found = scratch.cut(found.union(_pairs_met(packed, pairs, percent)), "links-1")
-        scratch.drop("leaves-1")
-        labels = scratch.cut(components(found, scratch, "classes-1"), "labels-1")
+    several = more.limit(1).count() > 0
+    if several:
+        met = packed.filter("leaf > 0").join(_second(packed.filter("leaf = 0")), "cell").mapInPandas(_meet_leaves(percent, True), LINK)
+        found = scratch.cut(found.union(met), "links-1")
+    labels = scratch.cut(components(found, scratch, "classes-1"), "labels-1")
+    if several:
         # cells that are one class by now are done; in others, leaves are dealt anew, by class where it is large
         marked = more.select("set_id", "cell", "n").join(labels.select(F.col("id").alias("set_id"), "label"), "set_id", "left").select("set_id", "cell", "n", F.coalesce("label", "set_id").alias("label"))
         marked = scratch.cut(marked, "marked")
@@ -422,21 +443,23 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 75, id_co
         leaves = scratch.cut(leaves.select("*", F.coalesce(F.sum("leaves").over(before), F.lit(0)).cast("int").alias("start")), "starts")
         if leaves.limit(1).count():
             marked = scratch.cut(marked.join(leaves, ["cell", "part"]).select("set_id", "label", _leaf_of(F.col("start"), F.col("leaves")).alias("leaf")), "assigned")
-            packed = large.select("cell", "set_id", "shingles").join(marked, "set_id").groupBy("cell", "leaf").applyInPandas(pack_leaf, PACKED)
-            packed = scratch.cut(packed, "leaves-2")
+            again = packed.join(scratch.cut(leaves.select("cell").distinct(), "mixed-cells"), "cell", "left_semi").mapInPandas(_unpacked, "set_id long, cell long, shingles binary")
+            packed = scratch.cut(again.join(marked, "set_id").groupBy("cell", "leaf").applyInPandas(pack_leaf, PACKED), "leaves-2")
             # a part of one class needs no meeting among its own leaves; part 0 holds the small classes
             ends = leaves.groupBy("cell").agg(F.max(F.col("start") + F.col("leaves")).alias("total"))
             each = leaves.join(ends, "cell").select("*", F.explode(F.sequence("start", F.col("start") + F.col("leaves") - 1)).alias("leaf"))
             low = F.when(F.col("part") == 0, F.col("leaf")).otherwise(F.col("start") + F.col("leaves"))
             pairs = each.filter(low < F.col("total")).select("cell", "leaf", F.explode(F.sequence(low, F.col("total") - 1)).alias("other"))
-            found = scratch.cut(found.union(_pairs_met(packed, pairs, percent)), "links-2")
+            pairs = scratch.cut(pairs, "pairs-2")
+            alone = packed.join(pairs.filter("leaf = other").select("cell", "leaf"), ["cell", "leaf"], "left_semi")
+            met = pairs.filter("leaf <> other").join(packed, ["cell", "leaf"]).join(_second(packed), ["cell", "other"])
+            found = scratch.cut(found.union(alone.mapInPandas(_meet_leaves(percent, False), LINK)).union(met.mapInPandas(_meet_leaves(percent, True), LINK)), "links-2")
             scratch.drop("leaves-2")
             labels = scratch.cut(components(found, scratch, "classes-2"), "labels-2")
-    scratch.drop("sets")
+    scratch.drop("leaves-1")
 
     # back to documents: classes of sets first, then the rows of each set
-    by_set = members.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"))
-    by_set = by_set.join(labels.select(F.col("id").alias("set_id"), "label"), "set_id", "left").select("set_id", "least", F.coalesce("label", "set_id").alias("label"))
+    by_set = first.join(labels.select(F.col("id").alias("set_id"), "label"), "set_id", "left").select("set_id", "least", F.coalesce("label", "set_id").alias("label"))
     by_set = scratch.cut(by_set, "by-set")
     least = scratch.cut(by_set.groupBy("label").agg(F.min("least").alias("component_id")), "least")
     named = scratch.cut(by_set.join(least, "label").select("set_id", "component_id"), "named")

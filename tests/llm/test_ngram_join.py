@@ -115,3 +115,27 @@ def test_meetings_lose_no_link():
             rest = max(len(a) - len(pa), len(b) - len(pb))
             assert len(shared) >= need - rest and min(len(a) - sa.index(first), len(b) - sb.index(first)) >= need
             assert rest == max(-(-75 * x // 100) - 1 for x in (len(a), len(b)))
+
+
+def test_a_dense_group_and_a_licence_that_all_share(spark, monkeypatch):
+    """Copies of which most pairs aren't linked (about 0.6 to 0.75), and unrelated texts with one long passage in common."""
+    monkeypatch.setattr(nj, "LEAF_SETS", 16)
+    r = random.Random(21)
+    base = ["b%d" % i for i in range(120)]
+    rows = []
+    for i in range(150):
+        t = list(base)
+        for at in r.sample(range(120), r.choice([1, 2, 3, 3, 4, 4])):
+            t[at] = "e%d" % r.randrange(10**6)
+        rows.append((i, " ".join(t), None, None))
+    licence = " ".join("licence%d" % i for i in range(60))
+    rows += [(1000 + i, " ".join("own%d" % r.randrange(10**6) for _ in range(r.choice([0, 3, 12, 60, 200]))) + " " + licence, None, None) for i in range(120)]
+    got = sorted((tuple(x) for x in ngram_jaccard_join(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
+    assert got == brute(rows)
+
+
+def test_overlaps_of_many():
+    r = random.Random(4)
+    s = nj.shingle_set(" ".join("a%d" % i for i in range(80)))
+    others = [nj.shingle_set(" ".join("a%d" % (i + r.randrange(90)) if r.random() < 0.05 else "a%d" % i for i in range(r.randint(5, 100)))) for _ in range(40)]
+    assert nj.overlaps(s, others) == [len(set(s.tolist()) & set(o.tolist())) for o in others] and nj.overlaps(s, []) == []
