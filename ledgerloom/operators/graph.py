@@ -90,15 +90,27 @@ def last_hops(edges: DataFrame, top: int) -> DataFrame:
     return e.join(least, "src").filter("weight >= least").drop("least").withColumn("rn", rn).filter(F.col("rn") <= top).drop("rn")
 
 
-def paths_to_two(edges: DataFrame, k: int | None, top: int) -> DataFrame:
-    """The ``top`` best paths of one or two edges from each node."""
+def paths_to_two(edges: DataFrame, k: int | None, top: int, starts: DataFrame | None = None) -> DataFrame:
+    """The ``top`` best paths of one or two edges from each node, or from the sources of the edges ``starts`` only."""
     e = walked(edges, k)
-    one = e.select("src", F.lit(None).cast("string").alias("mid"), "dst", F.col("weight").alias("score"), F.lit(1).alias("hops"))
-    both = one.unionByName(chains(e, last_hops(e, top)).withColumn("hops", F.lit(2)))
+    first = e if starts is None else walked(starts, k)
+    one = first.select("src", F.lit(None).cast("string").alias("mid"), "dst", F.col("weight").alias("score"), F.lit(1).alias("hops"))
+    both = one.unionByName(chains(first, last_hops(e, top)).withColumn("hops", F.lit(2)))
     rn = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("score"), "hops", "dst", "mid"))
     return both.withColumn("rn", rn).filter(F.col("rn") <= top)
 
 
+def path_details(paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """(subject, nodes, rels, weights) of paths (src, mid, dst, hops), from the edges that they walk."""
+    e = edges.select("src", "dst", "rel", "weight")
+    one = paths.filter("hops = 1").select("src", "dst").join(e, ["src", "dst"])
+    one = one.select(F.col("src").alias("subject"), F.array("src", "dst").alias("nodes"), F.array("rel").alias("rels"), F.array("weight").alias("weights"))
+    first = e.select("src", F.col("dst").alias("mid"), F.col("rel").alias("rel1"), F.col("weight").alias("w1"))
+    second = e.select(F.col("src").alias("mid"), "dst", F.col("rel").alias("rel2"), F.col("weight").alias("w2"))
+    two = paths.filter("hops = 2").select("src", "mid", "dst").join(first, ["src", "mid"]).join(second, ["mid", "dst"])
+    return one.unionByName(two.select(F.col("src").alias("subject"), F.array("src", "mid", "dst").alias("nodes"), F.array("rel1", "rel2").alias("rels"), F.array("w1", "w2").alias("weights")))
+
+
 def peers(edges: DataFrame, least: int) -> DataFrame:
     """(a, b, shared): sources that share ``least`` targets or more."""
     e = edges.select("src", "dst").distinct()
