@@ -102,3 +102,8 @@ def normalised_name(name: Column) -> Column:
     wide = F.when(~name.rlike(r"^[ -~]*$"), name)
     formed = F.coalesce(F.pandas_udf(nfkc, "string")(wide), name)
     return F.trim(F.regexp_replace(formed, r"\s+", " "))
+
+
+def is_supported(code: Column) -> Column:
+    """Codes of exchanges that the bars cover: not those that end in .BJ or .NQ, in any case."""
+    return ~F.upper(code).rlike(r"\.(BJ|NQ)$")

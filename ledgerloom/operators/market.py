@@ -81,6 +81,20 @@ def ema_series(values: Column, span: int) -> Column:
     return F.aggregate(values, F.array().cast("array<double>"), grow)
 
 
+def seeded_ema(bars: DataFrame, span: int) -> DataFrame:
+    """(code, ema): the average at the last bar, seeded with the mean of the first ``span`` closes; none for fewer bars.
+
+    The fold is a sum: a close k bars before the last weighs alpha (1 - alpha)^k, and the seed (1 - alpha)^bars, so a
+    history of any length is one pass of aggregation (weights too small for a double vanish).
+    """
+    alpha = 2.0 / (span + 1)
+    ranked = bars.withColumn("rn", F.row_number().over(by_date()))
+    size = ranked.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("rn") <= span, F.col("close"))).alias("seed")).filter(F.col("n") >= span)
+    later = ranked.filter(F.col("rn") > span).join(size, "code").groupBy("code").agg(F.sum(F.col("close") * alpha * F.pow(F.lit(1 - alpha), F.col("n") - F.col("rn"))).alias("moved"))
+    out = size.join(later, "code", "left")
+    return out.select("code", (F.col("seed") * F.pow(F.lit(1 - alpha), F.col("n") - span) + F.coalesce("moved", F.lit(0.0))).alias("ema"))
+
+
 def macd(bars: DataFrame, bars_back: int = 250) -> DataFrame:
     """DIF, DEA and histogram (12, 26, 9) at each instrument's last bar, over its last ``bars_back`` bars.
 

@@ -277,7 +277,10 @@ def catalysts(spark, sf):
 
 @query("sg10_company_roll_up", f"""WITH {_SIG} SELECT subject, count(*) AS signals, list_sort(list(DISTINCT kind)) AS kinds, list_slice(list(signal_id ORDER BY signal_id DESC), 1, 3) AS latest FROM sig GROUP BY 1""")
 def roll_up(spark, sf):
-    return _signals(spark, sf).groupBy("subject").agg(F.count(F.lit(1)).alias("signals"), F.array_sort(F.collect_set("kind")).alias("kinds"), F.slice(F.sort_array(F.collect_list("signal_id"), asc=False), 1, 3).alias("latest"))
+    signals = _signals(spark, sf)
+    newest = signals.withColumn("rn", F.row_number().over(Window.partitionBy("subject").orderBy(F.desc("signal_id")))).filter("rn <= 3")
+    newest = newest.groupBy("subject").agg(F.sort_array(F.collect_list("signal_id"), asc=False).alias("latest"))
+    return signals.groupBy("subject").agg(F.count(F.lit(1)).alias("signals"), F.array_sort(F.collect_set("kind")).alias("kinds")).join(newest, "subject").select("subject", "signals", "kinds", "latest")
 
 
 @query("jn8_signal_detail", f"""{_TOP}, {_SIG}, t3 AS (SELECT src, dst, weight FROM top QUALIFY row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) <= 3)

@@ -19,15 +19,15 @@ def _folder(spark, name: str) -> str:
 
 
 def sm1_news_stream(spark, sf):
-    """Each title once, first by time: a micro-batch stream into a table, then that table."""
+    """Each title once, with its first event: a micro-batch stream into a table, then that table as it was written."""
     schema = t.table(spark, sf, "events").schema
     folder = _folder(spark, "news")
     t.table(spark, sf, "events").write.parquet(f"{folder}/in")
     raw = spark.readStream.schema(schema).parquet(f"{folder}/in")
     titled = raw.select("event_id", F.concat("event_type", F.lit(":"), F.col("user_id") % 50).alias("title"), "ts")
     ingest.run_available(titled, ingest.append_new(f"{folder}/out", ["title"], ["ts", "event_id"]), f"{folder}/state")
-    return spark.read.parquet(f"{folder}/out").select("title").distinct()
+    return spark.read.parquet(f"{folder}/out").select("title", "event_id")
 
 
 QUERIES["sm1_news_stream"] = sm1_news_stream
-ORACLE_SQL["sm1_news_stream"] = "SELECT DISTINCT event_type || ':' || (user_id % 50) AS title FROM events"
+ORACLE_SQL["sm1_news_stream"] = "SELECT event_type || ':' || (user_id % 50) AS title, arg_min(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1"
