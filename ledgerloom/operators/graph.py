@@ -7,6 +7,7 @@ walked unless a caller asks for each node's k heaviest (``k``).
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 
@@ -17,10 +18,13 @@ RANKS = {"Fact": 3, "Claim": 2, "Estimate": 1}
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the session's shared folder (a folder of its own where none is set)."""
+    """``df`` checkpointed in the session's shared folder (a session on this machine alone may do without one)."""
     spark: SparkSession = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerloom-graph-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ledgerloom-graph-"))
     return df.checkpoint()
 
 
