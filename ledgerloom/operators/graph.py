@@ -153,11 +153,14 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
     return found
 
 
-def connected(pairs: DataFrame, most: int = 50) -> DataFrame:
-    """(id, root): the smallest id that merge pairs (a, b) lead to, by smallest labels of neighbours until none moves."""
+def connected(pairs: DataFrame) -> DataFrame:
+    """(id, root): the smallest id that merge pairs (a, b) lead to, by smallest labels of neighbours until none moves.
+
+    Labels also jump to their own label's label, so the rounds grow with the logarithm of a chain's length.
+    """
     both = cut(pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.select(F.col("a").alias("id")).distinct().withColumn("root", F.col("id")))
-    for _ in range(most):
+    while True:
         low = both.join(labels.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("low"))
         hop = labels.join(low, "id").select("id", "root", F.least("root", "low").alias("new"))
         jump = hop.join(labels.select(F.col("id").alias("new"), F.col("root").alias("up")), "new").select("id", (F.least("new", "up") != F.col("root")).alias("moved"), F.least("new", "up").alias("root"))

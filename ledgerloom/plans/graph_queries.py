@@ -252,14 +252,14 @@ def templates(spark, sf):
 
 
 @query("sg4_graph_propagation", f"""{_TOP}, {_SIG}, t3 AS (SELECT src, dst, weight FROM top QUALIFY row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) <= 3),
-    p AS (SELECT src, dst, weight AS edge, 1 AS hops FROM t3 UNION ALL SELECT a.src, b.dst, (a.weight + b.weight) / 2, 2 FROM t3 a JOIN t3 b ON a.dst = b.src), q AS (SELECT src, dst, max(edge) AS edge, min(hops) AS hops FROM p GROUP BY 1, 2)
+    p AS (SELECT src, dst, weight AS edge, 1 AS hops FROM t3 UNION ALL SELECT a.src, b.dst, (a.weight + b.weight) / 2, 2 FROM t3 a JOIN t3 b ON a.dst = b.src), q AS (SELECT src, dst, edge, hops FROM p QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY round(edge - 0.1 * (hops - 1), 9) DESC, hops, edge DESC) = 1)
     SELECT signal_id, dst AS target, hops, round((0.3 * source_confidence + 0.3 * strength / 100 + 0.4 * edge - 0.04 * (hops - 1)) * 1.000000000001, 3) AS confidence FROM sig JOIN q ON sig.subject = q.src WHERE kind IN ('purchase', 'error')""")
 def propagation(spark, sf):
     out = s.graph_propagation(_signals(spark, sf).filter("kind in ('purchase', 'error')"), t.edges(spark, sf), 3)
     return out.select("signal_id", "target", "hops", F.round(F.col("confidence") * 1.000000000001, 3).alias("confidence"))
 
 
-@query("sg4_graph_propagation_whole", f"""{with_(EDGES)}, {_SIG}, p AS (SELECT src, dst, weight AS edge, 1 AS hops FROM edges UNION ALL SELECT a.src, b.dst, (a.weight + b.weight) / 2, 2 FROM edges a JOIN edges b ON a.dst = b.src), q AS (SELECT src, dst, max(edge) AS edge, min(hops) AS hops FROM p GROUP BY 1, 2)
+@query("sg4_graph_propagation_whole", f"""{with_(EDGES)}, {_SIG}, p AS (SELECT src, dst, weight AS edge, 1 AS hops FROM edges UNION ALL SELECT a.src, b.dst, (a.weight + b.weight) / 2, 2 FROM edges a JOIN edges b ON a.dst = b.src), q AS (SELECT src, dst, edge, hops FROM p QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY round(edge - 0.1 * (hops - 1), 9) DESC, hops, edge DESC) = 1)
     SELECT signal_id, dst AS target, hops, round((0.3 * source_confidence + 0.3 * strength / 100 + 0.4 * edge - 0.04 * (hops - 1)) * 1.000000000001, 3) AS confidence FROM sig JOIN q ON sig.subject = q.src WHERE kind IN ('purchase', 'error')""")
 def propagation_whole(spark, sf):
     out = s.graph_propagation(_signals(spark, sf).filter("kind in ('purchase', 'error')"), t.edges(spark, sf))
