@@ -80,7 +80,7 @@ EDGES = """
         UNION ALL
         SELECT 'P:' || l_partkey, 'U:' || o_custkey, 'USED_BY', sum(l_quantity), min(l_shipdate::DATE), max(l_linestatus), count(*)
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2
-    ), edges AS (
+    ), edges AS MATERIALIZED (
         SELECT src, dst, rel, round(least(1.0, qty / 100), 4) AS weight, valid_from, CASE WHEN status = 'F' THEN 'Fact' ELSE 'Estimate' END AS stmt_type, n FROM edges0
     )
 """
