@@ -100,6 +100,57 @@ def test_vote_against_brute_force():
         assert math.isclose(score, sum(v for v, (_, k) in zip(w, near, strict=True) if y[k]) / sum(w), abs_tol=1e-6)
 
 
+def table(name):
+    import duckdb
+
+    return duckdb.sql(f"select * from '{SF.format('0.001')}/{name}.parquet'").fetchall()
+
+
+def test_weights_by_hand(spark):
+    """What Spark learns from the smallest tables against plain counting."""
+    toxic = {d: t for d, _, t in table("labels") if t is not None}
+    rows = {(t or "", toxic[d]) for d, t, *_ in table("documents") if d in toxic and zlib.crc32(str(d).encode()) % 4 != 2}
+    counts = {0: {}, 1: {}}
+    docs = {}
+    for t, y in rows:
+        found = {}
+        for w in toxicity.WORD.findall(t.lower()):
+            for f in [w + "$"] + [w[:k] for k in toxicity.STEMS if len(w) > k]:
+                found[f] = min(found.get(f, 0) + 1, toxicity.A_TEXT)
+        for f, n in found.items():
+            counts[y][f] = counts[y].get(f, 0) + n
+            docs[f] = docs.get(f, 0) + y
+    ratio = max(1, sum(y for _, y in rows)) / max(1, sum(1 - y for _, y in rows))
+    want = {}
+    for f, n in counts[1].items():
+        share = n / (n + ratio * counts[0].get(f, 0) + toxicity.SHRINK)
+        if docs[f] >= toxicity.SUPPORT and n >= toxicity.OCCURRENCES and share >= toxicity.LEAST:
+            want[f] = share**toxicity.SHARE_POWER
+    for w in toxicity.INSULTS:
+        n, c = counts[1].get(w + "$", 0), counts[0].get(w + "$", 0)
+        want[w + "$"] = max(want.get(w + "$", 0), ((n + toxicity.OWN_SEEN * toxicity.OWN) / (n + ratio * c + toxicity.OWN_SEEN)) ** toxicity.SHARE_POWER)
+    at = SF.format("0.001")
+    docs_table, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
+    got = toxicity.learn(docs_table, labels).weights
+    assert got.keys() == want.keys() and all(math.isclose(got[f], want[f], rel_tol=1e-9) for f in want)
+    g = Grammar(want)
+    scores = {r.doc_id: r.score for r in toxicity_scores(docs_table, labels).collect()}
+    assert all(math.isclose(scores[d], g.score(t), abs_tol=1e-12) for d, t, *_ in table("documents"))
+
+
+def test_quality_scores_by_hand(spark):
+    """The whole query on the smallest tables against a space built here, row by row."""
+    known = {d: q for d, q, _ in table("labels") if q is not None and zlib.crc32(str(d).encode()) % 5}
+    sample = [(quality.features(t).astype("<f4"), known[d]) for d, t, *_ in table("documents") if d in known]
+    sample.sort(key=lambda r: (r[0].tobytes(), r[1]))
+    space = quality.Space(np.array([v for v, _ in sample], dtype=np.float64), np.array([y for _, y in sample]))
+    at = SF.format("0.001")
+    got = {r.doc_id: r for r in quality.quality_scores(spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")).collect()}
+    for d, t, *_ in table("documents"):
+        score = space.vote(np.array([quality.features(t)]))[0]
+        assert math.isclose(got[d].score, score, abs_tol=1e-9) and got[d].held_out == (zlib.crc32(str(d).encode()) % 5 == 0) and got[d].predicted == (score >= 0.3)
+
+
 def test_without_labels_and_odd_rows(spark):
     docs = spark.createDataFrame([(1, "you are a moron", None, None), (2, None, None, None), (None, "", None, None), (3, "fine " * 50000, None, None), (3, "fine", None, None)], DOCS)
     none = spark.createDataFrame([], LABELS)

@@ -61,6 +61,12 @@ def test_word_ids_equal_the_library():
         assert [int.from_bytes(got[i : i + 4], "little") for i in range(0, len(got), 4)] == tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_very_long_texts(spark):
+    """A text of many sequences, and a word longer than what a worker remembers."""
+    rows = [(1, "word " * 30_000, None, None), (2, "x" * 9_000 + " tail", None, None), (3, "short", None, None)]
+    check(rows, best_fit_packing(spark.createDataFrame(rows, SCHEMA), PATH).collect(), 2048)
+
+
 def test_empty(spark):
     assert best_fit_packing(spark.createDataFrame([], SCHEMA), PATH).count() == 0
 

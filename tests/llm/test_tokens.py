@@ -87,3 +87,20 @@ def test_counts_equal_the_library(spark):
 
 def test_registered_queries_read_the_tables(spark):
     assert q.op10_token_counts(spark, "/root/testdata/sf0.001").count() == 200
+
+
+CLASH = "doc_id long, text string, n_tokens string, ids_sha256 string, n_bytes string, over_limit string"
+ROWS = [(1, "one two", "x", "x", "x", "x"), (1, "one two", "x", "x", "x", "x"), (None, "null id", "x", "x", "x", "x"), (2, None, "x", "x", "x", "x"), (3, "a long word: " + "z" * 20_000 + " and " + "tail " * 3_000, "x", "x", "x", "x")]
+
+
+def test_clashing_columns_repeats_nulls_and_long_texts(spark):
+    """Columns named like results aren't read; every row has one result of its own."""
+    enc, docs = reference(), spark.createDataFrame(ROWS, CLASH)
+    got = sorted(((r.doc_id, r.n_tokens) for r in bpe_round_trip(docs, RANKS, P.PATTERN).collect()), key=str)
+    assert got == sorted(((r[0], len(enc.encode_ordinary(r[1] or ""))) for r in ROWS), key=str)
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    want = sorted(((r[0], len((r[1] or "").encode()), len(tok.encode(r[1] or "", add_special_tokens=False).ids)) for r in ROWS), key=str)
+    counts = token_counts(docs, P.path("byte_bpe_50k.json")).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_tokens) for r in counts), key=str) == want and all(r.over_limit == (r.n_tokens > 512) for r in counts)
