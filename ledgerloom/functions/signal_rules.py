@@ -71,3 +71,39 @@ def subject_name(kind: Column, title: Column, sentence: Column) -> Column:
     for k, theme in THEMES.items():
         out = out.when(kind == k, theme)
     return out.otherwise(F.substring(F.coalesce(F.nullif(title, F.lit("")), sentence), 1, 24))
+
+
+# The older six kinds of signal and their keywords; words of sentiment, and of strength.
+OLDER_SIGNALS = {
+    "product_expansion": ("扩产", "新增产能", "新建", "投产", "量产", "产品线扩张", "新工厂", "产业园", "项目开工", "产能释放", "产能爬坡"),
+    "supply_chain": ("供应商", "原材料", "采购", "供应链", "战略合作", "上下游", "产业链整合", "独家供应", "供应商准入"),
+    "policy_impact": ("政策", "监管", "补贴", "税收优惠", "行业规划", "双碳", "碳中和", "碳达峰", "专精特新", "国产替代", "进口替代"),
+    "management_change": ("董事长", "总经理", "高管", "换届", "离职", "任命", "管理层", "核心技术人员", "首席", "cto", "ceo"),
+    "financial_highlight": ("营收增长", "净利润", "毛利率", "订单", "合同", "回款", "现金流", "业绩预增", "扭亏", "大幅增长", "超预期", "符合预期", "不及预期", "低于预期"),
+    "risk_warning": ("风险", "诉讼", "处罚", "商誉减值", "存货减值", "应收账款", "债务", "资金紧张", "停产", "召回"),
+}
+POSITIVE = ("增长", "突破", "创新", "领先", "扩张", "提升", "大增", "超预期", "大幅", "显著", "明显", "持续", "战略", "重大", "强劲", "开门红")
+NEGATIVE = ("下降", "亏损", "减少", "下滑", "不及预期", "低于预期", "风险", "诉讼", "处罚", "停产", "召回", "商誉减值", "大幅下跌")
+STRONG_WORDS, WEAK_WORDS = ("大幅", "显著", "明显", "持续", "战略", "重大", "强劲", "首次"), ("略有", "小幅", "轻微", "尝试", "试产", "小批量")
+SHORTEST_SENTENCE, CONTENT, SAME = 6, 200, 50
+
+
+def held(text: Column, words: tuple[str, ...]) -> Column:
+    """How many of the words a text holds."""
+    return sum((F.contains(text, F.lit(w)).cast("int") for w in words), F.lit(0))
+
+
+def gap(sentence: Column) -> Column:
+    """positive, negative or neutral, by the words of sentiment that it holds."""
+    p, n = held(sentence, POSITIVE), held(sentence, NEGATIVE)
+    return F.when(p > n, "positive").when(n > p, "negative").otherwise("neutral")
+
+
+def strength_label(sentence: Column) -> Column:
+    return F.when(held(sentence, STRONG_WORDS) > 0, "strong").when(held(sentence, WEAK_WORDS) > 0, "weak").otherwise("medium")
+
+
+def sentiment(text: Column) -> Column:
+    """-1 to 1: positive less negative words over both, to three decimals; 0 without any."""
+    p, n = held(text, POSITIVE), held(text, NEGATIVE)
+    return F.when(p + n == 0, 0.0).otherwise(F.round((p - n) / (p + n), 3))

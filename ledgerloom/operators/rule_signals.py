@@ -70,3 +70,18 @@ def path_propagation(signals: DataFrame, paths: DataFrame) -> DataFrame:
 def without_path(signals: DataFrame, paths: DataFrame) -> DataFrame:
     """Signals of subjects that no path leaves; templates speak for them."""
     return signals.join(paths.select("subject").distinct(), "subject", "left_anti")
+
+
+def older_signals(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, kind, content, gap, strength): for each keyword of the older kinds the first sentence that holds it, once a kind.
+
+    Sentences end at 。；！？，, and line feeds and have six characters or more; contents that begin alike are one.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    parts = F.filter(F.transform(F.split(text, "[。；！？\n,，]"), F.trim), lambda s: F.length(s) >= r.SHORTEST_SENTENCE)
+    rows = texts.select(id_col, F.explode(F.array(parts)).alias("parts"))
+    words = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(k).alias("k"), F.lit(w).alias("word")) for kind, ws in r.OLDER_SIGNALS.items() for k, w in enumerate(ws)])
+    hit = rows.select(id_col, F.explode(F.filter(F.transform(words, lambda x: F.struct(x["kind"].alias("kind"), x["k"].alias("k"), F.get(F.filter("parts", lambda s: F.contains(s, x["word"])), F.lit(0)).alias("sentence"))), lambda x: x["sentence"].isNotNull())).alias("x"))
+    hit = hit.select(id_col, "x.kind", "x.k", F.substring("x.sentence", 1, r.CONTENT).alias("content"), r.gap(F.col("x.sentence")).alias("gap"), r.strength_label(F.col("x.sentence")).alias("strength"))
+    first = hit.groupBy(id_col, "kind", F.substring("content", 1, r.SAME).alias("_same")).agg(F.min_by(F.struct("content", "gap", "strength"), "k").alias("x"))
+    return first.select(id_col, "kind", "x.content", "x.gap", "x.strength")

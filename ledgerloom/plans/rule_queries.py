@@ -133,3 +133,35 @@ def path_signals(spark, sf):
     paths = g.path_details(g.paths_to_two(edges, None, 20, starts=edges.filter("src like 'C:%'")), edges)
     out = op.path_propagation(signals, paths)
     return out.withColumn("confidence", F.round(F.col("confidence") * 1.000000000001, 3))
+
+
+_OLDER = ", ".join(f"('{kind}', {k}, '{w}')" for kind, words in r.OLDER_SIGNALS.items() for k, w in enumerate(words))
+
+
+def _held(text: str, words) -> str:
+    return "(" + " + ".join(f"contains({text}, '{w}')::INTEGER" for w in words) + ")"
+
+
+OLDER_WORDS = tuple(dict.fromkeys([w for words in r.OLDER_SIGNALS.values() for w in words] + list(r.POSITIVE) + list(r.NEGATIVE) + list(r.WEAK_WORDS)))
+_SAID = f"({_list(OLDER_WORDS)})[(length(line) * 5 + i * 3) % {len(OLDER_WORDS)} + 1] || '涉及' || ({_list(OLDER_WORDS)})[(length(line) + i * 11) % {len(OLDER_WORDS)} + 1]"
+REMARKS = f"""remarks AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN string_agg({_SAID}, '，' ORDER BY i) ELSE string_agg({_SAID}, '。' ORDER BY i) END AS text
+    FROM (SELECT doc_id, unnest(string_split(body, chr(10))) AS line, unnest(range(len(string_split(body, chr(10))))) AS i FROM announcements) GROUP BY doc_id)"""
+
+
+def remarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.array(*[F.lit(w) for w in OLDER_WORDS])
+    said = F.transform(F.split("body", "\n"), lambda line, i: F.concat(F.get(words, (F.length(line) * 5 + i * 3) % len(OLDER_WORDS)), F.lit("涉及"), F.get(words, (F.length(line) + i * 11) % len(OLDER_WORDS))))
+    return t.announcements(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.array_join(said, "，")).otherwise(F.array_join(said, "。")).alias("text"))
+
+
+@query("tx12_older_signals", f"""{with_(ANNOUNCEMENTS, REMARKS)}, w AS (SELECT * FROM (VALUES {_OLDER}) v(kind, k, word)), p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[。；！？\n,，]'), lambda s: trim(s)), lambda s: length(s) >= 6) AS parts FROM remarks),
+    h AS (SELECT doc_id, kind, k, list_filter(parts, lambda s: contains(s, word))[1] AS sentence FROM p, w), f AS (SELECT doc_id, kind, arg_min(sentence, k) AS sentence FROM h WHERE sentence IS NOT NULL GROUP BY doc_id, kind, substr(sentence, 1, 50))
+    SELECT doc_id, kind, substr(sentence, 1, 200) AS content, CASE WHEN {_held('sentence', r.POSITIVE)} > {_held('sentence', r.NEGATIVE)} THEN 'positive' WHEN {_held('sentence', r.NEGATIVE)} > {_held('sentence', r.POSITIVE)} THEN 'negative' ELSE 'neutral' END AS gap,
+        CASE WHEN {_held('sentence', r.STRONG_WORDS)} > 0 THEN 'strong' WHEN {_held('sentence', r.WEAK_WORDS)} > 0 THEN 'weak' ELSE 'medium' END AS strength FROM f""")
+def older_signals(spark, sf):
+    return op.older_signals(remarks(spark, sf))
+
+
+@query("tx12_all_sentiment", f"""{with_(ANNOUNCEMENTS, REMARKS)}, c AS (SELECT doc_id, {_held('text', r.POSITIVE)} AS p, {_held('text', r.NEGATIVE)} AS n FROM remarks) SELECT doc_id, CASE WHEN p + n = 0 THEN 0.0 ELSE round((p - n)::DOUBLE / (p + n), 3) END::DOUBLE AS sentiment FROM c""")
+def all_sentiment(spark, sf):
+    return remarks(spark, sf).select("doc_id", r.sentiment(F.col("text")).alias("sentiment"))
