@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import signal_rules as r
-from ledgerloom.operators.graph import cut
+from ledgerloom.operators.graph import connected, cut
 
 # What a checked signal may have, and the phrases of a disclaimer.
 POLARITIES, SUBJECT_TYPES, LEAST_STRENGTH = ("positive", "negative", "risk"), ("company", "product", "sector", "policy"), 20
@@ -140,3 +140,53 @@ def point_text(collection: str, cut_at: int = 7000) -> Column:
     if collection == "chunks":
         return F.concat_ws("\n", F.nullif("heading", F.lit("")), "content")
     return F.substring("content", 1, cut_at)
+
+
+def statement_conflicts(statements: DataFrame, newest: int = 20) -> DataFrame:
+    """(src, dst, rel, source, valid_from, other_source, kind): for each statement of a pair the newest other one that it contradicts.
+
+    ``statements`` also has polarity: positive against negative is a polarity_conflict, and one that says both is a
+    mixed_content_conflict with another source's.  Neutral ones contradict nothing, nor does a statement itself; only a
+    pair's ``newest`` statements are looked back at.
+    """
+    pair = ["src", "dst", "rel"]
+    recent = Window.partitionBy(*pair).orderBy(F.desc("valid_from"), F.desc("source"))
+    back = statements.withColumn("place", F.row_number().over(recent)).filter(F.col("place") <= newest)
+    back = back.select(*pair, F.col("source").alias("other_source"), F.col("valid_from").alias("other_from"), F.col("polarity").alias("other"), "place")
+    both = statements.filter("polarity <> 'neutral'").join(back.filter("other <> 'neutral'"), pair).filter("not (valid_from = other_from and source = other_source)")
+    opposed = (F.col("polarity") == "positive") & (F.col("other") == "negative") | (F.col("polarity") == "negative") & (F.col("other") == "positive")
+    mixed = ((F.col("polarity") == "conflict") | (F.col("other") == "conflict")) & (F.col("source") != F.col("other_source"))
+    both = both.withColumn("kind", F.when(opposed, "polarity_conflict").when(mixed, "mixed_content_conflict")).filter("kind is not null")
+    return both.groupBy(*pair, "source", "valid_from").agg(F.min_by(F.struct("other_source", "kind"), "place").alias("x")).select(*pair, "source", "valid_from", "x.other_source", "x.kind")
+
+
+def applied_merges(edges: DataFrame, pairs: DataFrame, listed: str, ranks: dict[str, int]) -> DataFrame:
+    """Edges (src, dst, rel, weight, texts, stmt_type, valid_from) after confirmed merges (a, b) of nodes.
+
+    Of a class of merged nodes the smallest id that begins with ``listed`` stays, else the smallest.  Both ends move to
+    it; edges between merged nodes go; edges that fall together keep the greatest weight, all texts once, the strongest
+    statement type and the earliest begin.
+    """
+    classes = connected(pairs)
+    best = classes.groupBy("root").agg(F.min(F.struct((~F.col("id").startswith(listed)).alias("unlisted"), "id")).alias("k")).select("root", F.col("k.id").alias("kept"))
+    best = cut(classes.join(best, "root").select("id", "kept"))
+    moved = edges
+    for end in ("src", "dst"):
+        moved = moved.join(best.select(F.col("id").alias(end), F.col("kept").alias("_kept")), end, "left").withColumn(end, F.coalesce("_kept", end)).drop("_kept")
+    strongest = F.max_by("stmt_type", F.coalesce(*[F.when(F.col("stmt_type") == k, F.lit(v)) for k, v in ranks.items()], F.lit(0)))
+    out = moved.filter("src <> dst").groupBy("src", "dst", "rel").agg(F.max("weight").alias("weight"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("texts")))).alias("texts"), strongest.alias("stmt_type"), F.min("valid_from").alias("valid_from"))
+    return out.select("src", "dst", "rel", "weight", "texts", "stmt_type", "valid_from")
+
+
+def product_profiles(edges: DataFrame, companies: int = 30, others: int = 20) -> DataFrame:
+    """(product, companies, related): each product's heaviest suppliers and heaviest other neighbours, in that order.
+
+    The numbers of both are the operator's parameters; lists of bounded size are what a summary is written from.
+    """
+    e = edges.select("src", "dst", "weight")
+    near = e.filter("dst like 'P:%'").select(F.col("dst").alias("product"), F.col("src").alias("id"), "weight").unionByName(e.filter("src like 'P:%'").select(F.col("src").alias("product"), F.col("dst").alias("id"), "weight"))
+    near = near.groupBy("product", "id").agg(F.max("weight").alias("weight")).withColumn("company", F.col("id").startswith("C:"))
+    place = F.row_number().over(Window.partitionBy("product", "company").orderBy(F.desc("weight"), "id"))
+    near = near.withColumn("place", place).filter(F.col("place") <= F.when(F.col("company"), companies).otherwise(others))
+    names = lambda wanted: F.transform(F.array_sort(F.collect_list(F.when(wanted, F.struct("place", "id")))), lambda x: x["id"])
+    return near.groupBy("product").agg(names(F.col("company")).alias("companies"), names(~F.col("company")).alias("related"))

@@ -180,3 +180,43 @@ def point_texts(spark, sf):
     }
     out = [df.select(F.lit(name).alias("collection"), "point", op.point_text(name).alias("text")) for name, df in rows.items()]
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+_STATEMENTS = """statements AS (SELECT 'C:' || l_suppkey AS src, 'P:' || (l_partkey % 20) AS dst, CASE WHEN l_linenumber % 2 = 0 THEN 'SUPPLIES' ELSE 'USES' END AS rel, 'S' || l_orderkey || '-' || l_linenumber AS source, l_shipdate::DATE AS valid_from,
+    (['positive', 'negative', 'conflict', 'neutral', 'neutral'])[l_orderkey % 5 + 1] AS polarity FROM lineitem)"""
+
+
+@query("kg4_statement_conflicts", f"""WITH {_STATEMENTS}, b AS (SELECT * FROM statements QUALIFY row_number() OVER (PARTITION BY src, dst, rel ORDER BY valid_from DESC, source DESC) <= 20),
+    x AS (SELECT a.src, a.dst, a.rel, a.source, a.valid_from, b.source AS other_source, b.valid_from AS f, CASE WHEN (a.polarity = 'positive' AND b.polarity = 'negative') OR (a.polarity = 'negative' AND b.polarity = 'positive') THEN 'polarity_conflict' WHEN (a.polarity = 'conflict' OR b.polarity = 'conflict') AND a.source <> b.source THEN 'mixed_content_conflict' END AS kind
+        FROM statements a JOIN b USING (src, dst, rel) WHERE a.polarity <> 'neutral' AND b.polarity <> 'neutral' AND NOT (a.valid_from = b.valid_from AND a.source = b.source))
+    SELECT src, dst, rel, source, valid_from, other_source, kind FROM x WHERE kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY src, dst, rel, source, valid_from ORDER BY f DESC, other_source DESC) = 1""")
+def statement_conflicts(spark, sf):
+    """Contradictions against each pair's 20 newest statements; how many is the operator's parameter."""
+    k = F.col("l_orderkey") % 5
+    s = t.table(spark, sf, "lineitem").select(
+        F.concat(F.lit("C:"), "l_suppkey").alias("src"), F.concat(F.lit("P:"), F.col("l_partkey") % 20).alias("dst"), F.when(F.col("l_linenumber") % 2 == 0, "SUPPLIES").otherwise("USES").alias("rel"), F.concat(F.lit("S"), "l_orderkey", F.lit("-"), "l_linenumber").alias("source"),
+        F.to_date("l_shipdate").alias("valid_from"), F.when(k == 0, "positive").when(k == 1, "negative").when(k == 2, "conflict").otherwise("neutral").alias("polarity"),
+    )
+    return op.statement_conflicts(s)
+
+
+@query("kg7_applied_merges", f"""{with_(EDGES)}, e AS (SELECT CASE WHEN src LIKE 'C:%' AND substr(src, 3)::BIGINT % 2 = 1 THEN 'CO:' || substr(src, 3) ELSE src END AS src, dst, rel, weight, ['t' || (n % 3)] AS texts, stmt_type, valid_from FROM edges),
+    m AS (SELECT 'CO:' || s_suppkey AS id, CASE WHEN s_suppkey % 6 = 1 THEN 'C:' || (s_suppkey + 1) ELSE 'CO:' || s_suppkey END AS kept FROM supplier WHERE s_suppkey % 6 IN (1, 3) UNION ALL SELECT 'CO:' || (s_suppkey + 2), 'CO:' || least(s_suppkey::VARCHAR, (s_suppkey + 2)::VARCHAR) FROM supplier WHERE s_suppkey % 6 = 3
+        UNION ALL SELECT 'CO:' || s_suppkey, 'CO:' || least(s_suppkey::VARCHAR, (s_suppkey + 2)::VARCHAR) FROM supplier WHERE s_suppkey % 6 = 3),
+    k AS (SELECT id, min(kept) AS kept FROM m GROUP BY id), x AS (SELECT coalesce(a.kept, src) AS src, coalesce(b.kept, dst) AS dst, rel, weight, texts, stmt_type, valid_from FROM e LEFT JOIN k a ON src = a.id LEFT JOIN k b ON dst = b.id)
+    SELECT src, dst, rel, max(weight) AS weight, list_sort(list_distinct(flatten(list(texts)))) AS texts, arg_max(stmt_type, CASE stmt_type WHEN 'Fact' THEN 3 WHEN 'Claim' THEN 2 ELSE 1 END) AS stmt_type, min(valid_from) AS valid_from FROM x WHERE src <> dst GROUP BY 1, 2, 3""")
+def applied_merges(spark, sf):
+    e = t.edges(spark, sf)
+    odd = F.col("src").startswith("C:") & (F.substring("src", 3, 20).try_cast("long") % 2 == 1)
+    e = e.select(F.when(odd, F.concat(F.lit("CO:"), F.substring("src", 3, 20))).otherwise(F.col("src")).alias("src"), "dst", "rel", "weight", F.array(F.concat(F.lit("t"), F.col("n") % 3)).alias("texts"), "stmt_type", "valid_from")
+    k = F.col("s_suppkey")
+    merge = F.when(k % 6 == 1, F.concat(F.lit("C:"), k + 1)).when(k % 6 == 3, F.concat(F.lit("CO:"), k + 2))
+    pairs = t.table(spark, sf, "supplier").select(F.concat(F.lit("CO:"), "s_suppkey").alias("a"), merge.alias("b")).filter("b is not null")
+    return op.applied_merges(e, pairs, "C:", g.RANKS)
+
+
+@query("kg17_product_profiles", f"""{with_(EDGES)}, n AS (SELECT product, id, max(weight) AS weight FROM (SELECT dst AS product, src AS id, weight FROM edges WHERE dst LIKE 'P:%' UNION ALL SELECT src, dst, weight FROM edges WHERE src LIKE 'P:%') GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY product, id LIKE 'C:%' ORDER BY weight DESC, id) AS place FROM n)
+    SELECT product, coalesce(list(id ORDER BY place) FILTER (id LIKE 'C:%' AND place <= 30), []) AS companies, coalesce(list(id ORDER BY place) FILTER (id NOT LIKE 'C:%' AND place <= 20), []) AS related FROM r GROUP BY product""")
+def product_profiles(spark, sf):
+    return op.product_profiles(t.edges(spark, sf))
