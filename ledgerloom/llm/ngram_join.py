@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import Scratch, bitmaps, components, in_bitmaps, ship_package, worker_state
 
 #: Fine groups of which the frequency is counted: 2**FINE, in segments of SEGMENT.
-FINE, SEGMENT = 24, 1 << 18
+FINE, SEGMENT = 22, 1 << 16
 #: Sets at one coordinate up to which every two are looked at; more are chained by size.
 SMALL = 64
 ENOUGH = 1 << 31
@@ -398,7 +398,7 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 75, id_co
         return in_bitmaps(keyed, F.xxhash64("doc_id"), bits, "wanted").filter("wanted").select("doc_id", "text")
 
     level = pass1.filter("segment >= 0").select("segment", "counts").groupBy("segment").applyInPandas(_sum_counts, "segment int, level binary")
-    table = np.zeros(1 << FINE, dtype=np.uint8)  # fixed size: 16 MB
+    table = np.zeros(1 << FINE, dtype=np.uint8)  # fixed size: 4 MB
     for r in level.collect():
         table[r.segment * SEGMENT : (r.segment + 1) * SEGMENT] = np.frombuffer(r.level, dtype=np.uint8)
     levels = spark.sparkContext.broadcast(zlib.compress(table.tobytes()))
