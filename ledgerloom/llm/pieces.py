@@ -18,7 +18,7 @@ from pyspark.sql import SparkSession
 #: Characters of texts that a worker cuts at a time.
 RUN = 1 << 20
 #: Entries after which a worker's cache starts anew, and the longest piece that it remembers, so its bytes are bounded.
-CACHE_ENTRIES, CACHE_LENGTH = 150_000, 64
+CACHE_ENTRIES, CACHE_LENGTH = 400_000, 64
 
 
 class Unsafe(KeyError):
