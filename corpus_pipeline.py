@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import Scratch
+from ledgerloom.llm.common import Scratch, bitmaps, in_bitmaps
 from ledgerloom.llm.line_dedup import line_run_dedup
 from ledgerloom.llm.ngram_join import ngram_jaccard_join
 from ledgerloom.llm.packing import best_fit_packing
@@ -17,6 +17,7 @@ from ledgerloom.llm.quality import quality_scores
 from ledgerloom.llm.queries import tokenizer_file
 from ledgerloom.llm.toxicity import toxicity_scores
 
+#: What a stage hands on: the columns of documents; others are not read.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -41,11 +42,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones stays: the one with the smallest id."""
+    """One document of each group of linked ones stays: the one with the smallest id.
+
+    Rows without an id stay.  Rows that repeat an id stay or go together: they stay if one of them is its group's.
+    """
     scratch = Scratch(spark, "near-dedup")
-    linked = ngram_jaccard_join(docs).filter("component_id is null or doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    linked = scratch.cut(linked, "kept")
-    return docs.select(*COLUMNS).join(linked, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*COLUMNS)
+    gone = ngram_jaccard_join(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("kept"))
+    gone = scratch.cut(gone.filter("not kept").select("doc_id"), "gone")
+    # a bitmap of the ids that go lets nearly all other texts stay where they are
+    bits = scratch.cut(bitmaps(gone, F.xxhash64("doc_id")), "bits")
+    marked = in_bitmaps(docs.select(*COLUMNS), F.xxhash64("doc_id"), bits, "_may_go")
+    rest = marked.filter("_may_go").join(gone, "doc_id", "left_anti")
+    return marked.filter("not _may_go").unionByName(rest).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -77,3 +77,29 @@ def test_stages(spark):
 
     packed = stage["packing"](spark, near, SF).collect()
     assert {r.doc_id for r in packed} == {r.doc_id for r in near.collect()} and max(r.offset + r.length for r in packed) <= 2048
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, _may_go string"
+
+
+def test_stages_with_odd_rows(spark):
+    """Nulls in any column, empty and long texts, repeated rows and ids, and columns that aren't the documents' own."""
+    near = " ".join(f"w{i}" for i in range(60))
+    long = "\n".join(" ".join(f"l{i}x{k}" for k in range(12)) for i in range(3000))
+    rows = [(None, None, None, None, None, "s", "x"), (None, near, "en", None, 1, "s", "x"), (1, "", "en", "a", 0, "s", "x"), (2, None, None, "a", None, "s", "x"), (3, near, "en", "a", 1, "s", "x"), (3, near, "en", "a", 1, "s", "x"), (4, near + " end", "en", "a", 1, "s", "x"), (5, long, "en", "b", 1, "s", "x"), (6, "you idiot. you moron and you scum", "en", "b", 1, "s", "x")]
+    docs, stage = spark.createDataFrame(rows, SCHEMA), dict(cp.STAGES)
+    own = lambda df: sorted((r.doc_id is not None, r.doc_id or 0, len(r.text or "")) for r in df.collect())
+    everything = own(docs)
+    calm = stage["toxicity"](spark, docs, SF)
+    assert own(calm) == [x for x in everything if x[1] != 6] and calm.columns == list(cp.COLUMNS)
+    good = stage["quality"](spark, docs, SF)
+    assert set(own(good)) <= set(everything) and good.columns == list(cp.COLUMNS)
+    lines = stage["line_dedup"](spark, docs, SF)
+    # the text of the row without an id comes first, so its copies go; rows that repeat id and text go together
+    assert own(lines) == [x for x in everything if x[1] != 3]
+    kept = stage["near_dedup"](spark, docs, SF)
+    assert own(kept) == [x for x in everything if x[1] != 4] and kept.columns == list(cp.COLUMNS)
+    packed = stage["packing"](spark, docs, SF).collect()
+    assert sum(r.piece == 0 for r in packed) == len(rows) and max(r.offset + r.length for r in packed) <= 2048
+    empty = docs.limit(0)
+    assert [stage[name](spark, empty, SF).count() for name in stage] == [0] * 5
