@@ -40,7 +40,7 @@ ENOUGH = 1 << 31
 #: Coordinates of a point, sets and shingles in a leaf on average at most, and points in a node.
 DIMS, LEAF_SETS, LEAF_SHINGLES, NODE = 128, 384, 400_000, 16
 #: Words that a worker remembers the hashes of, and the longest of them.
-WORD_CACHE, WORD_LENGTH = 150_000, 64
+WORD_CACHE, WORD_LENGTH = 60_000, 64
 
 
 class _Hashes(dict):

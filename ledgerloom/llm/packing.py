@@ -24,7 +24,7 @@ from ledgerloom.llm.common import Scratch, ship_package, worker_state
 from ledgerloom.llm.pieces import CACHE_LENGTH, hf_tokenizer, ship_file, small_runs
 
 #: Pieces of a group on average, words after which a worker's cache starts anew, and the end-of-text id.
-GROUP, CACHE_ENTRIES, END = 40_000, 150_000, 0
+GROUP, CACHE_ENTRIES, END = 40_000, 60_000, 0
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 

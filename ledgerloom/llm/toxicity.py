@@ -53,7 +53,7 @@ STEMS, SUPPORT, OCCURRENCES, A_TEXT, LEAST, SHRINK = (4, 5, 6, 7, 8), 3, 5, 4, 0
 #: add up to is put to the power at which 0.7 becomes 0.3, the usual threshold.
 SHARE_POWER, SCORE_POWER = 3, math.log(0.3) / math.log(0.7)
 #: Labelled rows to learn from, and learned entries, at most; words that a worker remembers, and the longest of them.
-TRAINING_ROWS, ENTRIES, WORDS, WORD_LENGTH = 20_000, 20_000, 150_000, 64
+TRAINING_ROWS, ENTRIES, WORDS, WORD_LENGTH = 20_000, 20_000, 60_000, 64
 #: Occurrences of the grammar's own insults before any label is seen, and their share.
 OWN_SEEN, OWN = 4.0, 0.97
 
