@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import Scratch, ship_package, worker_state
 from ledgerloom.llm.pieces import CACHE_LENGTH, hf_tokenizer, ship_file, small_runs
 
-#: Pieces of a group on average, words after which a worker's cache starts anew, and the end-of-text id.
-GROUP, CACHE_ENTRIES, END = 40_000, 60_000, 0
+#: Pieces of a group on average, and the end-of-text id.
+GROUP, END = 40_000, 0
+#: Words as they stand, runs of letters (which cost most to encode) and runs of marks after which a worker's caches start anew.
+WORDS, LETTERS, MARKS = 60_000, 250_000, 60_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -74,11 +76,11 @@ class WordIds(dict):
         return found
 
     def bound(self) -> None:
-        if len(self) > CACHE_ENTRIES:
+        if len(self) > WORDS:
             self.clear()
-        if len(self.plain) > CACHE_ENTRIES:
+        if len(self.plain) > LETTERS:
             self.plain.clear()
-        if len(self.marks) > CACHE_ENTRIES:
+        if len(self.marks) > MARKS:
             self.marks = {"": b""}
 
 
