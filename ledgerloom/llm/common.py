@@ -58,11 +58,11 @@ class Scratch:
             base = "file://" + tempfile.mkdtemp(prefix="ledgerloom-scratch-")
         self.spark, self.base, self.paths = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}", {}
 
-    def cut(self, df: DataFrame, name: str) -> DataFrame:
+    def cut(self, df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
         path = f"{self.base}/{name}-{len(self.paths)}"
         self.paths[name] = [*self.paths.get(name, []), path]
         self.paths[path] = []
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
