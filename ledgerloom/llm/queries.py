@@ -11,6 +11,7 @@ from ledgerloom.llm.byte_bpe import bpe_round_trip
 from ledgerloom.llm.conversation import damaged, repair_conversations, repair_report
 from ledgerloom.llm.embed_dedup import embedding_near_dedup
 from ledgerloom.llm.exact_dedup import exact_dedup
+from ledgerloom.llm.html_extract import extract_main_text
 from ledgerloom.llm.line_dedup import line_run_dedup
 from ledgerloom.llm.ngram_join import ngram_jaccard_join
 from ledgerloom.llm.packing import best_fit_packing
@@ -85,6 +86,10 @@ def op11_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_report(repair_conversations(damaged(_table(spark, sf_dir, "conversations")), "is_row"))
 
@@ -101,6 +106,7 @@ _OPERATORS = (
     op9_exact_dedup,
     op10_token_counts,
     op11_importance_resample,
+    op12_html_extraction,
     op13_conversation_repair,
 )
 
@@ -239,4 +245,15 @@ ORACLE_SQL: dict[str, str] = {
                coalesce(illegal, 0)::BIGINT AS illegal, best.cost AS cost, best.audit AS audit, sha256(coalesce(t.text, '')) AS repaired_sha256
         FROM e LEFT JOIN g ON e.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN t ON e.conv_id IS NOT DISTINCT FROM t.conv_id
     """.replace("@CRC", _CRC),
+    # what the given pages, all of one build, hold between their article tags
+    "op12_html_extraction": r"""
+        WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)(</article>|$)', 1, 's') AS a FROM pages),
+        b AS (SELECT page_id, url, regexp_split_to_array(a, '</?(p|h1)>') AS blocks FROM a),
+        t AS (SELECT page_id, url, list_transform(blocks, lambda b: regexp_replace(replace(b, '<br>', ' '), '<[^>]*>', '', 'g')) AS blocks FROM b),
+        d AS (SELECT page_id, url, list_transform(blocks, lambda b: replace(replace(replace(replace(b, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&')) AS blocks FROM t),
+        w AS (SELECT page_id, url, list_transform(blocks, lambda b: trim(regexp_replace(b, '\s+', ' ', 'g'))) AS blocks FROM d)
+        SELECT page_id, url, coalesce(array_to_string(list_filter(blocks, lambda b: b <> ''), chr(10)), '') AS text,
+               length(coalesce(array_to_string(list_filter(blocks, lambda b: b <> ''), chr(10)), '')) AS n_chars
+        FROM w
+    """,
 }
