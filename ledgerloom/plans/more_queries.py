@@ -273,7 +273,7 @@ def seeded_ema(spark, sf):
     return series.select("code", F.round(F.aggregate(rest, seed, lambda e, x: e * (1 - 2 / 13) + x * (2 / 13)), 3).alias("ema"))
 
 
-@query("dc7_evidence_from_questions", f"""{with_(QUESTIONS)}, x AS (SELECT conv_id, string_agg('Q: ' || coalesce(question, '') || chr(10) || 'A: ' || coalesce(answer, ''), chr(10) || chr(10) ORDER BY turn) AS chunk FROM questions GROUP BY 1)
+@query("dc10_evidence_from_questions", f"""{with_(QUESTIONS)}, x AS (SELECT conv_id, string_agg('Q: ' || coalesce(question, '') || chr(10) || 'A: ' || coalesce(answer, ''), chr(10) || chr(10) ORDER BY turn) AS chunk FROM questions GROUP BY 1)
     SELECT 'EV:' || sha256(concat_ws(chr(10), 'qa', conv_id::VARCHAR, '0', sha256({STRIP.format('chunk')}))) AS evidence_id, conv_id AS doc_id FROM x""")
 def question_evidence(spark, sf):
     merged = d.merge_by_day(t.questions(spark, sf).withColumn("day", F.lit(0)), "conv_id", "day")
