@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -16,6 +15,7 @@ from ledgerloom.operators import upsert as u
 from ledgerloom.operators import vectors as v
 from ledgerloom.plans.bindings import ANNOUNCEMENTS, BARS, EDGES, QUESTIONS, RUNS, STOCKS, with_
 from ledgerloom.sources import tables as t
+from ledgerloom.sources.folders import shared_folder
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -289,7 +289,7 @@ def names(spark, sf):
 
 @query("snk6_exported_logs", "SELECT event_id, event_type, round(value, 6) AS value FROM events WHERE event_type = 'error'")
 def exported(spark, sf):
-    folder = f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/export-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "export")
     rows = t.table(spark, sf, "events").filter("event_type = 'error'").select("event_id", "event_type", F.round("value", 6).alias("value"))
     rows.write.option("header", True).csv(folder)
     return spark.read.schema(rows.schema).option("header", True).csv(folder)

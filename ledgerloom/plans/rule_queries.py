@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +12,7 @@ from ledgerloom.operators import graph as g
 from ledgerloom.operators import rule_signals as op
 from ledgerloom.plans.bindings import ANNOUNCEMENTS, EDGES, with_
 from ledgerloom.sources import tables as t
+from ledgerloom.sources.folders import shared_folder
 from ledgerloom.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,8 +88,7 @@ def back_fill(spark, sf):
 @query("sm2_signal_stream", f"{with_(ANNOUNCEMENTS, PAYLOADS, _found('payloads'))} SELECT DISTINCT {_COLUMNS} FROM signals")
 def signal_stream(spark, sf):
     """The same signals by micro-batches over files of payloads, each signal written once."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    folder = f"{base.rstrip('/')}/signals-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "signals")
     rows = payloads(spark, sf)
     rows.repartition(4).write.parquet(f"{folder}/in")
     sink = ingest.append_new(f"{folder}/out", ["signal_id"], ["source_id"])

@@ -2,26 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ledgerloom.sources import tables as t
+from ledgerloom.sources.folders import shared_folder
 from ledgerloom.streaming import ingest
 
 QUERIES, ORACLE_SQL = {}, {}
 
 
-def _folder(spark, name: str) -> str:
-    """A new folder in the session's shared folder, or beside the warehouse where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def sm1_news_stream(spark, sf):
     """Each title once, with its first event: a micro-batch stream into a table, then that table as it was written."""
     schema = t.table(spark, sf, "events").schema
-    folder = _folder(spark, "news")
+    folder = shared_folder(spark, "news")
     t.table(spark, sf, "events").write.parquet(f"{folder}/in")
     raw = spark.readStream.schema(schema).parquet(f"{folder}/in")
     titled = raw.select("event_id", F.concat("event_type", F.lit(":"), F.col("user_id") % 50).alias("title"), "ts")
