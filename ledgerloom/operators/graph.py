@@ -14,6 +14,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.folds import sorted_fold
+
 RANKS = {"Fact": 3, "Claim": 2, "Estimate": 1}
 
 
@@ -261,14 +263,23 @@ def entity_candidates(names: DataFrame, aliases: DataFrame | None = None) -> Dat
 
 def feedback(edges: DataFrame, votes: DataFrame) -> DataFrame:
     """Edge weights after votes (edge, seq, kind, value) in order: confirm +0.05, reject -0.15, correct sets the value,
-    which stays at 0.5 or more where the weight was 0.85 or more; always within 0..1."""
-    folded = votes.groupBy("edge").agg(F.array_sort(F.collect_list(F.struct("seq", "kind", "value"))).alias("v"))
-
-    def step(w: Column, x: Column) -> Column:
-        corrected = F.when(w >= 0.85, F.greatest(x["value"], F.lit(0.5))).otherwise(x["value"])
-        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(x["kind"] == "confirm", w + 0.05).when(x["kind"] == "reject", w - 0.15).otherwise(corrected)))
-
-    return edges.join(folded, "edge").select("edge", F.col("weight").alias("before"), F.round(F.aggregate("v", F.col("weight"), step), 4).alias("after"))
+    which stays at 0.5 or more where the weight was 0.85 or more; always within 0..1.  Edges without votes aren't here."""
+    first = edges.select("edge", F.lit(0).alias("turn"), F.lit(None).cast("long").alias("seq"), F.lit("").alias("kind"), F.col("weight").cast("double").alias("value"))
+    later = votes.select("edge", F.lit(1).alias("turn"), F.col("seq").cast("long"), "kind", F.col("value").cast("double"))
+
+    def step(state: tuple, x: dict) -> tuple:
+        before, w, n = state
+        if not x["turn"]:
+            return x["value"], x["value"], 0
+        if w is None:  # votes on an edge that isn't there
+            return state
+        corrected = max(x["value"], 0.5) if w >= 0.85 else x["value"]
+        w = w + 0.05 if x["kind"] == "confirm" else w - 0.15 if x["kind"] == "reject" else corrected
+        return before, max(0.0, min(1.0, w)), n + 1
+
+    kind = edges.schema["edge"].dataType.simpleString()
+    folded = sorted_fold(first.unionByName(later), "edge", ["turn", "seq", "kind", "value"], f"edge {kind}, before double, after double, votes long", lambda: (None, None, 0), step, lambda s: s)
+    return folded.filter("votes > 0").select("edge", "before", F.round("after", 4).alias("after"))
 
 
 def context_pack(results: DataFrame, key: str, budget: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.folds import sorted_fold
+
 
 def newest_and_success(runs: DataFrame) -> DataFrame:
     """Each task's newest run with the time of its last success, in one aggregation."""
@@ -25,17 +27,18 @@ def overall(states: DataFrame) -> DataFrame:
 
 
 def alerts(runs: DataFrame, streak: int = 3, rate: float = 0.5, drop: float = 0.8) -> DataFrame:
-    """(task, alert): failures in a row at the end, failure rate, and a drop of records against the success before."""
+    """(task, alert): failures in a row at the end, failure rate, and a drop of records against the success before.
+
+    Runs are summed by island (a success and the failures after it) before they are summed by task, so nothing is a list.
+    """
     order = Window.partitionBy("task").orderBy("started_at", "run_id")
     ok = Window.partitionBy("task", "status").orderBy("started_at", "run_id")
     marked = runs.withColumn("island", F.sum(F.when(F.col("status") != "failed", 1).otherwise(0)).over(order)).withColumn("before", F.when(F.col("status") == "success", F.lag("records").over(ok)))
-    per = marked.groupBy("task").agg(
-        F.max(F.struct("started_at", "run_id", "status", "records", "before", "island")).alias("x"), F.avg(F.when(F.col("status") == "failed", 1.0).otherwise(0.0)).alias("rate"), F.collect_list(F.when(F.col("status") == "failed", F.col("island"))).alias("islands")
-    )
-    tail = F.size(F.filter("islands", lambda i: i == F.col("x.island")))
+    islands = marked.groupBy("task", "island").agg(F.max(F.struct("started_at", "run_id", "status", "records", "before")).alias("x"), F.count_if(F.col("status") == "failed").alias("failed"), F.count(F.lit(1)).alias("n"))
+    per = islands.groupBy("task").agg(F.max(F.struct("island", "x", "failed")).alias("last"), (F.sum("failed") / F.sum("n")).alias("rate")).select("task", "rate", "last.x", F.col("last.failed").alias("tail"))
     found = F.array_compact(
         F.array(
-            F.when(tail >= streak, "consecutive_failures"),
+            F.when(F.col("tail") >= streak, "consecutive_failures"),
             F.when(F.col("rate") >= rate, "failure_rate"),
             F.when((F.col("x.status") == "success") & (F.col("x.before") > 0) & (F.col("x.records") < F.col("x.before") * (1 - drop)), "record_drop"),
         )
@@ -53,16 +56,17 @@ def backoff_minutes(error: Column, attempts: Column) -> Column:
 
 def fold_jobs(events: DataFrame, retries: int = 3) -> DataFrame:
     """Last state of each job (job, seq, event): a failure goes back to pending until ``retries``, then it is failed."""
-    folded = events.groupBy("job").agg(F.array_sort(F.collect_list(F.struct("seq", "event"))).alias("e"))
-    start = F.struct(F.lit("pending").alias("state"), F.lit(0).alias("fails"))
 
-    def step(acc: Column, x: Column) -> Column:
-        failed = x["event"] == "fail"
-        fails = acc["fails"] + F.when(failed, 1).otherwise(0)
-        state = F.when(acc["state"].isin("done", "failed"), acc["state"]).when(x["event"] == "done", "done").when(failed, F.when(fails >= retries, "failed").otherwise("pending")).otherwise("running")
-        return F.struct(state.alias("state"), F.when(acc["state"].isin("done", "failed"), acc["fails"]).otherwise(fails).alias("fails"))
+    def step(state: tuple, x: dict) -> tuple:
+        status, fails = state
+        if status in ("done", "failed"):
+            return state
+        if x["event"] == "fail":
+            return ("failed" if fails + 1 >= retries else "pending"), fails + 1
+        return ("done" if x["event"] == "done" else "running"), fails
 
-    return folded.select("job", F.aggregate("e", start, step).alias("s")).select("job", "s.state", "s.fails")
+    kind = events.schema["job"].dataType.simpleString()
+    return sorted_fold(events, "job", ["seq", "event"], f"job {kind}, state string, fails int", lambda: ("pending", 0), step, lambda s: s)
 
 
 def checkpoints(runs: DataFrame) -> DataFrame:

@@ -22,22 +22,44 @@ def token_likeness(a: Column, b: Column) -> Column:
     return F.coalesce(1 - F.levenshtein(key(a), key(b)) / F.greatest(F.length(key(a)), F.length(key(b)), F.lit(1)), F.lit(0.0))
 
 
+def holding(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """Rows of ``asked`` (..., low) joined with those of ``texts`` (..., text) that hold ``low``.
+
+    What holds a query holds each of its n-grams (n = 3, or its length if shorter), so both meet at the one that fewest
+    texts have: no pair is lost, and a beginning that all names share brings nothing together.
+    """
+    grammed = texts.select("*", F.explode(F.concat(*[grams(F.col("text"), n) for n in (1, 2, 3)])).alias("gram"))
+    counts = grammed.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    of = F.when(F.length("low") >= 3, grams(F.col("low"), 3)).otherwise(F.array("low"))
+    wanted = asked.select("low").distinct().select("low", F.explode(of).alias("gram")).join(counts, "gram", "left")
+    rarest = wanted.groupBy("low").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g")).filter("g.n > 0").select("low", "g.gram")
+    return asked.join(rarest, "low").join(grammed, "gram").filter(F.contains("text", F.col("low"))).drop("gram")
+
+
+def resolved(entities: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, id, score) of queries (query_id, query) that an entity (id, name) answers: its id 1.0, its name 0.9, a name that
+    holds the query 0.7; the best one, the smallest id on a tie.  Blank and null queries find nothing."""
+    asked = queries.filter(F.trim(F.coalesce("query", F.lit(""))) != "").select("query_id", F.col("query").alias("low"))
+    by_id = asked.join(entities.select("id", F.col("id").cast("string").alias("low")), "low").select("query_id", "id", F.lit(1.0).alias("score"))
+    by_name = asked.join(entities.select("id", F.col("name").alias("low")), "low").select("query_id", "id", F.lit(0.9).alias("score"))
+    within = holding(entities.select("id", F.col("name").alias("text")), asked).select("query_id", "id", F.lit(0.7).alias("score"))
+    found = by_id.unionByName(by_name).unionByName(within)
+    best = found.groupBy("query_id").agg(F.max("score").alias("score"))
+    return found.join(best, ["query_id", "score"]).groupBy("query_id", "score").agg(F.min("id").alias("id")).select("query_id", "id", "score")
+
+
 def entity_search(entities: DataFrame, queries: DataFrame, top: int) -> DataFrame:
     """(query_id, id, score, place): the ``top`` entities (id, code, name, aliases, rank) for each query (query_id, query).
 
     A query that is an id or a code finds only that.  Others find the entities of which the name or an alias holds them
-    (in any case); likeness of the name times the rank orders these, ids on a tie.  What holds a query holds its first
-    n-gram (n = 3, or its length if shorter), so both meet by equality of n-grams and are then compared: no pair is lost,
-    and none that shares nothing is looked at.  Blank queries find nothing.
+    (in any case); likeness of the name times the rank orders these, ids on a tie.  Blank queries find nothing.
     """
     asked = queries.filter(F.trim(F.coalesce("query", F.lit(""))) != "").select("query_id", F.trim("query").alias("query"))
     names = entities.select("id", F.explode(F.array_distinct(F.concat(F.array("id"), F.array("code")))).alias("query"))
     direct = asked.join(names, "query").select("query_id", "id", F.lit(1.0).alias("likeness"))
     rest = asked.join(direct.select("query_id").distinct(), "query_id", "left_anti").withColumn("low", F.lower("query"))
-    rest = rest.withColumn("gram", F.substring("low", 1, 3))
     texts = entities.select("id", "name", F.explode(F.array_distinct(F.transform(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), F.lower))).alias("text"))
-    index = texts.select("id", "name", "text", F.explode(F.concat(*[grams(F.col("text"), n) for n in (1, 2, 3)])).alias("gram"))
-    held = rest.join(index, "gram").filter(F.contains("text", F.col("low"))).select("query_id", "id", token_likeness(F.col("query"), F.col("name")).alias("likeness")).distinct()
+    held = holding(texts, rest).select("query_id", "id", token_likeness(F.col("query"), F.col("name")).alias("likeness")).distinct()
     scored = direct.unionByName(held).join(entities.select("id", "rank"), "id").withColumn("score", F.round(F.col("likeness") * F.col("rank"), 6))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return scored.withColumn("place", place).filter(F.col("place") <= top).select("query_id", "id", "score", "place")
