@@ -18,7 +18,7 @@ time linear in them but for the sort.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import Scratch, bitmaps, in_bitmaps
@@ -27,6 +27,11 @@ from ledgerloom.llm.common import Scratch, bitmaps, in_bitmaps
 LINE_BITS = 21
 
 
+def _plain(name: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def _with_rows(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
     """``docs`` with the columns _row (orders rows as their ids do, unique) and _id, _text, and the bits for a line.
 
@@ -160,11 +165,14 @@ def line_run_dedup(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
     A line is deleted when it lies in a run of consecutive lines, of ``min_words`` words or more in all, that also
     begins at an earlier place: at a smaller id, or earlier in the same document.  Lines end at a line feed.  Null
     texts stay null and, like empty ones, have one empty line; rows that repeat id and text get the same result, each
-    from the copies before them both; a null id comes first.  An empty table gives no rows.  Other columns stay as
-    they are; those named n_lines and n_deleted are replaced.
+    from the copies before them both; a null id comes first.  An empty table gives no rows.  Very long texts are split
+    into lines once.  Other columns stay as they are, whatever their names; those named n_lines and n_deleted are replaced.
     """
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    docs = docs.withColumnRenamed(id_col, "doc_id").withColumnRenamed(text_col, "text").drop("n_lines", "n_deleted", "_id", "_text", "_row", "_lines", "gone")
+    given = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
+    rest = [c for c in given if c not in (id_col, text_col)]
+    # other columns travel as one struct, so that no name of theirs meets one used here
+    docs = docs.select(_plain(id_col).alias("doc_id"), _plain(text_col).alias("text"), *([F.struct(*map(_plain, rest)).alias("_rest")] if rest else []))
     rows, line_bits = _with_rows(docs, scratch)
     gone = deleted_lines(rows, scratch, min_words, line_bits)
     bits = scratch.cut(bitmaps(gone, F.xxhash64("_row")), "bits")
@@ -180,4 +188,6 @@ def line_run_dedup(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
     hit = hit.withColumn("text", F.when(F.col("n_deleted") == 0, F.col("text")).otherwise(F.array_join(F.flatten(gaps), "\n")))
     same = marked.filter("not _hit").withColumn("n_lines", F.size(split).cast("long")).withColumn("n_deleted", F.lit(0).cast("long"))
     columns = [*docs.columns, "n_lines", "n_deleted"]
-    return hit.select(*columns).unionByName(same.select(*columns)).withColumnRenamed("doc_id", id_col).withColumnRenamed("text", text_col)
+    own = {id_col: F.col("doc_id"), text_col: F.col("text")}
+    out = hit.select(*columns).unionByName(same.select(*columns))
+    return out.select(*[own[c].alias(c) if c in own else F.col("_rest")[c].alias(c) for c in given], "n_lines", "n_deleted")

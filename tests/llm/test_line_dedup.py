@@ -108,3 +108,21 @@ def test_ranks_follow_the_order_of_suffixes(spark, tmp_path):
     pairs = [r.pos for r in line_dedup._ranked(first.join(second, "pos"), ["rank", "second"], scratch, "two").orderBy("rank", "pos").collect()]
     repeats = [i for i in range(len(text) - 1) if sum(text[i : i + 2] == text[j : j + 2] for j in range(len(text) - 1)) > 1]
     assert pairs == sorted(repeats, key=lambda i: (text[i : i + 2], i))
+
+
+def test_any_other_columns_stay(spark):
+    """Names that the operator uses itself, names with dots and other cases, and ids and texts under other names."""
+    others = ["_bits", "_bucket", "_key", "_hit", "gone", "_id", "_row", "_lines", "_text", "_sha", "_at", "part", "start", "pos", "rank", "first", "doc_id", "a.b", "x`y", "_rest", "n_deleted"]
+    passage = "\n".join(f"line {i} of a passage that repeats" for i in range(12))
+    rows = [(i, passage if i in (2, 5) else f"text {i}", *[f"{c}-{i}" for c in others]) for i in range(8)]
+    names = ["key", "body", *others]
+    frame = spark.createDataFrame(rows, "struct<" + ",".join(f"`{n.replace('`', '``')}`:{'long' if n == 'key' else 'string'}" for n in names) + ">")
+    for repeated in (frame, frame.unionByName(frame)):
+        out = line_run_dedup(repeated, 20, id_col="key", text_col="body")
+        kept = [n for n in names if n != "n_deleted"]
+        assert out.columns == [*kept, "n_lines", "n_deleted"]
+        got = {tuple(r)[0]: tuple(r) for r in out.collect()}
+        assert all(got[r[0]][2 : len(kept)] == tuple(v for n, v in zip(names, r) if n not in ("key", "body", "n_deleted")) for r in rows)
+        assert got[5][1] == "" and got[5][-1] == 12
+    alone = line_run_dedup(frame.select("key", "body"), 20, id_col="key", text_col="body")
+    assert alone.columns == ["key", "body", "n_lines", "n_deleted"] and alone.count() == 8
