@@ -43,12 +43,14 @@ def _grams(text: Column, mark: str) -> Column:
     """The marked character n-grams of a text between its bounds."""
     bounded = F.concat(F.lit("^"), text, F.lit("$"))
 
-    def of_length(n: int) -> Column:
+    def of_length(chars: Column, n: int) -> Column:
         # one argument only: a second one would be taken for the place in the array
-        grams = F.transform(F.sequence(F.lit(1), F.length(bounded) - (n - 1)), lambda i: F.concat(F.lit(mark), F.substring(bounded, i, F.lit(n))))
-        return F.when(F.length(bounded) >= n, grams).otherwise(F.array().cast("array<string>"))
+        grams = F.transform(F.sequence(F.lit(1), F.size(chars) - (n - 1)), lambda i: F.concat(F.lit(mark), F.array_join(F.slice(chars, i, F.lit(n)), "")))
+        return F.when(F.size(chars) >= n, grams).otherwise(F.array().cast("array<string>"))
 
-    return F.concat(*[of_length(n) for n in LENGTHS])
+    # the text is cut into characters once, and a variable of the outer function stands for them in the inner ones
+    characters = F.regexp_extract_all(bounded, F.lit("(?s)."), F.lit(0))
+    return F.get(F.transform(F.array(characters), lambda chars: F.concat(*[of_length(chars, n) for n in LENGTHS])), F.lit(0))
 
 
 def with_ngrams(urls: DataFrame) -> DataFrame:
@@ -89,8 +91,8 @@ def url_filter(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES,
     """page_id, host, path, rule (null where none fits), verdict (allow or block) and score for every row.
 
     Where no rule fits, the verdict is the model's: block at a score of ``threshold`` or more.  Null and malformed
-    URLs have empty host and path and are scored like others; repeated ids are rows like others; an empty table gives
-    no rows; other columns are not read.
+    URLs have empty host and path and are scored like others; a URL of any length is cut once, so time and memory grow
+    in proportion to it; repeated ids are rows like others; an empty table gives no rows; other columns are not read.
     """
     model = train(labelled if labelled is not None else labelled_urls(pages.sparkSession))
     host, path = host_and_path(F.col(url_col))

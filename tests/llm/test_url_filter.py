@@ -1,5 +1,6 @@
 import math
 import re
+import time
 
 from pyspark.ml.feature import HashingTF
 from pyspark.sql import functions as F
@@ -70,3 +71,11 @@ def test_empty_and_same_again(spark):
     assert url_filter(spark.createDataFrame([], SCHEMA)).count() == 0
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     assert sorted(map(tuple, url_filter(pages).collect())) == sorted(map(tuple, url_filter(pages).collect()))
+
+
+def test_very_long_urls(spark):
+    urls = [(1, "https://a.example.fr/" + "ab/" * 27_000), (2, "https://" + "h" * 80_000 + ".fr/x"), (3, "https://a.example.fr/" + "q7" * 500_000), (4, "data:text/plain;base64," + "QUJD" * 300_000)]
+    started = time.time()
+    got = {r.page_id: r for r in url_filter(spark.createDataFrame(urls, "page_id long, url string")).collect()}
+    assert time.time() - started < 90
+    assert len(got[1].path) == 81_001 and len(got[2].host) == 80_003 and got[4].host == got[4].path == "" and len(got[3].path) == 1_000_001
