@@ -25,6 +25,8 @@ from ledgerloom.llm.pieces import CACHE_LENGTH, hf_tokenizer, ship_file, small_r
 
 #: Pieces of a group on average, and the end-of-text id.
 GROUP, END = 40_000, 0
+#: Bins running that can't be emptied, after which a group's local search ends.
+STUCK = 8
 #: Words as they stand, runs of letters (which cost most to encode) and runs of marks after which a worker's caches start anew.
 WORDS, LETTERS, MARKS = 60_000, 250_000, 60_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -148,14 +150,15 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[li
     """Local search over underfull bins: try to empty the emptiest, as each step raises the sum of squared fills.
 
     A step takes a document out of the emptiest bin, or exchanges it for one or two smaller documents of a fuller
-    bin, so the fuller bin gets fuller.  It ends when the bins are as few as their tokens need, or no step is left.
+    bin, so the fuller bin gets fuller.  A bin that no step empties is left for the next emptiest.  It ends when the bins
+    are as few as their tokens need, or when STUCK bins running can't be emptied.
     """
     fill = [sum(lengths[i] for i in b) for b in bins]
     least = -(-sum(fill) // capacity)
     order = sorted(range(len(bins)), key=lambda b: fill[b])
-    gone = 0
-    while len(bins) - gone > least:
-        victim = next((b for b in order if bins[b]), None)
+    gone, stuck = 0, set()
+    while len(bins) - gone > least and len(stuck) < STUCK:
+        victim = next((b for b in order if bins[b] and b not in stuck), None)
         if victim is None:
             break
         moved = True
@@ -180,8 +183,9 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[li
                 if moved:
                     break
         if bins[victim]:
-            break
-        gone += 1
+            stuck.add(victim)
+        else:
+            gone, stuck = gone + 1, set()
         order = sorted((b for b in order if bins[b]), key=lambda b: fill[b])
     return [b for b in bins if b]
 

@@ -83,3 +83,10 @@ def test_local_search_empties_bins():
         assert len(later) <= len(first)
         assert sorted(i for b in later for i in b) == list(range(len(lengths)))
         assert all(sum(lengths[i] for i in b) <= 100 for b in later)
+
+
+def test_local_search_goes_on_after_a_stuck_bin():
+    """The emptiest bin stays, the next one is emptied into the others."""
+    lengths = [5] + [1] * 9 + [9] * 9
+    bins = improve([[0], list(range(1, 10)), *([i] for i in range(10, 19))], lengths, 10)
+    assert len(bins) == 10 and sorted(i for b in bins for i in b) == list(range(19)) and all(sum(lengths[i] for i in b) <= 10 for b in bins)
