@@ -11,6 +11,7 @@ from ledgerloom.operators import graph as g
 from ledgerloom.operators import signals as s
 from ledgerloom.operators import upsert as u
 from ledgerloom.operators import vectors as v
+from ledgerloom.operators.pivots import pruned_top_k
 from ledgerloom.plans.bindings import EDGES, HEAT, MEMBERS, STOCKS, with_
 from ledgerloom.sources import tables as t
 
@@ -322,6 +323,13 @@ def top_k(spark, sf):
     return v.top_k(e, q, 10).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query("vc2_pruned_top_k", f"WITH {_RANKED} SELECT query_id, vec_id, round(score, 6) AS score, rank FROM ranked")
+def pruned(spark, sf):
+    """The same neighbours, without the blocks that no neighbour can lie in."""
+    e, q = _vectors(spark, sf)
+    return pruned_top_k(e, q, 10).neighbours.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query("vc3_rank_fusion", f"""WITH lists AS (SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id, e.label % 4 ORDER BY round({_COS}, 9) DESC, e.vec_id) AS rank FROM embeddings q JOIN embeddings e ON true WHERE q.vec_id % 100 = 0 QUALIFY rank <= 10),
     f AS (SELECT query_id, vec_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS fused, count(*) AS lists FROM lists GROUP BY 1, 2) SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, vec_id) <= 10""")
 def fusion(spark, sf):
