@@ -9,12 +9,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.types import _parse_datatype_string
 
+from ledgerloom.sources.folders import ship_package
+
 
 def sorted_fold(rows: DataFrame, key: str, order: list[str], schema: str, begin: Callable[[], Any], step: Callable[[Any, dict], Any], finish: Callable[[Any], tuple]) -> DataFrame:
     """One row of ``schema`` (the key first) for each key: ``finish`` of the state that ``step`` made of its rows in ``order``.
 
     A worker holds one state and one Arrow batch, however many rows a key has; the sort spills.
     """
+    ship_package(rows.sparkSession)
     names = [f.name for f in _parse_datatype_string(schema).fields]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.graph import cut
+from ledgerloom.sources.folders import ship_package
 
 #: Slack for angles (an arc cosine near 1 is good to 1e-8), and for scores that round alike.
 ANGLE_SLACK, TIE = 1e-7, 2e-9
@@ -109,6 +110,7 @@ def pruned_top_k(corpus: DataFrame, queries: DataFrame, k: int, pivots: int = 64
     collected.  A pivot that most vectors are nearest to is split by angle and id, as blocks are cut by ranges of all three.
     """
     spark = corpus.sparkSession
+    ship_package(spark)
     vectors = corpus.select(F.col("vec_id").alias("id"), "embedding").filter("embedding is not null")
     chosen = vectors.filter(F.exists("embedding", lambda v: v != 0)).orderBy(F.xxhash64("id"), "id").limit(pivots).select("embedding").toPandas()
     if not len(chosen):

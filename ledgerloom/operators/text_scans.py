@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import query_rules as r
 from ledgerloom.functions.spans import leftmost_longest, merged, replaced, spans
+from ledgerloom.sources.folders import ship_package
 
 
 def compliance(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -105,6 +106,7 @@ def dictionary_tags(texts: DataFrame, names: DataFrame, id_col: str, text_col: s
     by hash so that they hold about ``shard_chars`` characters.  Empty and null names match nothing; ids must not be null.
     """
     spark = texts.sparkSession
+    ship_package(spark)
     words = names.select(F.col(names.columns[0]).cast("string").alias("name")).filter("name <> ''").distinct()
     total = words.agg(F.sum(F.length("name"))).first()[0] or 0
     shards = max(1, -(-total // shard_chars))

@@ -1,10 +1,13 @@
-"""Folders that the driver and every executor share."""
+"""Folders that the driver and every executor share, and this package for workers that lack it."""
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -17,3 +20,17 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="ledgerloom-shared-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package where neither PYTHONPATH nor the working folder has it; once a session."""
+    root = Path(__file__).resolve().parents[2]
+    known = [Path(p or ".").resolve() for p in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]]
+    if root in known or getattr(spark, "_ledgerloom_shipped", False):
+        return
+    target = Path(tempfile.mkdtemp(prefix="ledgerloom-")) / "ledgerloom.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted((root / "ledgerloom").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    spark.sparkContext.addPyFile(str(target))
+    spark._ledgerloom_shipped = True

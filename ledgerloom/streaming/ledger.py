@@ -7,13 +7,17 @@ them, so that order doesn't depend on how they arrive; timers put back to pendin
 from __future__ import annotations
 
 import datetime as dt
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ledgerloom.sources.folders import ship_package
+
 PENDING, RUNNING, DONE, FAILED, SKIPPED = "pending", "running", "done", "failed", "skipped"
 FINAL = (DONE, FAILED, SKIPPED)
 #: Minutes after which a run counts as lost, failures after which a job is failed, and what is noted then.
@@ -75,6 +79,7 @@ def job_ledger(events: DataFrame, as_of: dt.datetime | str, stale_minutes: int =
     Rows are sorted by job and time and read as a stream, so a job's events are never a list; events of one time go by
     ``seq``.  A null event changes nothing.
     """
+    ship_package(events.sparkSession)
     stale = stale_minutes * MINUTE
     limit = F.lit(str(as_of)).cast("timestamp")
     now = events.sparkSession.range(1).select(F.unix_micros(limit)).first()[0]
@@ -154,6 +159,8 @@ def ledger_stream(events: DataFrame, delay: str = "10 minutes", stale_minutes: i
     The last row of each job is the batch ledger at the watermark.  Events older than the watermark when they come are
     dropped.  Needs the RocksDB state store.
     """
+    # the process that prepares a stateful query on the driver's side has no shipped files, so this module goes by value
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     rows = events.filter("event is not null").withColumn("at", F.col("at").cast("timestamp"))
     rows = rows.select("job", "at", F.unix_micros("at").alias("us"), *_COLUMNS[1:]).withWatermark("at", delay)
     return _timed(rows.groupBy("job").transformWithStateInPandas(LedgerProcessor(stale_minutes, most_failures), f"job long, {_ROW}", "Update", "EventTime"))
