@@ -1,7 +1,7 @@
 """Embedding near-dedup by an epsilon grid order join.
 
 Unit vectors of cosine c or more lie within epsilon = sqrt(2 - 2 c) of each other, and no projection makes them
-farther apart.  Vectors are projected on the leading principal dimensions (from a 64 x 64 covariance that tasks sum),
+farther apart.  Vectors are projected on the leading principal dimensions (of a covariance that tasks sum),
 put in the order of their grid cells of side epsilon, and cut into sequence intervals (blocks) of bounded size.
 Blocks meet only if no grid dimension holds their boxes more than epsilon apart; within a meeting, intervals are
 halved and halves that are provably distant are skipped, down to small squares that get exact double products.  What a
@@ -24,6 +24,8 @@ from ledgerloom.llm.ngram_join import Forest
 
 #: Leading principal dimensions of the grid, vectors in a block at most, and the side of an exact square.
 GRID_DIMS, BLOCK, SQUARE = 6, 8_192, 64
+#: Components among which principal dimensions are looked for, so a covariance takes 8 MB at most.
+WIDE = 1_024
 #: Rounding that projections and products may add.
 SLACK = 1e-9
 
@@ -63,26 +65,53 @@ def _kinds(batch: pd.DataFrame) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
         yield d, size // d, at, unit_rows(b"".join(batch["raw"].iloc[k] for k in at), d, size // d)
 
 
-def _moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    sums: dict[int, list] = {}
+def _moments(wide: int):
+    """(d, row, sums): of a task's vectors with a 1 before their first ``wide`` components, the rows of x.T @ x."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for d, _, _, x in _kinds(batch):
+                x = np.column_stack([np.ones(len(x)), x[:, :wide]])
+                sums[d] = sums.get(d, 0) + x.T @ x
+        for d, m in sums.items():
+            yield pd.DataFrame({"d": d, "row": range(len(m)), "sums": [r.tobytes() for r in m]})
+
+    return run
+
+
+def _added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by (d, row) -> their sums, one held at a time."""
+    now, total, columns = None, None, ["d", "row", "sums"]
     for batch in batches:
-        for d, _, _, x in _kinds(batch):
-            n, s, ss = sums.get(d, (0, 0, 0))
-            sums[d] = [n + len(x), s + x.sum(axis=0), ss + x.T @ x]
-    yield pd.DataFrame([(d, n, s.tobytes(), ss.tobytes()) for d, (n, s, ss) in sums.items()], columns=["d", "n", "s", "ss"])
-
-
-def principal_axes(vectors: DataFrame) -> dict[int, np.ndarray]:
-    """d -> (d, GRID_DIMS) leading axes of all vectors of d components; the driver sees d x d sums only."""
-    sums: dict[int, list] = {}
-    parts = vectors.select("d", "raw").mapInPandas(_moments, "d int, n long, s binary, ss binary")
-    for r in parts.toLocalIterator():
-        n, s, ss = sums.get(r.d, (0, 0.0, 0.0))
-        sums[r.d] = [n + r.n, s + np.frombuffer(r.s), ss + np.frombuffer(r.ss).reshape(r.d, r.d)]
+        for d, row, sums in zip(batch["d"], batch["row"], batch["sums"], strict=True):
+            if (d, row) != now:
+                if now:
+                    yield pd.DataFrame([(*now, total.tobytes())], columns=columns)
+                now, total = (d, row), 0
+            total = total + np.frombuffer(sums)
+    if now:
+        yield pd.DataFrame([(*now, total.tobytes())], columns=columns)
+
+
+def principal_axes(vectors: DataFrame, wide: int = WIDE) -> dict[int, np.ndarray]:
+    """d -> (d, GRID_DIMS) leading axes of all vectors of d components, within their first ``wide`` components.
+
+    Tasks' sums are added up by matrix row over the cluster, so the driver sees one matrix for each d, of a bounded
+    size.  A projection onto any such axes lengthens no distance, so wider vectors lose no pair by it.
+    """
+    parts = vectors.select("d", "raw").mapInPandas(_moments(wide), "d int, row int, sums binary")
+    sums: dict[int, dict[int, np.ndarray]] = {}
+    for r in parts.repartition("d", "row").sortWithinPartitions("d", "row").mapInPandas(_added, "d int, row int, sums binary").collect():
+        sums.setdefault(r.d, {})[r.row] = np.frombuffer(r.sums)
     out = {}
-    for d, (n, s, ss) in sums.items():
-        _, axes = np.linalg.eigh(ss / n - np.outer(s / n, s / n))
-        out[d] = np.ascontiguousarray(axes[:, ::-1][:, :GRID_DIMS])
+    for d, rows in sums.items():
+        m = np.array([rows[k] for k in range(len(rows))])
+        mean = m[0, 1:] / m[0, 0]
+        _, axes = np.linalg.eigh(m[1:, 1:] / m[0, 0] - np.outer(mean, mean))
+        leading = axes[:, ::-1][:, :GRID_DIMS]
+        out[d] = np.zeros((d, leading.shape[1]))
+        out[d][: len(leading)] = leading
     return out
 
 
@@ -175,12 +204,13 @@ def _meet_blocks(axes, cosine: float, epsilon: float):
     return run
 
 
-def embedding_near_dedup(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def embedding_near_dedup(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", wide: int = WIDE) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id (smallest id that links lead to), kept.
 
     Rows link when their labels are equal and not null and their vectors' cosine in double precision is ``cosine`` or
     more; vectors of different lengths, and null, zero or non-finite ones, link with nothing.  Equal vectors of one
-    label are handled once and their copies counted.  Rows that repeat an id are separate rows; a null id is never
+    label are handled once and their copies counted.  Of longer vectors, the grid's axes are found among the first
+    ``wide`` components, which loses no pair.  Rows that repeat an id are separate rows; a null id is never
     the smallest.  An empty table gives no rows; other columns are not read.
     """
     spark = vectors.sparkSession
@@ -195,7 +225,7 @@ def embedding_near_dedup(vectors: DataFrame, cosine: float = 0.98, id_col: str =
     named = rows.filter("raw is not null").select("vec_id", *names)
     classes = rows.filter("raw is not null").groupBy(*names).agg(F.first("label").alias("label"), F.first("d").alias("d"), F.first("raw").alias("raw"), F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     classes = scratch.cut(classes.withColumn("class_id", F.monotonically_increasing_id()), "classes")
-    axes = spark.sparkContext.broadcast(principal_axes(classes))
+    axes = spark.sparkContext.broadcast(principal_axes(classes, wide))
     placed = classes.select("class_id", "label", "copies", "d", "raw").mapInPandas(_place(axes, epsilon), "class_id long, label string, copies long, d int, width int, raw binary, cells array<int>")
     order = ["label", "d", "width", "cells", "class_id"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -61,3 +61,23 @@ def test_against_brute_force(spark, monkeypatch):
 
 def test_empty(spark):
     assert embedding_near_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_vectors_wider_than_the_covariance(spark):
+    """Axes among the first components only lose no pair, and add up over tasks as one matrix does."""
+    rows = make(4)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(7)
+    got = sorted((tuple(r) for r in embedding_near_dedup(df, wide=5).select("vec_id", "n_links", "component_id", "kept").collect()), key=str)
+    assert got == brute(rows)
+    x = np.array([u for r in rows if (u := unit(r[1])) is not None and len(u) == 16])
+    raw = spark.createDataFrame([(16, bytearray(u.astype("<f8").tobytes())) for u in x], "d int, raw binary").repartition(5)
+    axes = ed.principal_axes(raw, 5)[16]
+    assert axes.shape == (16, 5) and not axes[5:].any()
+    assert np.allclose(np.linalg.eigvalsh(np.cov(x[:, :5].T, bias=True))[::-1], ((x - x.mean(axis=0)) @ axes).var(axis=0))
+
+
+def test_a_very_long_vector(spark):
+    long = [1.0] + [0.0] * 199_999
+    rows = [(1, long, 1, None), (2, long, 1, None), (3, [0.0, *long[:-1]], 1, None), (4, [1.0, 0.0], 1, None)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_near_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4)}
