@@ -191,3 +191,15 @@ def test_quality_held_out(labelled):
     bad = [r for r in rows if r.quality == 0]
     print("quality: recall", recall, "bad rejected", sum(r.predicted == 0 for r in bad), len(bad), "of", len(rows))
     assert recall >= 0.98 and sum(r.predicted == 0 for r in bad) >= (0.9 if size == "0.1" else 0.7) * len(bad)
+
+
+def test_repeated_ids_count_once_in_the_sample(spark):
+    """However often an id, its label or its text is repeated, it is one row: the largest label and the largest text."""
+    from ledgerloom.llm.labels import training_sample
+
+    ids = [i for i in range(1, 40) if zlib.crc32(str(i).encode()) % 5]
+    docs = [(i, f"text {i}", "", "") for i in ids] + [(ids[0], "a", "", "")] * 50 + [(ids[1], None, "", "")] * 50 + [(None, "none", "", "")]
+    labels = [(i, i % 2, 0) for i in ids] + [(ids[2], 1, 0)] * 50 + [(ids[2], 0, 0)] * 50 + [(ids[3], None, 0), (None, 1, 0)]
+    got = training_sample(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS), "quality", (5, 0), 1000)
+    assert sorted(tuple(r) for r in got.collect()) == sorted((f"text {i}", 1 if i == ids[2] else i % 2) for i in ids)
+    assert not training_sample(spark.createDataFrame([], DOCS), spark.createDataFrame(labels, LABELS), "quality", (5, 0), 1000).collect()
