@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -115,13 +116,24 @@ def _sets_and_counts(words: int):
     return run
 
 
-def _sum_counts(rows: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(SEGMENT, dtype=np.uint64)
-    for c in rows["counts"]:
-        total += np.frombuffer(zlib.decompress(c), dtype=np.uint8)
-    # quarter powers of two are fine enough to tell a common group from a rare one
-    level = np.floor(4 * np.log2(total.astype(np.float64) + 1)).astype(np.uint8)
-    return pd.DataFrame({"segment": [int(rows["segment"].iloc[0])], "level": [level.tobytes()]})
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by segment -> (segment, level); one sum is held, however many tasks counted a segment."""
+    now, total = None, None
+
+    def out() -> pa.RecordBatch:
+        # quarter powers of two are fine enough to tell a common group from a rare one
+        level = np.floor(4 * np.log2(total.astype(np.float64) + 1)).astype(np.uint8)
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["segment", "level"])
+
+    for batch in batches:
+        for segment, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if segment != now:
+                if now is not None:
+                    yield out()
+                now, total = segment, np.zeros(SEGMENT, dtype=np.uint64)
+            total += np.frombuffer(zlib.decompress(counts.as_buffer()), dtype=np.uint8)
+    if now is not None:
+        yield out()
 
 
 def _coordinates(words: int, percent: int, levels):
@@ -259,7 +271,7 @@ def pack_leaf(rows: pd.DataFrame) -> pd.DataFrame:
 class Leaf:
     """A leaf of the tree: points in order, and nodes of NODE points with the box around each."""
 
-    def __init__(self, ids: bytes, labels: bytes, sizes: bytes, sets: bytes):
+    def __init__(self, ids, labels, sizes, sets):
         self.ids, self.labels = np.frombuffer(ids, dtype=np.int64), np.frombuffer(labels, dtype=np.int64)
         self.n = np.frombuffer(sizes, dtype=np.int32).astype(np.int64)
         self.sets = np.split(np.frombuffer(sets, dtype=np.uint64), np.cumsum(self.n)[:-1])
@@ -342,13 +354,14 @@ def _links(x: Leaf, y: Leaf | None, percent: int) -> list[tuple[int, int]]:
 def _meet_leaves(percent: int, two: bool):
     """Links between the two leaves of each row, or within its one."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for r in batch.itertuples(index=False):
-                x = Leaf(r.ids, r.labels, r.sizes, r.sets)
-                out += _links(x, Leaf(r.ids2, r.labels2, r.sizes2, r.sets2) if two else None, percent)
-            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+            for k in range(batch.num_rows):  # sets are read where they lie in the batch
+                x, y = (Leaf(*[batch.column(c + end)[k].as_buffer() for c in LEAF]) if two or not end else None for end in ("", "2"))
+                out += _links(x, y, percent)
+            links = np.array(out, dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["a", "b"])
 
     return run
 
@@ -367,10 +380,11 @@ PACKED = "cell long, leaf int, ids binary, labels binary, sizes binary, sets bin
 
 
 LINK = "a long, b long"
+LEAF = ("ids", "labels", "sizes", "sets")
 
 
 def _second(packed: DataFrame) -> DataFrame:
-    return packed.select("cell", F.col("leaf").alias("other"), *[F.col(c).alias(f"{c}2") for c in ("ids", "labels", "sizes", "sets")])
+    return packed.select("cell", F.col("leaf").alias("other"), *[F.col(c).alias(f"{c}2") for c in LEAF])
 
 
 def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -397,7 +411,8 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 75, id_co
         bits = scratch.cut(bitmaps(chosen, F.xxhash64("doc_id")), name)
         return in_bitmaps(keyed, F.xxhash64("doc_id"), bits, "wanted").filter("wanted").select("doc_id", "text")
 
-    level = pass1.filter("segment >= 0").select("segment", "counts").groupBy("segment").applyInPandas(_sum_counts, "segment int, level binary")
+    counted = pass1.filter("segment >= 0").select("segment", "counts").repartition(F.col("segment")).sortWithinPartitions("segment")
+    level = counted.mapInArrow(_levels, "segment int, level binary")
     table = np.zeros(1 << FINE, dtype=np.uint8)  # fixed size: 4 MB
     for r in level.collect():
         table[r.segment * SEGMENT : (r.segment + 1) * SEGMENT] = np.frombuffer(r.level, dtype=np.uint8)
@@ -410,7 +425,8 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 75, id_co
     met = sent.mapInPandas(_meetings(percent), "a long, b long, sizes long, place long, shared long")
     chained = scratch.cut(may_link(met, percent), "chained")
     cells = scratch.cut(components(chained, scratch, "cells").select(F.col("id").alias("set_id"), F.col("label").alias("cell")), "cells")
-    scratch.drop("chained")
+    for name in ("chained", "first-bits"):
+        scratch.drop(name)
 
     # every cell's leaves, before any set travels
     chosen = scratch.cut(cells.join(first, "set_id").select("set_id", "cell", "n", "doc_id", F.lit(0).cast("long").alias("part")), "chosen")
@@ -421,14 +437,17 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 75, id_co
     texts = among(chosen, "bits").join(chosen.select("doc_id", "set_id", "cell", "leaf"), "doc_id")
     sets = texts.select("set_id", "cell", "leaf", "text").mapInPandas(_sets(words), "set_id long, cell long, leaf int, shingles binary")
     packed = scratch.cut(sets.groupBy("cell", "leaf").applyInPandas(pack_leaf, PACKED), "leaves-1")
+    for name in ("bits", "cells", "chosen", "leaf-counts"):
+        scratch.drop(name)
 
     # each leaf meets itself; a cell's other leaves meet its first
-    found = scratch.cut(packed.mapInPandas(_meet_leaves(percent, False), LINK), "links-0")
+    found = scratch.cut(packed.mapInArrow(_meet_leaves(percent, False), LINK), "links-0")
     more = chosen.filter("leaves > 1")
     several = more.limit(1).count() > 0
     if several:
-        met = packed.filter("leaf > 0").join(_second(packed.filter("leaf = 0")), "cell").mapInPandas(_meet_leaves(percent, True), LINK)
+        met = packed.filter("leaf > 0").join(_second(packed.filter("leaf = 0")), "cell").mapInArrow(_meet_leaves(percent, True), LINK)
         found = scratch.cut(found.union(met), "links-1")
+        scratch.drop("links-0")
     labels = scratch.cut(components(found, scratch, "classes-1"), "labels-1")
     if several:
         # cells that are one class by now are done; in others, leaves are dealt anew, by class where it is large
@@ -453,7 +472,7 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 75, id_co
             pairs = scratch.cut(pairs, "pairs-2")
             alone = packed.join(pairs.filter("leaf = other").select("cell", "leaf"), ["cell", "leaf"], "left_semi")
             met = pairs.filter("leaf <> other").join(packed, ["cell", "leaf"]).join(_second(packed), ["cell", "other"])
-            found = scratch.cut(found.union(alone.mapInPandas(_meet_leaves(percent, False), LINK)).union(met.mapInPandas(_meet_leaves(percent, True), LINK)), "links-2")
+            found = scratch.cut(found.union(alone.mapInArrow(_meet_leaves(percent, False), LINK)).union(met.mapInArrow(_meet_leaves(percent, True), LINK)), "links-2")
             scratch.drop("leaves-2")
             labels = scratch.cut(components(found, scratch, "classes-2"), "labels-2")
     scratch.drop("leaves-1")
@@ -461,7 +480,11 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 75, id_co
     # back to documents: classes of sets first, then the rows of each set
     by_set = first.join(labels.select(F.col("id").alias("set_id"), "label"), "set_id", "left").select("set_id", "least", F.coalesce("label", "set_id").alias("label"))
     by_set = scratch.cut(by_set, "by-set")
+    for name in ("first", "dealt", "labels-1", "labels-2", "links-0", "links-1", "links-2", "marked", "parts", "mixed", "starts", "assigned", "mixed-cells", "pairs-2"):
+        scratch.drop(name)
     least = scratch.cut(by_set.groupBy("label").agg(F.min("least").alias("component_id")), "least")
     named = scratch.cut(by_set.join(least, "label").select("set_id", "component_id"), "named")
+    for name in ("by-set", "least"):
+        scratch.drop(name)
     blank = members.filter("set_id is null").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return members.filter("set_id is not null").join(named, "set_id").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id").unionByName(blank)

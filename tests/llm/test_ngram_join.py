@@ -1,5 +1,9 @@
 import random
 import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
 
 from ledgerloom.llm import ngram_join as nj
 from ledgerloom.llm.ngram_join import ngram_jaccard_join
@@ -139,3 +143,17 @@ def test_overlaps_of_many():
     s = nj.shingle_set(" ".join("a%d" % i for i in range(80)))
     others = [nj.shingle_set(" ".join("a%d" % (i + r.randrange(90)) if r.random() < 0.05 else "a%d" % i for i in range(r.randint(5, 100)))) for _ in range(40)]
     assert nj.overlaps(s, others) == [len(set(s.tolist()) & set(o.tolist())) for o in others] and nj.overlaps(s, []) == []
+
+
+def test_levels_are_summed_row_by_row():
+    """Counts of many tasks, cut into batches anywhere, give each segment's level once."""
+    r = np.random.default_rng(3)
+    parts = [(s, r.integers(0, 256, nj.SEGMENT).astype(np.uint8)) for s in (0, 0, 0, 2, 3, 3)]
+    table = pa.table({"segment": pa.array([s for s, _ in parts], pa.int32()), "counts": [zlib.compress(c.tobytes()) for _, c in parts]})
+    for size in (1, 2, 6):
+        got = {row["segment"]: row["level"] for b in nj._levels(iter(table.to_batches(size))) for row in b.to_pylist()}
+        for s in (0, 2, 3):
+            total = sum(c.astype(float) for k, c in parts if k == s)
+            assert got[s] == np.floor(4 * np.log2(total + 1)).astype(np.uint8).tobytes()
+        assert sorted(got) == [0, 2, 3]
+    assert not list(nj._levels(iter([])))
