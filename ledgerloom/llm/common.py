@@ -6,11 +6,15 @@ after another executor is lost.  Only a session on this machine alone may lack t
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +24,8 @@ from pyspark.sql import functions as F
 BITS = 32_768
 #: Bitmaps in one membership table: at most 4096 x 4 KB = 16 MB, whatever the size of the corpus.
 BITMAPS = 4_096
+#: Bytes of an Arrow batch at most while a scratch table is written: a task has a few of them in both processes.
+BATCH_BYTES, BATCH_SETTING = 16 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -42,11 +48,37 @@ _STATE: dict = {}
 def worker_state(key, make):
     """What a worker process keeps between tasks of one operator (``make()`` the first time); any other's is let go."""
     if key not in _STATE:
-        _STATE.clear()
+        if _STATE:
+            _STATE.clear()
+            _give_back()
         _STATE[key] = make()
     return _STATE[key]
 
 
+def _give_back() -> None:
+    """Return freed memory to the system, as a worker that is used again would keep it through later operators."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of BATCH_BYTES at most for the jobs started inside, unless the session has a setting of its own."""
+    if spark.conf.get(BATCH_SETTING, None):
+        yield
+        return
+    spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(BATCH_SETTING)
+
+
 class Scratch:
     """Tables that cut a plan's lineage, written once to shared storage and read again."""
 
@@ -62,7 +94,8 @@ class Scratch:
         path = f"{self.base}/{name}-{len(self.paths)}"
         self.paths[name] = [*self.paths.get(name, []), path]
         self.paths[path] = []
-        df.write.parquet(path, compression=codec)
+        with small_batches(self.spark):
+            df.write.parquet(path, compression=codec)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
