@@ -11,6 +11,7 @@ from ledgerloom.operators import extraction as x
 from ledgerloom.operators import graph as g
 from ledgerloom.operators import market as m
 from ledgerloom.operators import upsert as u
+from ledgerloom.operators.folds import lag_in_blocks
 from ledgerloom.plans.bindings import ANNOUNCEMENTS, BARS, EDGES, HEAT, MEMBERS, QUESTIONS, RUNS, STOCKS, steady, with_
 from ledgerloom.sources import tables as t
 
@@ -72,7 +73,7 @@ def stage_change(spark, sf):
     ok AS (SELECT * FROM (VALUES ('research', 'trial', 'forward'), ('trial', 'mass', 'forward'), ('mass', 'trial', 'back')) v(before, stage, direction)) SELECT doc_id, p.before, p.stage, direction FROM p JOIN ok USING (before, stage)""")
 def transition_matrix(spark, sf):
     staged = t.announcements(spark, sf).select("doc_id", "source", x.stage(F.col("title"), STAGES).alias("stage")).filter("stage is not null")
-    moves = staged.withColumn("before", F.lag("stage").over(Window.partitionBy("source").orderBy("doc_id")))
+    moves = lag_in_blocks(staged, "source", "doc_id", "stage", "before")
     allowed = spark.createDataFrame([("research", "trial", "forward"), ("trial", "mass", "forward"), ("mass", "trial", "back")], "before string, stage string, direction string")
     return moves.join(F.broadcast(allowed), ["before", "stage"]).select("doc_id", "before", "stage", "direction")
 

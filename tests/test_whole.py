@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import graph as g
 from ledgerloom.operators import packages as p
-from ledgerloom.operators.folds import sorted_fold
+from ledgerloom.operators.folds import lag_in_blocks, sorted_fold
 from ledgerloom.operators.search import entity_search, holding, resolved
 
 
@@ -78,3 +78,17 @@ def test_folds(spark):
     votes = spark.createDataFrame([(1, i, "confirm", 0.0) for i in range(30)] + [(2, 1, "correct", 0.1), (2, 2, "reject", 0.0), (9, 1, "confirm", 0.0)], "edge long, seq int, kind string, value double")
     edges = spark.createDataFrame([(1, 0.5), (2, 0.9), (3, 0.4)], "edge long, weight double")
     assert sorted(tuple(r) for r in g.feedback(edges, votes).collect()) == [(1, 0.5, 1.0), (2, 0.9, 0.35)]
+
+
+def test_lag_across_blocks_equals_one_window(spark):
+    """Blocks of any size, gaps, negative numbers, a null key and an empty table: as one window for each key."""
+    r = random.Random(5)
+    rows = [(r.choice(["hot", "hot", "hot", "b", None]), i, f"v{r.randint(0, 9)}") for i in r.sample(range(-400, 400), 300)] + [("once", 5000, "v")]
+    df, last, want = spark.createDataFrame(rows, "key string, at long, value string"), {}, set()
+    for key, at, value in sorted(rows, key=lambda x: x[1]):
+        want.add((key, at, value, last.get(key)))
+        last[key] = value
+    for block in (1, 7, 1 << 16):
+        got = lag_in_blocks(df, "key", "at", "value", "before", block).collect()
+        assert {tuple(x) for x in got} == want and len(got) == len(want)
+    assert not lag_in_blocks(df.limit(0), "key", "at", "value", "before").collect()
