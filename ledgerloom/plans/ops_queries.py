@@ -62,7 +62,7 @@ def overall(spark, sf):
 @query("rd5_alerts", f"""{with_(RUNS)}, i AS (SELECT *, sum(CASE WHEN status <> 'failed' THEN 1 ELSE 0 END) OVER (PARTITION BY task ORDER BY started_at, run_id) AS island, CASE WHEN status = 'success' THEN lag(records) OVER (PARTITION BY task, status ORDER BY started_at, run_id) END AS before FROM runs),
     l AS (SELECT task, island, status, records, before FROM i QUALIFY row_number() OVER (PARTITION BY task ORDER BY started_at DESC, run_id DESC) = 1),
     a AS (SELECT l.task, (SELECT count(*) FROM i WHERE i.task = l.task AND i.island = l.island AND i.status = 'failed') AS tail, (SELECT avg(CASE WHEN status = 'failed' THEN 1.0 ELSE 0.0 END) FROM i WHERE i.task = l.task) AS rate, status, records, before FROM l)
-    SELECT task, 'consecutive_failures' AS alert FROM a WHERE tail >= 2 UNION ALL SELECT task, 'failure_rate' FROM a WHERE rate >= 0.22 UNION ALL SELECT task, 'record_drop' FROM a WHERE status = 'success' AND before > 0 AND records < before * (1 - 0.8)""")
+    SELECT task, 'consecutive_failures' AS alert FROM a WHERE tail >= 2 UNION ALL SELECT task, 'failure_rate' FROM a WHERE rate >= 0.22 UNION ALL SELECT task, 'record_drop' FROM a WHERE status = 'success' AND before > 0 AND records < before * (1 - 0.8::DOUBLE)""")
 def alerts(spark, sf):
     return o.alerts(t.runs(spark, sf), streak=2, rate=0.22)
 
