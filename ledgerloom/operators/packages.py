@@ -21,11 +21,12 @@ def stated_value(text: Column) -> Column:
 def divergence(statements: DataFrame) -> DataFrame:
     """(entity, metric, facts, estimates, claims, fact_value, estimate_value, gap_pct, direction) of (entity, metric, stmt_type, text, seq).
 
-    Facts and estimates speak by the first of them, in ``seq`` order, that holds a number.  A metric without facts and
+    Facts and estimates speak by the first of them, in ``seq`` order, that holds a number; of several with one ``seq`` by
+    the smallest number.  A metric without facts and
     estimates isn't here; the gap is null where one value is missing or the fact is 0.
     """
     value = stated_value(F.coalesce("text", F.lit("")))
-    first = lambda kind: F.min_by(F.struct(value.alias("v")), F.when((F.col("stmt_type") == kind) & value.isNotNull(), F.col("seq")))["v"]
+    first = lambda kind: F.min(F.when((F.col("stmt_type") == kind) & value.isNotNull(), F.struct("seq", value.alias("v"))))["v"]
     count = lambda kind: F.count_if(F.col("stmt_type") == kind)
     out = statements.groupBy("entity", "metric").agg(count("Fact").alias("facts"), count("Estimate").alias("estimates"), count("Claim").alias("claims"), first("Fact").alias("fact_value"), first("Estimate").alias("estimate_value"))
     gap = F.when(F.col("fact_value") != 0, (F.col("estimate_value") - F.col("fact_value")) / F.abs("fact_value") * 100)

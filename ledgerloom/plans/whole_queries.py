@@ -66,7 +66,7 @@ _VALUE = "CASE WHEN regexp_matches(text, '\\d') THEN regexp_extract(text, '(\\d+
 @query("kg14_stated_divergence", f"""WITH s AS (SELECT 'C:' || l_suppkey AS entity, 'M:' || l_partkey % 40 AS metric, (['Fact', 'Estimate', 'Claim'])[l_linenumber % 3 + 1] AS stmt_type, l_orderkey * 8 + l_linenumber AS seq,
         (['约', '预计为', '没有数', ''])[l_orderkey % 4 + 1] || CASE WHEN l_orderkey % 4 = 2 THEN '' ELSE l_partkey % 97 || '.5' || (['亿', ' 万', '万亿', '元', '百万'])[l_orderkey % 5 + 1] END AS text FROM lineitem),
     u AS (SELECT *, regexp_extract(text, '(\\d+\\.?\\d*)\\s*([万亿百]?[万亿百]?)', 2) AS unit FROM s), v AS (SELECT *, {_VALUE} AS v FROM u),
-    d AS (SELECT entity, metric, count(*) FILTER (stmt_type = 'Fact') AS facts, count(*) FILTER (stmt_type = 'Estimate') AS estimates, count(*) FILTER (stmt_type = 'Claim') AS claims, arg_min(v, seq) FILTER (stmt_type = 'Fact' AND v IS NOT NULL) AS fact_value, arg_min(v, seq) FILTER (stmt_type = 'Estimate' AND v IS NOT NULL) AS estimate_value FROM v GROUP BY 1, 2),
+    d AS (SELECT entity, metric, count(*) FILTER (stmt_type = 'Fact') AS facts, count(*) FILTER (stmt_type = 'Estimate') AS estimates, count(*) FILTER (stmt_type = 'Claim') AS claims, arg_min(v, (seq, v)) FILTER (stmt_type = 'Fact' AND v IS NOT NULL) AS fact_value, arg_min(v, (seq, v)) FILTER (stmt_type = 'Estimate' AND v IS NOT NULL) AS estimate_value FROM v GROUP BY 1, 2),
     x AS (SELECT *, CASE WHEN fact_value <> 0 THEN (estimate_value - fact_value) / abs(fact_value) * 100 END AS gap FROM d WHERE facts > 0 OR estimates > 0)
     SELECT entity, metric, facts, estimates, claims, fact_value, estimate_value, round(gap, 0) AS gap_pct, CASE WHEN gap > 0 THEN 'bullish' WHEN gap < 0 THEN 'bearish' WHEN gap = 0 THEN 'neutral' END AS direction FROM x""")
 def stated_divergence(spark, sf):
