@@ -55,11 +55,13 @@ def entity_search(entities: DataFrame, queries: DataFrame, top: int) -> DataFram
     (in any case); likeness of the name times the rank orders these, ids on a tie.  Blank queries find nothing.
     """
     asked = queries.filter(F.trim(F.coalesce("query", F.lit(""))) != "").select("query_id", F.trim("query").alias("query"))
+    texts = asked.select("query").distinct()  # a text that many ask is looked up once
     names = entities.select("id", F.explode(F.array_distinct(F.concat(F.array("id"), F.array("code")))).alias("query"))
-    direct = asked.join(names, "query").select("query_id", "id", F.lit(1.0).alias("likeness"))
-    rest = asked.join(direct.select("query_id").distinct(), "query_id", "left_anti").withColumn("low", F.lower("query"))
-    texts = entities.select("id", "name", F.explode(F.array_distinct(F.transform(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), F.lower))).alias("text"))
-    held = holding(texts, rest).select("query_id", "id", token_likeness(F.col("query"), F.col("name")).alias("likeness")).distinct()
+    direct = texts.join(names, "query").select("query", "id", F.lit(1.0).alias("likeness"))
+    rest = texts.join(direct.select("query").distinct(), "query", "left_anti").withColumn("low", F.lower("query"))
+    said = entities.select("id", "name", F.explode(F.array_distinct(F.transform(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), F.lower))).alias("text"))
+    held = holding(said, rest).select("query", "id", token_likeness(F.col("query"), F.col("name")).alias("likeness")).distinct()
     scored = direct.unionByName(held).join(entities.select("id", "rank"), "id").withColumn("score", F.round(F.col("likeness") * F.col("rank"), 6))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("place", place).filter(F.col("place") <= top).select("query_id", "id", "score", "place")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
+    best = scored.withColumn("place", place).filter(F.col("place") <= top)
+    return asked.join(best, "query").select("query_id", "id", "score", "place")
