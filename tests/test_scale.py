@@ -53,3 +53,33 @@ def test_a_drop_of_four_fifths_is_no_alert_in_either(spark, tmp_path):
     con.sql(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
     got = [tuple(r) for r in registry.QUERIES["rd5_alerts"](spark, str(tmp_path)).collect()]
     assert got == con.execute(registry.ORACLE_SQL["rd5_alerts"]).fetchall() == [(1000, "record_drop")]
+
+
+def test_chains_begin_at_few_edges(spark):
+    rows = [("s", f"m{i:03d}", i / 1000) for i in range(200)] + [(f"m{i:03d}", f"t{j}", j / 100) for i in range(200) for j in range(30)]
+    edges = spark.createDataFrame(rows, "src string, dst string, weight double")
+    first = g.first_hops(edges, edges, 5).collect()
+    assert sorted(r.mid for r in first) == [f"m{i:03d}" for i in range(195, 200)]
+    want = sorted(((-round(i / 1000 + j / 100, 4), 2, f"t{j}", f"m{i:03d}") for i in range(200) for j in range(30)))[:5]
+    got = g.paths_to_two(edges, None, 5).filter("src = 's'").orderBy("rn").collect()
+    assert [(-r.score, r.hops, r.dst, r.mid) for r in got] == want
+
+
+def test_paths_meet_half_way(spark):
+    # three hops from the left, and a thousand neighbours of the right end that the left one's walk never needs
+    rows = [("a", "b"), ("b", "c"), ("d", "c"), ("e", "e")] + [("d", f"x{i}") for i in range(1000)]
+    edges = spark.createDataFrame([(*r, 1.0) for r in rows], "src string, dst string, weight double")
+    pairs = spark.createDataFrame([("a", "d"), ("a", "x7"), ("a", "a"), ("a", "e"), ("d", "a")], "src string, dst string")
+    assert {tuple(r) for r in g.shortest_paths(edges, pairs, 6).collect()} == {("a", "d", 3), ("a", "x7", 4), ("d", "a", 3)}
+    assert g.shortest_paths(edges, pairs, 2).count() == 0
+
+
+def test_copies_of_names_are_no_pairs(spark):
+    rows = [(i, n, "Company", s) for i, (n, s) in enumerate([("Acme 12 Ltd", None)] * 50 + [("Acme 12 Lt", None), ("天地科技", ["x"]), ("地天科技", ["x"]), ("天地科技", ["y"]), ("平", None), ("平", None), ("Zed", None)])]
+    names = spark.createDataFrame(rows, "id long, name string, kind string, sectors array<string>")
+    classes = g.entity_classes(names).collect()
+    assert len(classes) == 49 + 2  # copies of the first name, its near one, and the two names of the same characters and sector
+    first = {r.id: r.id for r in names.collect()} | {r.b: r.a for r in classes if r.link == "copy"}
+    near = {(r.a, r.b) for r in classes if r.link == "near"}
+    linked = {(a, b) for a in first for b in first if a < b and ((first[a] == first[b]) or (min(first[a], first[b]), max(first[a], first[b])) in near)}
+    assert linked == {tuple(r) for r in g.entity_candidates(names).collect()}
