@@ -5,10 +5,14 @@ import itertools
 import re
 
 import duckdb
+from pyspark.sql import functions as F
 
 from ledgerloom.operators import graph as g
 from ledgerloom.operators import packages as p
 from ledgerloom.plans import registry
+from ledgerloom.sources import tables as t
+
+SF = "/root/testdata/sf0.001"
 
 
 def plan(df) -> str:
@@ -83,3 +87,10 @@ def test_copies_of_names_are_no_pairs(spark):
     near = {(r.a, r.b) for r in classes if r.link == "near"}
     linked = {(a, b) for a in first for b in first if a < b and ((first[a] == first[b]) or (min(first[a], first[b]), max(first[a], first[b])) in near)}
     assert linked == {tuple(r) for r in g.entity_candidates(names).collect()}
+
+
+def test_tasks_of_edges_grow_with_the_lines(spark, monkeypatch):
+    monkeypatch.setattr(t, "TASK_ROWS", 100, raising=False)
+    used = t.edges(spark, SF).filter("rel = 'USED_BY'").select("src", "dst", "weight")
+    held = used.groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.sum("count")).first()
+    assert held[1] > 5_000 and held[0] < 600
