@@ -71,13 +71,13 @@ def _newest(rows: DataFrame, at: str) -> str:
     return rows.agg(F.date_format(F.max(at), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("m")).first().m or "1970-01-01"
 
 
-def _fed(spark: SparkSession, rows: DataFrame, at: str, folder: str) -> DataFrame:
-    """A stream of ``rows`` in three parts, in the order of time; a part is written when the one before is there."""
+def _fed(spark: SparkSession, rows: DataFrame, at: str, folder: str, run: Callable[[DataFrame], None]) -> None:
+    """Runs the stream over ``rows`` in three parts, in the order of time; a part is written when the one before is done."""
     low, high = rows.agg(F.percentile_approx(F.unix_micros(at), [1 / 3, 2 / 3])).first()[0] or (0, 0)
     part = F.when(F.unix_micros(at) <= low, 0).when(F.unix_micros(at) <= high, 1).otherwise(2)
     for k in range(3):
-        rows.filter(part == k).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        rows.filter(part == k).write.mode("append").parquet(folder)
+        run(spark.readStream.schema(rows.schema).parquet(folder))
 
 
 @query("sm3_healing_ledger", _ledger_sql("max(ts)"))
@@ -90,13 +90,16 @@ def healing_ledger(spark, sf):
 def ledger_stream(spark, sf):
     """The ledger as a stateful stream left it, ten minutes behind the newest event."""
     folder, events = shared_folder(spark, "ledger"), _job_events(spark, sf)
-    stream = _fed(spark, events, "at", f"{folder}/in")
-    was = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    try:
+
+    def run(stream):
         changed = l.ledger_stream(stream, "10 minutes", STALE).writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
         # a batch that is replayed overwrites its own folder
         changed.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/out/batch={n:06d}")).start().awaitTermination()
+
+    was = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    try:
+        _fed(spark, events, "at", f"{folder}/in", run)
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", was) if was else spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     out = spark.read.parquet(f"{folder}/out")
@@ -124,7 +127,10 @@ def run_sessions(spark, sf):
 def run_totals_stream(spark, sf):
     """Runs that the watermark, an hour behind the newest event, has closed."""
     folder = shared_folder(spark, "runs")
-    stream = _fed(spark, _run_events(spark, sf), "at", f"{folder}/in")
-    closed = l.run_totals(stream, delay="1 hour").writeStream.outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
-    closed.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/out/batch={n:06d}")).start().awaitTermination()
+
+    def run(stream):
+        closed = l.run_totals(stream, delay="1 hour").writeStream.outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+        closed.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/out/batch={n:06d}")).start().awaitTermination()
+
+    _fed(spark, _run_events(spark, sf), "at", f"{folder}/in", run)
     return spark.read.parquet(f"{folder}/out").drop("batch")

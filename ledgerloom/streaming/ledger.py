@@ -23,6 +23,8 @@ FINAL = (DONE, FAILED, SKIPPED)
 #: Minutes after which a run counts as lost, failures after which a job is failed, and what is noted then.
 STALE_MINUTES, MOST_FAILURES = 30, 3
 LOST = "stale running job reset"
+#: Buckets of jobs that a stream keeps together.
+BUCKETS = 512
 
 _ROW = "status string, failures int, healed int, locked_by string, locked_at long, error string, updated_at long"
 _EVENTS = "us long, seq long, event string, worker string, error string"
@@ -104,66 +106,84 @@ def job_ledger(events: DataFrame, as_of: dt.datetime | str, stale_minutes: int =
 
 
 class LedgerProcessor(StatefulProcessor):
-    """Keeps a job's row and the events that the watermark hasn't reached; emits the row when it has changed."""
+    """Keeps the jobs of a bucket, the events that the watermark hasn't reached, and which runs last; emits rows that have changed.
+
+    A job costs a look-up and an update of its row when it changes.  Lists, timers and frames come once a bucket: once a job
+    they would cost more than the fold.
+    """
 
     def __init__(self, stale_minutes: int = STALE_MINUTES, most_failures: int = MOST_FAILURES):
         self.stale, self.most_failures = stale_minutes * MINUTE, most_failures
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.row = handle.getValueState("row", _ROW)
-        self.waiting = handle.getListState("waiting", _EVENTS)
+        self.rows = handle.getMapState("rows", "job long", _ROW)
+        self.waiting = handle.getListState("waiting", f"job long, {_EVENTS}")
+        self.running = handle.getListState("running", "job long, locked_at long")
 
     def _timer(self, at: int, more: int = 0) -> None:
         """At the first whole millisecond that isn't before ``at``, or some later."""
         self.handle.registerTimer(-(-at // 1000) + more)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = [tuple(_plain(r).values()) for frame in rows for r in frame[list(_COLUMNS)].to_dict("records")]
-        self.waiting.appendList(new)
-        self._timer(min(us for us, *_ in new))
+        first = None
+        for frame in rows:
+            new = frame[["job", *_COLUMNS]].astype(object)
+            self.waiting.appendList(list(new.where(new.notna(), None).itertuples(index=False, name=None)))
+            low = int(frame["us"].min())
+            first = low if first is None else min(first, low)
+        self._timer(first)
         yield _frame([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        was = dict(zip(_FIELDS, self.row.get())) if self.row.exists() else None
-        held = [dict(zip(_COLUMNS, x)) for x in self.waiting.get()]
-        due = sorted((x for x in held if x["us"] <= now), key=lambda x: (x["us"], x["seq"]))
-        job = was
-        for x in due:
-            job = advance(job, x, self.stale, self.most_failures)
-        if due:
-            left = [tuple(x.values()) for x in held if x["us"] > now]
-            if left:
-                self.waiting.put(left)
-                self._timer(min(us for us, *_ in left))
+        due, left = {}, []
+        for job, *x in self.waiting.get():
+            if x[0] <= now:
+                due.setdefault(job, []).append(dict(zip(_COLUMNS, x)))
             else:
-                self.waiting.clear()
-        if job:
+                left.append((job, *x))
+        runs = dict(self.running.get())
+        lost = [job for job, at in runs.items() if now - at > self.stale]
+        out = []
+        for name in {**due, **dict.fromkeys(lost)}:
+            held = self.rows.getValue((name,))
+            was = job = dict(zip(_FIELDS, held)) if held else None
+            for x in sorted(due.get(name, ()), key=lambda x: (x["us"], x["seq"])):
+                job = advance(job, x, self.stale, self.most_failures)
             job = heal(job, now, self.stale)
-        if not job or job == was:
-            yield _frame([])
-            return
-        self.row.update(tuple(job[f] for f in _FIELDS))
-        if job["status"] == RUNNING:
-            self._timer(job["locked_at"] + self.stale, 1)
-        yield _frame([(key[0], *(job[f] for f in _FIELDS))])
+            runs.pop(name, None)
+            if job["status"] == RUNNING:
+                runs[name] = job["locked_at"]
+            if job != was:
+                row = tuple(job[f] for f in _FIELDS)
+                self.rows.updateValue((name,), row)
+                out.append((name, *row))
+        for state, items, at, more in ((self.waiting, left, min((x[1] for x in left), default=None), 0), (self.running, list(runs.items()), min(runs.values(), default=0) + self.stale, 1)):
+            if due or lost:
+                if items:
+                    state.put(items)
+                    self._timer(at, more)
+                else:
+                    state.clear()
+        yield _frame(out)
 
     def close(self) -> None:
         pass
 
 
-def ledger_stream(events: DataFrame, delay: str = "10 minutes", stale_minutes: int = STALE_MINUTES, most_failures: int = MOST_FAILURES) -> DataFrame:
+def ledger_stream(events: DataFrame, delay: str = "10 minutes", stale_minutes: int = STALE_MINUTES, most_failures: int = MOST_FAILURES, buckets: int = BUCKETS) -> DataFrame:
     """Changed rows of the ledger, as the watermark (``delay`` behind the newest event) passes events and lost runs.
 
     The last row of each job is the batch ledger at the watermark.  Events older than the watermark when they come are
-    dropped.  Needs the RocksDB state store.
+    dropped.  Jobs are dealt into ``buckets``, which stay as they are for a checkpoint's life.  Needs the RocksDB state store.
     """
     # the process that prepares a stateful query on the driver's side has no shipped files, so this module goes by value
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     rows = events.filter("event is not null").withColumn("at", F.col("at").cast("timestamp"))
     rows = rows.select("job", "at", F.unix_micros("at").alias("us"), *_COLUMNS[1:]).withWatermark("at", delay)
-    return _timed(rows.groupBy("job").transformWithStateInPandas(LedgerProcessor(stale_minutes, most_failures), f"job long, {_ROW}", "Update", "EventTime"))
+    rows = rows.withColumn("bucket", F.pmod(F.hash("job"), F.lit(buckets)))
+    return _timed(rows.groupBy("bucket").transformWithStateInPandas(LedgerProcessor(stale_minutes, most_failures), f"job long, {_ROW}", "Update", "EventTime"))
 
 
 def run_totals(events: DataFrame, gap: str = "30 minutes", delay: str | None = None) -> DataFrame:

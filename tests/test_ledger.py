@@ -128,3 +128,15 @@ def test_run_totals(spark, tmp_path):
     mark = rows[-1][1] - 60 * MINUTE
     assert sorted(tuple(r) for r in got) == [r for r in plain_totals(rows, 30 * MINUTE) if r[2] + 30 * MINUTE <= mark]
     assert not any(r.last_error == "late" for r in got)
+
+
+def test_jobs_of_one_bucket_keep_apart(rocks, tmp_path):
+    """Forty jobs in two buckets, whose timers, lists and rows they share, against the batch."""
+    rows = sorted((r for r in made(3) if r[3]), key=lambda r: r[1])
+    source, state, got = str(tmp_path / "in"), str(tmp_path / "state"), []
+    for part in range(2):
+        rocks.createDataFrame(rows[part * 260 : part * 260 + 260], SCHEMA).write.mode("append").parquet(source)
+        out = l.ledger_stream(rocks.readStream.schema(SCHEMA).parquet(source), "10 minutes", buckets=2).writeStream.outputMode("update").option("checkpointLocation", state).trigger(availableNow=True)
+        out.foreachBatch(lambda df, _: got.extend(df.collect())).start().awaitTermination()
+    want = l.job_ledger(rocks.createDataFrame(rows[:520], SCHEMA), max(r[1] for r in rows[:520]) - 10 * MINUTE).collect()
+    assert final(got) == sorted(tuple(r) for r in want)
