@@ -94,3 +94,12 @@ def test_tasks_of_edges_grow_with_the_lines(spark, monkeypatch):
     used = t.edges(spark, SF).filter("rel = 'USED_BY'").select("src", "dst", "weight")
     held = used.groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.sum("count")).first()
     assert held[1] > 5_000 and held[0] < 600
+
+
+def test_chains_by_part_exchange_lines_and_orders_only(spark):
+    for name in ("kg9_two_hops_whole", "sg5_path_view_whole"):
+        assert plan(registry.QUERIES[name](spark, SF)).count("Exchange hashpartitioning") <= 4
+    into, out = t.part_edges(spark, SF)
+    edges = t.edges(spark, SF).select("src", "dst", "weight")
+    split = into.select("src", F.col("mid").alias("dst"), F.col("first").alias("weight")).union(out.select(F.concat(F.lit("P:"), "part"), "dst", "second"))
+    assert split.exceptAll(edges).count() == 0 and split.count() == edges.count()
