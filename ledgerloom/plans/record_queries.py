@@ -133,8 +133,7 @@ _BEST = """best AS (SELECT src, mid, dst, hops, rels, weights FROM (
 
 
 def best_paths(spark, sf):
-    edges = t.edges(spark, sf)
-    return g.path_details(g.paths_to_two(edges, None, 20, starts=edges.filter("src like 'C:%'")), edges)
+    return g.detailed_paths(t.edges(spark, sf), 20, F.col("src").startswith("C:"))
 
 
 @query("sg5_paths", f"""{with_(EDGES, _BEST)} SELECT src AS subject, array_to_string(list_filter([src, mid, dst], lambda x: x IS NOT NULL), '>') AS nodes, hops::INTEGER AS hops,

@@ -73,8 +73,7 @@ def evidence_stream(spark, sf):
     folder = shared_folder(spark, "evidence")
     rows = payloads(spark, sf)
     companies = t.table(spark, sf, "supplier").count()
-    edges = t.edges(spark, sf)
-    paths = g.path_details(g.paths_to_two(edges, None, 20, starts=edges.filter("src like 'C:%'")), edges)
+    paths = g.detailed_paths(t.edges(spark, sf), 20, F.col("src").startswith("C:"))
     paths.write.parquet(f"{folder}/paths")
     rows.repartition(4).write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")

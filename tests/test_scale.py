@@ -103,3 +103,11 @@ def test_chains_by_part_exchange_lines_and_orders_only(spark):
     edges = t.edges(spark, SF).select("src", "dst", "weight")
     split = into.select("src", F.col("mid").alias("dst"), F.col("first").alias("weight")).union(out.select(F.concat(F.lit("P:"), "part"), "dst", "second"))
     assert split.exceptAll(edges).count() == 0 and split.count() == edges.count()
+
+
+def test_best_paths_write_their_edges_once(spark):
+    rows = [("s", f"m{i}", "SUPPLIES", 0.5 + i / 100) for i in range(6)] + [(f"m{i}", f"z{j}", "USED_BY", 0.2 + j / 10) for i in range(6) for j in range(3)]
+    paths = g.detailed_paths(spark.createDataFrame(rows, "src string, dst string, rel string, weight double"), 4, F.col("src") == "s")
+    assert "Scan ExistingRDD" not in plan(paths) and "FileScan" in plan(paths)
+    got = {(tuple(r.nodes), tuple(r.rels), tuple(r.weights)) for r in paths.collect()}
+    assert got == {(("s", m, "z2"), ("SUPPLIES", "USED_BY"), (w, 0.4)) for m, w in (("m5", 0.55), ("m4", 0.54), ("m3", 0.53), ("m2", 0.52))}
