@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,17 +120,20 @@ def neighbours(edges: DataFrame, rels: list[str] | None, least: float, top: int)
     return e.select("src", "dst", "rel", "weight", place.alias("place")).filter(F.col("place") <= top)
 
 
-def co_occurrences(mentions: DataFrame) -> DataFrame:
+def co_occurrences(mentions: DataFrame, tasks: int | None = None, order: Callable[[Column], Column] = lambda c: c) -> DataFrame:
     """(src, dst, kind, weight, docs): companies of one document with each other (0.6) and with its products (0.7).
 
-    ``mentions``: doc, id, type; a name that a document repeats counts once.
+    ``mentions``: doc, company, product, either null; a name that a document repeats counts once.  A document's names are gathered
+    once and paired where they are, so no document meets itself in a join; ``order`` puts the companies of a pair in order.
     """
-    m = mentions.select("doc", "id", "type").distinct()
-    a = m.filter("type = 'Company'").select("doc", F.col("id").alias("src"))
-    peers = a.join(a.withColumnRenamed("src", "dst"), "doc").filter("src < dst").withColumn("kind", F.lit("peer"))
-    makes = a.join(m.filter("type = 'Product'").select("doc", F.col("id").alias("dst")), "doc").withColumn("kind", F.lit("product"))
-    both = peers.select("src", "dst", "kind").unionByName(makes.select("src", "dst", "kind"))
-    return both.groupBy("src", "dst", "kind").agg(F.when(F.first("kind") == "peer", 0.6).otherwise(0.7).alias("weight"), F.count(F.lit(1)).alias("docs"))
+    dealt = mentions.repartition(*([tasks] if tasks else []), "doc").filter(F.col("doc").isNotNull())
+    each = dealt.groupBy("doc").agg(F.collect_set("company").alias("companies"), F.collect_set("product").alias("products"))
+    each = each.select("companies", "products", F.explode("companies").alias("src"))
+    peers = F.transform(F.filter("companies", lambda c: order(c) > order(F.col("src"))), lambda c: F.struct(c.alias("dst"), F.lit("peer").alias("kind")))
+    makes = F.transform("products", lambda p: F.struct(p.alias("dst"), F.lit("product").alias("kind")))
+    pairs = each.select("src", F.explode(F.concat(peers, makes)).alias("x")).select("src", "x.dst", "x.kind")
+    counted = pairs.groupBy("src", "dst", "kind").agg(F.count(F.lit(1)).alias("docs"))
+    return counted.select("src", "dst", "kind", F.when(F.col("kind") == "peer", 0.6).otherwise(0.7).alias("weight"), "docs")
 
 
 def point_text(collection: str, cut_at: int = 7000) -> Column:

@@ -161,9 +161,11 @@ def heaviest_neighbours(spark, sf):
     p AS (SELECT a.id AS src, b.id AS dst, CASE b.type WHEN 'Company' THEN 'peer' ELSE 'product' END AS kind FROM m a JOIN m b ON a.doc = b.doc AND a.type = 'Company' AND (b.type = 'Product' OR a.id < b.id))
     SELECT src, dst, kind, CASE kind WHEN 'peer' THEN 0.6 ELSE 0.7 END::DOUBLE AS weight, count(*) AS docs FROM p GROUP BY 1, 2, 3""")
 def company_products(spark, sf):
-    lines = t.table(spark, sf, "lineitem")
-    companies = lines.select(F.col("l_orderkey").alias("doc"), F.concat(F.lit("C:"), "l_suppkey").alias("id"), F.lit("Company").alias("type"))
-    return op.co_occurrences(companies.unionByName(lines.select(F.col("l_orderkey").alias("doc"), F.concat(F.lit("P:"), "l_partkey").alias("id"), F.lit("Product").alias("type"))))
+    # numbers are gathered and counted, and the names that companies are put in order by come last
+    lines = t.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_suppkey").alias("company"), F.col("l_partkey").alias("product"))
+    name = lambda c: F.concat(F.lit("C:"), c)
+    out = op.co_occurrences(lines, tasks=t.tasks(lines), order=name)
+    return out.select(name(F.col("src")).alias("src"), F.when(F.col("kind") == "peer", name(F.col("dst"))).otherwise(F.concat(F.lit("P:"), "dst")).alias("dst"), "kind", "weight", "docs")
 
 
 @query("vc1_point_texts", f"""{with_(STOCKS, ANNOUNCEMENTS)} SELECT 'entities' AS collection, code::VARCHAR AS point, name || ' ' || industry AS text FROM stocks

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import graph as g
 from ledgerloom.operators import packages as p
-from ledgerloom.plans import registry
+from ledgerloom.operators import records as r
+from ledgerloom.plans import registry, rule_queries
 from ledgerloom.sources import tables as t
 
 SF = "/root/testdata/sf0.001"
@@ -111,3 +112,16 @@ def test_best_paths_write_their_edges_once(spark):
     assert "Scan ExistingRDD" not in plan(paths) and "FileScan" in plan(paths)
     got = {(tuple(r.nodes), tuple(r.rels), tuple(r.weights)) for r in paths.collect()}
     assert got == {(("s", m, "z2"), ("SUPPLIES", "USED_BY"), (w, 0.4)) for m, w in (("m5", 0.55), ("m4", 0.54), ("m3", 0.53), ("m2", 0.52))}
+
+
+def test_documents_are_paired_without_a_join(spark):
+    mentions = [(1, 9, 5), (1, 10, 5), (1, 9, 6), (2, 9, None), (2, 10, None), (None, 1, 1)]
+    out = r.co_occurrences(spark.createDataFrame(mentions, "doc long, company long, product long"))
+    assert {tuple(x) for x in out.collect()} == {(9, 10, "peer", 0.6, 2), (9, 5, "product", 0.7, 1), (9, 6, "product", 0.7, 1), (10, 5, "product", 0.7, 1), (10, 6, "product", 0.7, 1)}
+    assert "Join" not in plan(registry.QUERIES["jn13_company_products"](spark, SF))
+
+
+def test_signal_feed_keeps_all_cores_at_work(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(rule_queries, "shared_folder", lambda *_: str(tmp_path / "feed"))
+    registry.QUERIES["sm2_signal_stream"](spark, SF)
+    assert len(list((tmp_path / "feed" / "in").glob("part-*.parquet"))) >= 2 * spark.sparkContext.defaultParallelism
