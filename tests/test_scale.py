@@ -2,6 +2,7 @@
 
 import datetime as dt
 import itertools
+import random
 import re
 
 import duckdb
@@ -129,3 +130,31 @@ def test_signal_feed_keeps_all_cores_at_work(spark, tmp_path, monkeypatch):
 
 def test_concept_figures_are_made_once_for_a_set(spark):
     assert re.search(r"min\(code#", plan(registry.QUERIES["jn6_scores_with_concepts"](spark, SF)))
+
+
+def test_paths_through_parts_are_those_of_all_edges(spark):
+    r = random.Random(13)
+    weight = lambda: r.choice([0.5, 0.50004, 0.50008, 0.9, r.randrange(100) / 100])
+    into = [(p, c, weight()) for c in range(12) for p in range(60) if r.random() < 0.6] + [(7, None, 0.8), (None, 3, 0.95), (None, None, 0.7)]
+    # parts from 45 have no edges out, and customers 100 to 139 give part 0 and part 1 many ties
+    out = [(p, u, weight()) for p in range(45) for u in range(30) if r.random() < 0.4] + [(p, u, 0.9) for p in (0, 1) for u in range(100, 140)] + [(None, 5, 0.9), (None, 6, 0.1)]
+    into, out = spark.createDataFrame(into, "part long, of long, first double"), spark.createDataFrame(out, "part long, to long, second double")
+    kinds = {"of": "C:", "part": "P:", "to": "U:"}
+    name = lambda kind, number: F.concat(F.lit(kinds[kind]), number)
+    edges = into.select(name("of", F.col("of")).alias("src"), name("part", F.col("part")).alias("dst"), F.col("first").alias("weight"))
+    edges = edges.union(out.select(name("part", F.col("part")), name("to", F.col("to")), "second"))
+    got = g.paths_through(into, out, 20, 4, name)
+    want = g.paths_to_two(edges, None, 20).select(got.columns)
+    assert got.dtypes == want.dtypes
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert got.filter("src is null and hops = 2").count() and got.filter("src is null and hops = 1").count() == 4
+
+
+def test_best_paths_of_all_nodes_exchange_lines_and_sources_only(spark):
+    paths = registry.QUERIES["kg10_best_paths_whole"](spark, SF)
+    paths.collect()
+    done = plan(paths).split("== Initial Plan ==")[0]
+    assert "/graph-" not in done
+    exchanges = [line for line in done.splitlines() if "Exchange hashpartitioning" in line and "ReusedExchange" not in line]
+    # lines by part, lines and orders by order, their join by part, edges into parts by source, the chosen by part and by source
+    assert 1 < len(exchanges) <= 7 + 2  # two of them of the lines without a part
