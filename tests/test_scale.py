@@ -158,3 +158,11 @@ def test_best_paths_of_all_nodes_exchange_lines_and_sources_only(spark):
     exchanges = [line for line in done.splitlines() if "Exchange hashpartitioning" in line and "ReusedExchange" not in line]
     # lines by part, lines and orders by order, their join by part, edges into parts by source, the chosen by part and by source
     assert 1 < len(exchanges) <= 7 + 2  # two of them of the lines without a part
+
+
+def test_heaviest_edges_are_ranked_where_their_lines_are(spark):
+    top = t.heaviest_edges(spark, SF, 3)
+    # lines by supplier, lines and orders by order, their join by part: as many tasks as the lines need, and no exchange of edges
+    assert plan(top).count("Exchange hashpartitioning") == plan(top).count("REPARTITION_BY_NUM") == 4
+    want = g.heaviest(t.edges(spark, SF).select("src", "dst", "weight"), 3).drop("rn")
+    assert top.exceptAll(want).count() == 0 and top.count() == want.count() > 500
