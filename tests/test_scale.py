@@ -166,3 +166,25 @@ def test_heaviest_edges_are_ranked_where_their_lines_are(spark):
     assert plan(top).count("Exchange hashpartitioning") == plan(top).count("REPARTITION_BY_NUM") == 4
     want = g.heaviest(t.edges(spark, SF).select("src", "dst", "weight"), 3).drop("rn")
     assert top.exceptAll(want).count() == 0 and top.count() == want.count() > 500
+
+
+def test_steps_of_a_walk_are_dealt_as_the_edges_need(spark, monkeypatch):
+    monkeypatch.setattr(t, "TASK_ROWS", 100)
+    plans, cut = [], g.cut
+    monkeypatch.setattr(g, "cut", lambda df: plans.append(plan(df)) or cut(df))
+    rows = [(f"a{i}", f"b{(i * j) % 300}") for i in range(300) for j in range(1, 5)] + [(f"b{i}", f"c{i % 200}") for i in range(300)]
+    edges = spark.createDataFrame(rows, "src string, dst string").withColumn("weight", F.lit(1.0))
+    seeds = spark.createDataFrame([(f"a{i}",) for i in range(1, 300)], "id string")
+    want = {f"a{i}": 0 for i in range(1, 300)} | {b: 1 for a, b in rows if a[0] == "a" and a != "a0"}
+    want |= {c: 2 for b, c in rows if want.get(b) == 1}
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for most in (limit, "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+            plans.clear()
+            assert {r.id: r.hops for r in g.reach(edges, seeds, 3).collect()} == want
+            steps = [p for p in plans if "Join" in p]
+            dealt = [int(n) for p in steps for n in re.findall(r"Exchange hashpartitioning\([^)]*, (\d+)\)", p)]
+            assert len(steps) == 3 and dealt and set(dealt) == {15}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
