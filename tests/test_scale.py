@@ -91,6 +91,20 @@ def test_copies_of_names_are_no_pairs(spark):
     assert linked == {tuple(r) for r in g.entity_candidates(names).collect()}
 
 
+def test_pairs_of_names_are_all_there(spark):
+    rows = [(i, n, "Company", s) for i, (n, s) in enumerate([("Acme 12 Ltd", None)] * 9 + [("Acme 12 Lt", None), ("ACME 12 ltd", None), ("天地科技", ["x"]), ("地天科技", ["x"]), ("天地科技", ["y"]), ("平", None), ("平", None), ("Zed", None)])]
+    names = spark.createDataFrame(rows, "id long, name string, kind string, sectors array<string>")
+    for pairs, classes, want in ((g.entity_pairs, g._entity_classes(names, None), g.entity_candidates(names)), (g.similar_name_pairs, g._classes(names, F.lower("name"), g.similar_names), g.similar_names(names))):
+        want = sorted(tuple(r) for r in want.collect())
+        assert sorted(tuple(r) for r in pairs(names).collect()) == want and (0, 8) in want and (3, 9) in want
+        assert sorted(tuple(r) for r in g._class_pairs(*classes, size=2).collect()) == want
+    for name in ("kg6_similar_names", "kg6_entity_candidates"):
+        assert registry.QUERIES[name](spark, SF).columns == ["a", "b"]
+    # all pairs of the four spellings of one set of characters, not only those with the first
+    names = spark.createDataFrame([(i, n, "Company", None) for i, n in enumerate(("天地科技", "地天科技", "科技天地", "技科天地"))], "id long, name string, kind string, sectors array<string>")
+    assert sorted(tuple(r) for r in g.entity_pairs(names).collect()) == [(a, b) for a in range(4) for b in range(a + 1, 4)]
+
+
 def test_tasks_of_edges_grow_with_the_lines(spark, monkeypatch):
     monkeypatch.setattr(t, "TASK_ROWS", 100, raising=False)
     used = t.edges(spark, SF).filter("rel = 'USED_BY'").select("src", "dst", "weight")
