@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,25 +48,57 @@ def _any(rels: Column, names: tuple[str, ...]) -> Column:
     return F.arrays_overlap(rels, F.array(*[F.lit(n) for n in names]))
 
 
-def path_propagation(signals: DataFrame, paths: DataFrame) -> DataFrame:
+def _read(paths: DataFrame) -> DataFrame:
+    """What every signal of a subject has in common on its paths of one or two edges; paths that read alike once."""
+    kept = paths.filter(F.size("rels").between(1, 2) & (F.size("nodes") == F.size("rels") + 1))
+    clipped = F.transform("weights", lambda w: F.greatest(F.lit(0.0), F.least(w, F.lit(1.0))))
+    edge = F.aggregate(clipped, F.lit(0.0), lambda s, w: s + w) / F.size("weights")
+    steps = F.zip_with("rels", F.slice("nodes", 2, F.size("nodes")), lambda rel, node: F.concat(F.lit("-["), rel, F.lit("]-> "), node))
+    by_rel = F.when(_any(F.col("rels"), UPSTREAM), "supply_chain_validation").when(_any(F.col("rels"), DOWNSTREAM), "customer_demand_validation").when(_any(F.col("rels"), COMPETITIVE), "competitive_readthrough")
+    out = kept.select("subject", F.element_at("nodes", -1).alias("target"), F.concat_ws(" ", F.col("nodes")[0], steps).alias("relation_path"), by_rel.alias("by_rel"), F.size("rels").alias("hops"), edge.alias("edge"))
+    return out.dropDuplicates(["subject", "target", "relation_path"])
+
+
+def _propagated(path: Callable[[str], Column]) -> list[Column]:
+    """The columns of a propagation: a signal's own (kind, polarity, strength, confidence) with ``path``'s of ``_read``."""
+    second = F.when(F.col("kind") == "risk", "risk_contagion").when(path("by_rel").isNotNull(), path("by_rel")).when(F.col("kind").isin(*INDUSTRY_KINDS), "industry_readthrough").otherwise("expectation_gap_candidate_unverified")
+    direction = F.when((F.col("polarity") == "risk") | (second == "risk_contagion"), "risk").when(second == "competitive_readthrough", "uncertain").otherwise("beneficiary")
+    horizon = F.when(F.col("kind") == "risk", "immediate").when(F.col("kind").isin(*SHORT_KINDS), "short").when(second == "industry_readthrough", "medium").otherwise("short")
+    unit = lambda c: F.greatest(F.lit(0.0), F.least(c, F.lit(1.0)))
+    score = unit(F.col("confidence")) * SOURCE + unit(F.col("strength") / 100) * STRENGTH + path("edge") * EDGES - SECOND * (path("hops") - 1)
+    return [path("target").alias("target"), path("relation_path").alias("relation_path"), second.alias("secondary_type"), direction.alias("direction"), horizon.alias("horizon"), path("hops").alias("hops"), unit(score).alias("confidence")]
+
+
+def path_propagation(signals: DataFrame, paths: DataFrame, also: tuple[str, ...] = (), tasks: int | None = None) -> DataFrame:
     """A row for each signal (signal_id, subject, kind, polarity, strength, confidence) and path of its subject.
 
     ``paths``: subject, nodes, rels, weights (one or two edges).  Each path is scored by itself; paths that read alike
-    count once.  A signal without any path isn't here: see ``without_path``.
+    count once, and so do signals: what is exchanged is signals and paths, and no propagation.  A signal without any path isn't
+    here: see ``without_path``.  ``also``: columns of the signals to keep.  ``tasks``: rows come dealt by subject over so many.
     """
-    both = signals.join(paths.filter(F.size("rels").between(1, 2) & (F.size("nodes") == F.size("rels") + 1)), "subject")
-    second = F.when(F.col("kind") == "risk", "risk_contagion").when(_any(F.col("rels"), UPSTREAM), "supply_chain_validation").when(_any(F.col("rels"), DOWNSTREAM), "customer_demand_validation")
-    second = second.when(_any(F.col("rels"), COMPETITIVE), "competitive_readthrough").when(F.col("kind").isin(*INDUSTRY_KINDS), "industry_readthrough").otherwise("expectation_gap_candidate_unverified")
-    both = both.withColumn("secondary_type", second)
-    direction = F.when((F.col("polarity") == "risk") | (F.col("secondary_type") == "risk_contagion"), "risk").when(F.col("secondary_type") == "competitive_readthrough", "uncertain").otherwise("beneficiary")
-    horizon = F.when(F.col("kind") == "risk", "immediate").when(F.col("kind").isin(*SHORT_KINDS), "short").when(F.col("secondary_type") == "industry_readthrough", "medium").otherwise("short")
-    clipped = F.transform("weights", lambda w: F.greatest(F.lit(0.0), F.least(w, F.lit(1.0))))
-    edge = F.aggregate(clipped, F.lit(0.0), lambda s, w: s + w) / F.size("weights")
-    unit = lambda c: F.greatest(F.lit(0.0), F.least(c, F.lit(1.0)))
-    score = unit(F.col("confidence")) * SOURCE + unit(F.col("strength") / 100) * STRENGTH + edge * EDGES - SECOND * (F.size("rels") - 1)
-    steps = F.zip_with("rels", F.slice("nodes", 2, F.size("nodes")), lambda rel, node: F.concat(F.lit("-["), rel, F.lit("]-> "), node))
-    out = both.select("signal_id", F.element_at("nodes", -1).alias("target"), F.concat_ws(" ", F.col("nodes")[0], steps).alias("relation_path"), "secondary_type", direction.alias("direction"), horizon.alias("horizon"), F.size("rels").alias("hops"), unit(score).alias("confidence"))
-    return out.dropDuplicates(["signal_id", "target", "relation_path"])
+    once, read = signals.dropDuplicates(["signal_id", "subject"]), _read(paths)
+    if tasks:
+        once, read = signals.repartition(tasks, "subject").dropDuplicates(["signal_id", "subject"]), read.repartition(tasks, "subject")
+    return once.join(read, "subject").select("signal_id", *also, *_propagated(F.col))
+
+
+def path_details(signals: DataFrame, paths: DataFrame, stated: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+    """(signal_id, kind, propagations): each signal of ``path_propagation`` with all of its propagations (target, relation_path,
+    direction, confidence as ``stated``), the most confident first; an empty list without any.
+
+    A subject's paths are listed once, and every signal's propagations are made from that list, so none is exchanged.
+    """
+    parts = ("target", "relation_path", "by_rel", "hops", "edge")
+    lists = _read(paths).groupBy("subject").agg(F.collect_list(F.struct(*parts)).alias("paths"))
+
+    def one(path: Column) -> Column:
+        by = {c: path[c] for c in parts}
+        target, relation_path, _, direction, _, _, confidence = _propagated(by.__getitem__)
+        return F.struct((-stated(confidence)).alias("order"), target, relation_path, direction, stated(confidence).alias("confidence"))
+
+    every = F.transform(F.array_sort(F.transform("paths", one)), lambda x: x.dropFields("order"))
+    joined = signals.dropDuplicates(["signal_id", "subject"]).join(lists, "subject", "left").select("signal_id", "kind", every.alias("propagations"))
+    return joined.withColumn("propagations", F.coalesce("propagations", F.array().cast(joined.schema["propagations"].dataType)))
 
 
 def without_path(signals: DataFrame, paths: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from ledgerloom.operators import graph as g
 from ledgerloom.operators import records as op
 from ledgerloom.operators.stages import stage_moves
 from ledgerloom.plans.bindings import ANNOUNCEMENTS, EDGES, STOCKS, with_
+from ledgerloom.plans.rule_queries import company_paths
 from ledgerloom.plans.stage_queries import MOVED, notes
 from ledgerloom.sources import tables as t
 
@@ -132,14 +133,10 @@ _BEST = """best AS (SELECT src, mid, dst, hops, rels, weights FROM (
         UNION ALL SELECT a.src, a.dst, b.dst, round(a.weight + b.weight, 4), 2, [a.rel, b.rel], [a.weight, b.weight] FROM edges a JOIN edges b ON a.dst = b.src WHERE a.src LIKE 'C:%') QUALIFY row_number() OVER (PARTITION BY src ORDER BY score DESC, hops, dst, mid) <= 20)"""
 
 
-def best_paths(spark, sf):
-    return g.detailed_paths(t.edges(spark, sf), 20, F.col("src").startswith("C:"))
-
-
 @query("sg5_paths", f"""{with_(EDGES, _BEST)} SELECT src AS subject, array_to_string(list_filter([src, mid, dst], lambda x: x IS NOT NULL), '>') AS nodes, hops::INTEGER AS hops,
     CASE WHEN hops = 1 THEN src || '|' || rels[1] || '|' || dst || '|' || printf('%.4f', weights[1]) ELSE src || '|' || rels[1] || '|' || mid || '|' || printf('%.4f', weights[1]) || ';' || mid || '|' || rels[2] || '|' || dst || '|' || printf('%.4f', weights[2]) END AS edges FROM best""")
 def paths(spark, sf):
-    view = op.path_view(best_paths(spark, sf))
+    view = op.path_view(company_paths(spark, sf))
     shown = F.transform("edges", lambda e: F.concat_ws("|", e["src"], e["rel"], e["tgt"], F.format_string("%.4f", e["weight"])))
     return view.select("subject", F.array_join("nodes", ">").alias("nodes"), "hops", F.array_join(shown, ";").alias("edges"))
 
@@ -147,7 +144,7 @@ def paths(spark, sf):
 @query("kg20_path_edge_scores", f"""{with_(EDGES, _BEST)}, e AS (SELECT src AS f, coalesce(mid, dst) AS t, 2 AS d FROM best UNION ALL SELECT mid, dst, 3 FROM best WHERE hops = 2)
     SELECT least(f, t) AS a, greatest(f, t) AS b, round(sum(0.8 / d) * 1.000000000001, 6) AS score FROM e GROUP BY 1, 2""")
 def path_edge_scores(spark, sf):
-    out = op.path_edge_scores(best_paths(spark, sf).select(F.lit(0.8).alias("sim"), "nodes"))
+    out = op.path_edge_scores(company_paths(spark, sf).select(F.lit(0.8).alias("sim"), "nodes"))
     return out.select("a", "b", F.round(F.col("score") * 1.000000000001, 6).alias("score"))
 
 

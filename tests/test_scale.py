@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import graph as g
 from ledgerloom.operators import packages as p
 from ledgerloom.operators import records as r
+from ledgerloom.operators import rule_signals
 from ledgerloom.plans import registry, rule_queries
 from ledgerloom.sources import tables as t
 
@@ -164,6 +165,50 @@ def test_paths_through_parts_are_those_of_all_edges(spark):
     assert got.filter("src is null and hops = 2").count() and got.filter("src is null and hops = 1").count() == 4
 
 
+def test_detailed_paths_through_parts_write_no_edges(spark):
+    r = random.Random(31)
+    weight = lambda: r.choice([0.5, 0.50004, 0.50008, 0.9, r.randrange(100) / 100])
+    into = [(p, c, weight()) for c in range(9) for p in range(50) if r.random() < 0.6] + [(7, None, 0.8), (None, 3, 0.95), (None, None, 0.7)]
+    out = [(p, u, weight()) for p in range(40) for u in range(25) if r.random() < 0.4] + [(0, u, 0.9) for u in range(100, 130)] + [(None, 5, 0.9), (3, None, 0.9)]
+    into, out = spark.createDataFrame(into, "part long, of long, first double"), spark.createDataFrame(out, "part long, to long, second double")
+    kinds = {"of": "C:", "part": "P:", "to": "U:"}
+    name = lambda kind, number: F.concat(F.lit(kinds[kind]), number)
+    edges = into.select(name("of", F.col("of")).alias("src"), name("part", F.col("part")).alias("dst"), F.lit("SUPPLIES").alias("rel"), F.col("first").alias("weight"))
+    edges = edges.union(out.select(name("part", F.col("part")), name("to", F.col("to")), F.lit("USED_BY"), "second"))
+    got = g.detailed_paths_through(into, out, 20, 4, name, ("SUPPLIES", "USED_BY"))
+    want = g.detailed_paths(edges, 20, F.col("src").startswith("C:"))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.select(got.columns).collect())) and got.count() == 180
+    for query in ("sg4_path_signals", "jn8_signal_details", "sg5_paths", "kg20_path_edge_scores"):
+        assert "/graph-" not in plan(registry.QUERIES[query](spark, SF))
+
+
+def _signals_and_paths(spark):
+    kinds = ("risk", "order", "policy", "other")
+    signals = [(f"s{i}", f"c{i % 7}", kinds[i % 4], ("positive", "risk")[i % 3 == 0], i, i / 40) for i in range(40)]
+    paths = [(f"c{c}", [f"c{c}", f"p{k}", f"u{k % 3}"][: 2 + k % 2], ["SUPPLIES", "USED_BY"][: 1 + k % 2], [k / 10, 0.5][: 1 + k % 2]) for c in range(6) for k in range(8)]
+    signals = spark.createDataFrame(signals + signals[:5], "signal_id string, subject string, kind string, polarity string, strength int, confidence double")
+    return signals, spark.createDataFrame(paths + paths[:9], "subject string, nodes array<string>, rels array<string>, weights array<double>")
+
+
+def test_propagations_are_not_exchanged(spark):
+    signals, paths = _signals_and_paths(spark)
+    spread = rule_signals.path_propagation(signals, paths)
+    rows = spread.collect()
+    # signal 6 of 7 has no path; each other one counts once, and so does each path
+    assert len(rows) == len({(r.signal_id, r.target, r.relation_path) for r in rows}) == 8 * sum(i % 7 < 6 for i in range(40))
+    assert not re.search(r"Exchange hashpartitioning\(signal_id[^)]*relation_path", plan(spread))
+
+
+def test_details_are_made_from_a_list_of_paths(spark):
+    signals, paths = _signals_and_paths(spark)
+    stated = lambda c: F.round(c, 1)
+    got = rule_signals.path_details(signals, paths, stated)
+    spread = rule_signals.path_propagation(signals, paths)
+    want = p.signal_details(signals.select("signal_id", "kind").distinct(), spread.withColumn("confidence", stated(F.col("confidence"))))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() == 40
+    assert "explode" not in plan(got).lower() and not re.search(r"Exchange hashpartitioning\(signal_id[^)]*\), (?!ENSURE)", plan(got))
+
+
 def test_best_paths_of_all_nodes_exchange_lines_and_sources_only(spark):
     paths = registry.QUERIES["kg10_best_paths_whole"](spark, SF)
     paths.collect()
