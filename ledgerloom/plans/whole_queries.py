@@ -12,7 +12,7 @@ from ledgerloom.operators import packages as p
 from ledgerloom.operators import rule_signals as op
 from ledgerloom.operators.search import resolved
 from ledgerloom.plans.bindings import ANNOUNCEMENTS, EDGES, QUESTIONS, STOCKS, with_
-from ledgerloom.plans.rule_queries import _PATHS, PAYLOADS, _found, payloads
+from ledgerloom.plans.rule_queries import _PATHS, PAYLOADS, _found, company_paths, payloads
 from ledgerloom.sources import tables as t
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,9 +96,7 @@ def signal_details(spark, sf):
     companies = t.table(spark, sf, "supplier").count()
     signals = op.rule_signals(payloads(spark, sf)).dropDuplicates(["signal_id"])
     signals = signals.select("signal_id", F.concat(F.lit("C:"), F.col("source_id").cast("long") % companies).alias("subject"), "kind", "polarity", "strength", "confidence")
-    paths = g.detailed_paths(t.edges(spark, sf), 20, F.col("src").startswith("C:"))
-    spread = op.path_propagation(signals, paths).withColumn("confidence", F.round(F.col("confidence") * 1.000000000001, 3))
-    out = p.signal_details(signals.select("signal_id", "kind"), spread)
+    out = op.path_details(signals, company_paths(spark, sf), lambda c: F.round(c * 1.000000000001, 3))
     told = F.array_join(F.transform("propagations", lambda x: F.concat(x["target"], F.lit("@"), x["relation_path"])), "\n")
     return out.select("signal_id", "kind", F.size("propagations").cast("long").alias("n"), F.md5(told).alias("propagations_md5"))
 
