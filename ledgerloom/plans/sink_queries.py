@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import graph as g
-from ledgerloom.operators.store import TableSet, upsert_sink
+from ledgerloom.functions.signal_rules import SIGNALS
+from ledgerloom.operators.store import BUCKETS, TableSet, upsert_sink
 from ledgerloom.plans.bindings import ANNOUNCEMENTS, EDGES, with_
-from ledgerloom.plans.rule_queries import _PATHS, PAYLOADS, _found, payloads
+from ledgerloom.plans.rule_queries import _PATHS, PAYLOADS, _found, company_paths, payloads
 from ledgerloom.sources import tables as t
 from ledgerloom.sources.folders import shared_folder
 from ledgerloom.streaming import evidence as e
@@ -73,13 +73,16 @@ def evidence_stream(spark, sf):
     folder = shared_folder(spark, "evidence")
     rows = payloads(spark, sf)
     companies = t.table(spark, sf, "supplier").count()
-    paths = g.detailed_paths(t.edges(spark, sf), 20, F.col("src").startswith("C:"))
-    paths.write.parquet(f"{folder}/paths")
-    rows.repartition(4).write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    company_paths(spark, sf).write.parquet(f"{folder}/paths")
+    # a feed of two batches, in the files that its tasks write; few tasks are dealt over four files
+    (rows if rows.rdd.getNumPartitions() >= 4 else rows.repartition(4)).write.parquet(f"{folder}/in")
+    files = len(spark.read.schema(rows.schema).parquet(f"{folder}/in").inputFiles())
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", -(-files // 2)).parquet(f"{folder}/in")
     store = TableSet(spark, f"{folder}/out")
     subject = F.concat(F.lit("C:"), F.col("source_id").cast("long") % companies)
-    sink = e.evidence_sink(store, subject, spark.read.parquet(f"{folder}/paths"), F.lit("2026-05-04").cast("timestamp"))
+    # so many buckets that one holds a million propagations at most, were every text to show every kind
+    buckets = max(BUCKETS, -(-t.table(spark, sf, "documents").count() * len(SIGNALS) * 20 // t.TASK_ROWS))
+    sink = e.evidence_sink(store, subject, spark.read.parquet(f"{folder}/paths"), F.lit("2026-05-04").cast("timestamp"), buckets)
     ingest.run_available(stream, sink, f"{folder}/state")
     signals = store.table("signals").select(F.lit("signal").alias("record"), F.col("signal_id").alias("id"), F.col("source_id").alias("about"), "kind", F.col("value").cast("double").alias("score"))
     return signals.unionByName(store.table("propagations").select(F.lit("propagation").alias("record"), F.col("propagation_id").alias("id"), F.col("target").alias("about"), F.col("secondary_type").alias("kind"), F.col("hops").cast("double").alias("score")))

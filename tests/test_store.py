@@ -46,6 +46,23 @@ def test_merges(spark, tmp_path):
     assert store.merge({"t": (new.limit(0), ["id"], {}, "take_new")}) == 2
 
 
+def test_new_keys_are_added_and_nothing_is_rewritten(spark, tmp_path):
+    store = TableSet(spark, f"file://{tmp_path}/s")
+    batch = lambda a, b: spark.createDataFrame([(i, f"g{i % 5}", float(i), None) for i in range(a, b)], SCHEMA)
+    merge = lambda a, b: store.merge({"t": (batch(a, b).repartition(4, "kind"), ["id"], {}, "keep_old", ["kind"])}, buckets=4)
+    assert merge(0, 100) == 1
+    first = files(f"{tmp_path}/s")
+    assert len(first) == len(store.manifest()["tables"]["t"]["at"])  # a bucket comes from one task
+    assert merge(100, 200) == 2
+    assert len(files(f"{tmp_path}/s")) == 2 * len(first)  # as many files again: no old row is written once more
+    assert rows(store.table("t")) == rows(batch(0, 200))
+    assert merge(150, 160) == 2  # known rows change nothing
+    for k in range(2, 12):
+        merge(k * 100, k * 100 + 100)
+    assert rows(store.table("t")) == rows(batch(0, 1200))
+    assert max(len(at) for at in store.manifest()["tables"]["t"]["at"].values() if isinstance(at, list)) <= 8
+
+
 def test_insert_only_and_null_keys(spark, tmp_path):
     store = TableSet(spark, f"file://{tmp_path}/s")
     a = spark.createDataFrame([(1, "a", 1.0, None), (None, "n", 0.0, None)], SCHEMA)
