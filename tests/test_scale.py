@@ -12,6 +12,7 @@ from ledgerloom.operators import graph as g
 from ledgerloom.operators import packages as p
 from ledgerloom.operators import records as r
 from ledgerloom.operators import rule_signals
+from ledgerloom.operators import signals as signals_op
 from ledgerloom.plans import registry, rule_queries
 from ledgerloom.sources import tables as t
 
@@ -182,6 +183,34 @@ def test_detailed_paths_through_parts_write_no_edges(spark):
         assert "/graph-" not in plan(registry.QUERIES[query](spark, SF))
 
 
+def test_propagation_through_parts_exchanges_no_chains(spark):
+    r = random.Random(17)
+    weight = lambda: r.randrange(101) / 100
+    into = [(p, c, weight()) for c in range(9) for p in range(50) if r.random() < 0.6] + [(7, None, 0.8), (None, 3, 0.25), (None, 4, 0.95), (None, None, 0.7)]
+    out = [(p, u, weight()) for p in range(40) for u in (*range(24), 65535, 65536, 2**40 + 7, -3) if r.random() < 0.4] + [(None, 5, 0.9), (3, None, 0.4)]
+    signals = spark.createDataFrame([(i, i % 12, 10.0 * (i % 9), 0.5 + i % 5 / 10) for i in range(30)], "signal_id long, subject long, strength double, source_confidence double")
+    into, out = spark.createDataFrame(into, "part long, of long, first double"), spark.createDataFrame(out, "part long, to long, second double")
+    kinds = {"of": "C:", "part": "P:", "to": "U:"}
+    name = lambda kind, number: F.concat(F.lit(kinds[kind]), number)
+    edges = into.select(name("of", F.col("of")).alias("src"), name("part", F.col("part")).alias("dst"), F.col("first").alias("weight")).union(out.select(name("part", F.col("part")), name("to", F.col("to")), "second"))
+    want = signals_op.graph_propagation(signals.withColumn("subject", name("of", F.col("subject"))), edges)
+    told = lambda df: sorted((x.signal_id, x.target or "", x.hops, round(x.confidence, 9)) for x in df.collect())
+    for size in (1024, 3):
+        got = signals_op.propagation_through(signals, into, out, 4, name, size)
+        assert told(got) == told(want) and any(not x[1] for x in told(got))
+    whole = registry.QUERIES["sg4_graph_propagation_whole"](spark, SF)
+    # lines by part, lines and orders by order, their join by part, lists by source, signals by subject
+    assert plan(whole).count("Exchange hashpartitioning") <= 7 and not re.search(r"hashpartitioning\(src#", plan(whole))
+
+
+def test_lists_of_peers_are_exchanged_once(spark):
+    lists = registry.QUERIES["kg13_peer_lists"](spark, SF)
+    lists.collect()
+    done = plan(lists).split("== Initial Plan ==")[0]
+    dealt = [x for x in done.splitlines() if re.search(r"Exchange hashpartitioning\(a#\d+L?, \d+\), REPARTITION_BY_NUM", x)]
+    assert len(dealt) == len([x for x in dealt if "Reused" in x]) + 1 and any("Reused" in x for x in done.splitlines())
+
+
 def _signals_and_paths(spark):
     kinds = ("risk", "order", "policy", "other")
     signals = [(f"s{i}", f"c{i % 7}", kinds[i % 4], ("positive", "risk")[i % 3 == 0], i, i / 40) for i in range(40)]
